@@ -1,0 +1,6 @@
+"""Names of all queries with their callables and, where SQL can express them, DuckDB texts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
