@@ -1,0 +1,40 @@
+"""The queries of this subpackage and, where SQL can express them, their DuckDB texts."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, token_counts, token_files
+from .workspace import Workspace, arrow_rows, table
+
+#: Vocabulary files are parameters; these are the ones the queries use.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, before and after three edits: a replacement at a third, a deletion at two thirds, an addition at the end."""
+    arrow_rows(spark, 512)
+    n = F.char_length(F.coalesce("text", F.lit(""))).cast("int")
+    third = F.floor(n / 3).cast("int")
+    edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("new"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(edit(third, third + 5, " edited "), edit(2 * third, 2 * third + 7, ""), edit(n + 8, n + 8, " End of file.")).alias("edits"))
+    return token_counts.edit_token_counts(docs, RANKS, PATTERN)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 512)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "op8").root
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_files.document_digests(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op8_token_files)}
+ORACLES: dict[str, str] = {}
