@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts, token_files
+from . import bpe, secrets, token_counts, token_files, topk
 from .workspace import Workspace, arrow_rows, table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -30,11 +30,33 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 512)
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, kinds), F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "op8").root
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return token_files.document_digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op8_token_files)}
-ORACLES: dict[str, str] = {}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op5_secrets, op8_token_files, op10_top_k)}
+ORACLES: dict[str, str] = {"op10_top_k": TOP_K_SQL}
