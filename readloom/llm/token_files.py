@@ -76,16 +76,21 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def high(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes in the high bits of 64."""
+    return canonical(lengths) << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))
+
+
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of all ids, and the bit offset of every ``EVERY``-th one."""
+    """The bits of all ids, and the bit offset of every ``EVERY``-th one; ``codes`` stand in the high bits (``high``)."""
     if not len(ids):
         return b"", np.zeros(0, np.uint32)
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
-    bits = codes[ids] << (np.uint64(64) - (starts & 31).astype(np.uint64) - n.astype(np.uint64))
+    ends = np.cumsum(lengths[ids], dtype=np.int64)
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1]
+    bits = codes[ids] >> (starts & 31).view(np.uint64)
     word = starts >> 5
-    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    heads = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
     joined = np.bitwise_or.reduceat(bits, heads)
     words = np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
     at = word[heads]
@@ -145,12 +150,13 @@ class Decoder:
 
 
 class FileTokenizer:
-    """The tokenizers library over chunks that begin at a space, each distinct one once per worker (at most ``limit`` are held).
+    """The tokenizers library over chunks that begin at a space, each distinct one once while it is held.
 
+    Chunks are held in two generations, of ``limit`` entries together; those not met again in one generation go.
     A space before a non-white character always starts a pre-token, so ids of chunks, joined, are those of the text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -163,37 +169,56 @@ class FileTokenizer:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)  # the vocabulary has one character for each byte
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = limit
+        self.stops = {c: self._ids(c) for c in ".,"}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.limit:
-            self.memo.clear()
-        for k in range(0, len(chunks), 4096):
-            some = chunks[k : k + 4096]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
-            ends = np.cumsum([len(c.encode("utf-8", "replace")) + 1 for c in some])
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            for c, i, j in zip(some, [0, *cut.tolist()], cut.tolist()):
-                self.memo[c] = ids[i:j].tobytes()
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
+
+    def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        """Encode chunks joined by spaces, and cut the ids where the bytes of each chunk end."""
+        for k in range(0, len(chunks), 8192):
+            some = chunks[k : k + 8192]
+            text = " " + " ".join(some)
+            ids = np.frombuffer(self._ids(text), np.uint16)
+            coded = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            ends = np.append(np.flatnonzero(coded == 32)[1:], len(coded))  # no chunk has a space
+            cut = (2 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            into.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut], cut))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native 16-bit integers."""
         parts = [t.split(" ") for t in texts]
-        plain = [not any(not c or c[0].isspace() for c in p[1:]) for p in parts]
-        need = set(chain.from_iterable(p[1:] for p, ok in zip(parts, plain) if ok))
-        if len(need) > self.limit:
-            return [self._ids(t) for t in texts]
-        new = [c for c in need if c not in self.memo]
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list(need)
-        self._learn(new)
-        get = self.memo.__getitem__
-        return [self._ids(p[0]) + b"".join(map(get, p[1:])) if ok else self._ids(t) for t, p, ok in zip(texts, parts, plain)]
+        heads = [p.pop(0) for p in parts]
+        young, old, new, stopped = self.young, self.old, set(), []
+        distinct = list(set(chain.from_iterable(parts)))
+        got = list(map(young.get, distinct))
+        here = dict(zip(distinct, got))
+        for c in [c for c, g in zip(distinct, got) if g is None]:
+            known = old.get(c)
+            if known is None and c[-1:] in self.stops and c[:-1].isalpha():  # letters end a pre-token before a stop
+                stopped.append(c)
+                c = c[:-1]
+                known = here.get(c) or young.get(c) or old.get(c)
+            if known is None:
+                new.add(c)
+            else:
+                here[c] = young[c] = known
+        odd = {c for c in new if not c or c[0].isspace()}  # white space beside a space: such texts go to the library whole
+        new -= odd
+        self._learn(list(new), here)
+        here.update([(c, here[c[:-1]] + self.stops[c[-1]]) for c in stopped])
+        whole = [not odd.isdisjoint(p) for p in parts] if odd else [False] * len(parts)
+        get = here.__getitem__
+        out = [self._ids(t) if w else (self._ids(h) if h else b"") + b"".join(map(get, p)) for t, h, p, w in zip(texts, heads, parts, whole)]
+        young.update((c, here[c]) for c in new)
+        young.update((c, here[c]) for c in stopped)
+        if len(young) > self.limit // 2:
+            self.old, self.young = (young, {}) if len(young) <= self.limit else ({}, {})
+        return out
 
 
 _tokenizers: dict[str, FileTokenizer] = {}
@@ -238,7 +263,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     length per shard. Returns {"ids": their number}.
     """
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 256)  # documents of a block
+    arrow_rows(spark, 1024)  # documents of a block
     ws = Workspace(spark, "token-files")
     n = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("__text"))
@@ -248,14 +273,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         counts += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         sizes[row["shard"]] = row["first"]
     lengths = code_lengths(counts)
-    codes, kept = canonical(lengths), lengths.tobytes()
+    codes, kept = high(lengths), lengths.tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [(len(i) // 2, *pack(np.frombuffer(i, np.uint16), lengths, codes)) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "first", "doc_id", "n_tokens")] + [pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2].tobytes() for p in packed], pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "n_ids", "payload", "checkpoints"])
 
-    arrow_rows(spark, 8)
+    arrow_rows(spark, 2)
     raw.where("counts is null").drop("counts").mapInArrow(encode, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     base, at = [], 0
     for s in sorted(sizes):
@@ -283,7 +308,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, columns, names: list[str]) -> DataFrame:
-    arrow_rows(spark, 8)
+    arrow_rows(spark, 3)
     blocks, lengths, base = read_token_files(spark, path)
     kept = lengths.tobytes()
 
