@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, token_counts, token_files, topk
+from . import bpe, pii, secrets, token_counts, token_files, topk, toxicity
 from .workspace import Workspace, arrow_rows, table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -30,6 +30,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+#: The key of the query's pseudonyms; a real one comes from the caller.
+DEMO_KEY = b"readloom demonstration key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that held personal data, with pseudonyms in its place and counts by kind."""
+    arrow_rows(spark, 512)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_personal_data(pii.pseudonymise(docs, DEMO_KEY))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark, 512)
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,6 +56,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, path)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out")
+    return toxicity.predict(docs, table(spark, sf_dir, "labels")).select("doc_id", held, "score", "predicted")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -58,5 +75,5 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op5_secrets, op8_token_files, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_pii, op5_secrets, op8_token_files, op9_toxicity, op10_top_k)}
 ORACLES: dict[str, str] = {"op10_top_k": TOP_K_SQL}
