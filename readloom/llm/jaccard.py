@@ -1,0 +1,253 @@
+"""Documents linked by the Jaccard similarity of their word shingles: prefix filters under several global orders.
+
+Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, under any order of all
+tokens. The first order puts rare tokens first, by a count sketch over all documents; it makes the candidates. Two more
+orders are plain scramblings; a candidate pair must share a token of its prefixes under each of them too before it is verified exactly.
+
+Documents with equal sets are one node from the start. Tokens with the same nodes are one bucket. Small buckets give
+their pairs; in large ones every node meets a pivot, links are joined into components, and new pivots meet only nodes of
+other components, until none is left; what a few rounds leave is compared across components. So no bucket gives all
+its pairs, and no link between components is lost. Hashes have 64 bits: two distinct sets among 10^9 coincide with a chance of 3 in 100.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .shingles import WordHashes, mix, shingle_set
+from .workspace import Workspace, arrow_rows
+
+#: Cells of the count sketch (one byte each when it is broadcast), slices it is summed in.
+CELLS, SLICES = 1 << 22, 16
+#: Nodes of a bucket that gives all its pairs; rounds of pivots in larger ones.
+SMALL, ROUNDS = 8, 5
+#: Bytes up to which a side is broadcast after it was counted; beyond, the join shuffles.
+BROADCAST = 32 << 20
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _node(s: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
+
+
+def _sets(width: int, text: str):
+    """Per document its id, set size and node; per task the sketch's slices of all distinct sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, counts, seen = WordHashes(), np.zeros(CELLS, np.uint32), set()
+        names = ["doc_id", "n", "node", "slice", "part", "counts"]
+        for b in batches:
+            n, node = [], []
+            for t in b.column(text).to_pylist():
+                s = shingle_set(t, width, memo)
+                n.append(len(s))
+                node.append(_node(s))
+                if node[-1] not in seen and len(s):
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(node[-1])
+                    cells, k = np.unique(s & np.uint64(CELLS - 1), return_counts=True)
+                    counts[cells.astype(np.int64)] += k.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        if seen:
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
+            part = TaskContext.get().partitionId() // 64
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
+
+    return run
+
+
+def _summed(kind: type):
+    """Adds up a slice's counts, which come as ``kind``."""
+
+    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = np.zeros(CELLS // SLICES, np.uint32), None
+        for b in groups:
+            for at, c in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+                total += np.frombuffer(zlib.decompress(c), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def rarity(sketch: DataFrame) -> bytes:
+    """One byte for each cell: the binary logarithm of how many shingles of distinct sets fell into it. Its size does not depend on the data."""
+    once = sketch.select("slice", "part", "counts").groupBy("slice", "part").applyInArrow(_summed(np.uint8), "slice int, counts binary")
+    twice = once.groupBy("slice").applyInArrow(_summed(np.uint32), "slice int, counts binary")
+    total = np.zeros((SLICES, CELLS // SLICES), np.uint32)
+    for r in twice.collect():
+        total[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return np.log2(total.ravel() + 1.0).astype(np.uint8).tobytes()
+
+
+def _prefixes(width: int, percent: int, text: str, rare):
+    """Each distinct set's node and its rarest tokens, once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen, level = WordHashes(), set(), np.frombuffer(zlib.decompress(rare.value), np.uint8)
+        for b in batches:
+            nodes, tokens = [], []
+            for t in b.column(text).to_pylist():
+                s = shingle_set(t, width, memo)
+                node = _node(s)
+                if not len(s) or node in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(node)
+                p = prefix_length(len(s), percent)
+                key = level[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s) >> np.uint64(8)
+                nodes.append(node)
+                tokens.append(s[np.argpartition(key, p - 1)[:p]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    return run
+
+
+def _arrays(width: int, percent: int, text: str):
+    """Each set as an array, and its prefixes under two more orders (as 32-bit hashes: enough for a filter that may only let too much pass)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in batches:
+            nodes, sets, second, third = [], [], [], []
+            for t in b.column(text).to_pylist():
+                s = shingle_set(t, width, memo)
+                if not len(s):
+                    continue
+                p = prefix_length(len(s), percent)
+                nodes.append(_node(s))
+                sets.append(s.view(np.int64))
+                for out, salt in ((second, 2), (third, 3)):
+                    x = mix(s, salt)
+                    out.append((np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32())), pa.array(third, pa.list_(pa.int32()))], names=["node", "tokens", "second", "third"])
+
+    return run
+
+
+def small_side(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """Marked for broadcast if its counted rows are few enough; else left to a shuffle."""
+    return F.broadcast(df) if rows * width <= BROADCAST else df
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles long, component_id (the smallest doc_id reachable by links, its own included).
+
+    Two rows link when 100 * intersection >= percent * union of their shingle sets (of ``width`` words, A-Z lower-cased).
+    A null or empty text, or one without words, has no shingles and no links. Equal texts link, so repeated rows and ties
+    share a component. Rows with a null id take part; they count for no component_id, which is null where no linked row has an id.
+    Other columns are not read. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    arrow_rows(spark, 512)
+    ws = Workspace(spark, "jaccard")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    first = ws.write(docs.mapInArrow(_sets(width, "text"), "doc_id long, n long, node long, slice int, part int, counts binary"), "sets")
+    rows = first.where("slice is null").select("doc_id", "n", "node")
+    classes = ws.write(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
+
+    rare = spark.sparkContext.broadcast(zlib.compress(rarity(first.where("slice is not null")), 1))
+    prefixes = ws.write(docs.mapInArrow(_prefixes(width, percent, "text", rare), "node long, tokens array<long>"), "prefixes", "lz4")
+    tokens = prefixes.select("node", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    held = ws.write(tokens.join(shared, "token").distinct(), "held", "lz4")
+    ws.drop("prefixes")
+
+    # buckets: tokens with the same nodes count once
+    of = held.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = of.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
+    members = held.join(buckets, "token").join(classes.select("node", "n"), "node")
+    members = ws.write(members.select(F.col("token").alias("bucket"), "size", "node", "n"), "members", "lz4")
+    ws.drop("held")
+
+    ids = members.select("node").distinct().join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct()
+    ids = ws.write(ids, "ids")
+    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
+    picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")
+    sets = ws.write(picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>").dropDuplicates(["node"]), "arrays", "lz4")
+
+    def fits(a: str, b: str) -> str:
+        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, of those whose prefixes meet under the other orders."""
+        few = sets.select("node", "second", "third")
+        left = pairs.join(few.toDF("a", "a2", "a3"), "a").join(few.toDF("b", "b2", "b3"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+        left = ws.write(left, f"{name}-left")
+        full = sets.select("node", "tokens")
+        both = F.size(F.array_intersect("ta", "tb"))
+        met = left.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+        out = ws.write(met, name)
+        ws.drop(f"{name}-left")
+        return out
+
+    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+    one, two = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
+    close = one.join(two, "bucket").where(f"a < b and {fits('na', 'nb')}").select("a", "b")
+    pivots = large.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
+    star = large.join(pivots.select("bucket", "p"), "bucket").where(f"node <> p.node and {fits('n', 'p.n')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    pairs = close.union(star).distinct()
+    found = links(pairs, "links-0")
+    comp = ws.write(components(found, ws, "star-0"), "comp-0")
+    used = ws.write(pivots.select("bucket", F.col("p.node").alias("node")), "used-0")
+    for i in range(1, ROUNDS + 2):
+        rest = large.join(used, ["bucket", "node"], "left_anti").join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        # a bucket is open while its nodes that were no pivots lie in several components
+        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "n", "root")).alias("p")).where("lo < hi").select("bucket", "p")
+        if i <= ROUNDS:
+            new = rest.join(open_, "bucket").where(f"node <> p.node and root <> p.root and {fits('n', 'p.n')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+        else:
+            left = rest.join(open_, "bucket").select("bucket", "node", "n", "root")
+            new = left.toDF("bucket", "a", "na", "ra").join(left.toDF("bucket", "b", "nb", "rb"), "bucket").where(f"a < b and ra <> rb and {fits('na', 'nb')}").select("a", "b")
+        new = ws.write(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{i}")
+        state = ws.write(open_.select("bucket", F.col("p.node").alias("node")), f"pivots-{i}")
+        if state.isEmpty():
+            break
+        if new.isEmpty():
+            if i > ROUNDS:
+                break
+            used = ws.write(used.union(state), f"used-{i}")
+            continue
+        more = links(new, f"links-{i}")
+        used = ws.write(used.union(state), f"used-{i}")
+        if not more.isEmpty():
+            found = ws.write(found.union(more), f"found-{i}")
+            comp = ws.write(components(found, ws, f"star-{i}"), f"comp-{i}")
+
+    named = classes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    final = named.join(least, "root").select("node", "component_id")
+    out = rows.where("n > 0").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = ws.write(out, "result")
+    ws.close("result")
+    rare.destroy()
+    return out
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component: one document of each group of near copies.
+
+    Of rows that repeat an id, one stays. Rows without an id, which no result can name, all stay.
+    """
+    found = jaccard_components(docs, width, percent, text)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
+    again = not kept.where("count > 1").isEmpty()
+    unnamed = not found.where("doc_id is null").isEmpty()
+    ids = kept.select("doc_id")
+    out = docs.join(small_side(ids, ids.count()), "doc_id", "left_semi")
+    if again:
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null")) if unnamed else out

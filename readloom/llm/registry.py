@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, secrets, token_counts, token_files, topk, toxicity
+from . import bpe, jaccard, pii, secrets, token_counts, token_files, topk, toxicity
 from .workspace import Workspace, arrow_rows, table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -30,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: The key of the query's pseudonyms; a real one comes from the caller.
 DEMO_KEY = b"readloom demonstration key"
 
@@ -75,5 +79,5 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_pii, op5_secrets, op8_token_files, op9_toxicity, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_jaccard, op4_pii, op5_secrets, op8_token_files, op9_toxicity, op10_top_k)}
 ORACLES: dict[str, str] = {"op10_top_k": TOP_K_SQL}
