@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace, arrow_rows
 
-#: Longest code, and ids between two checkpoints.
-LONGEST, EVERY = 18, 512
+#: Longest code, ids between two checkpoints, and ids after which a block ends (with its document).
+LONGEST, EVERY, BLOCK = 18, 512, 1 << 17
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -242,11 +242,18 @@ def _tokenize(path: str, end_id: int):
             if not b.num_rows:
                 continue
             coded = [i + end for i in tok.encode([t or "" for t in b.column("__text").to_pylist()])]
-            n = [len(c) // 2 for c in coded]
-            payload = b"".join(coded)
-            counts += np.bincount(np.frombuffer(payload, np.uint16), minlength=1 << 16)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([payload], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
-            first += len(payload) // 2
+            ids, n = b.column("doc_id").to_pylist(), [len(c) // 2 for c in coded]
+            cuts, held = [0], 0
+            for i, k in enumerate(n, 1):  # blocks small enough to stay in a core's cache
+                held += k
+                if held >= BLOCK or i == len(n):
+                    cuts.append(i)
+                    held = 0
+            parts = [b"".join(coded[i:j]) for i, j in zip(cuts, cuts[1:])]
+            sizes = [len(p) // 2 for p in parts]
+            counts += np.bincount(np.frombuffer(b"".join(parts), np.uint16), minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array(first + np.cumsum([0, *sizes[:-1]]), pa.int64()), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array([n[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
+            first += sum(sizes)
         if first:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
 
@@ -263,7 +270,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     length per shard. Returns {"ids": their number}.
     """
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 1024)  # documents of a block
+    arrow_rows(spark, 1024)  # documents encoded at once
     ws = Workspace(spark, "token-files")
     n = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("__text"))
@@ -308,7 +315,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, columns, names: list[str]) -> DataFrame:
-    arrow_rows(spark, 3)
+    arrow_rows(spark, 2)
     blocks, lengths, base = read_token_files(spark, path)
     kept = lengths.tobytes()
 
