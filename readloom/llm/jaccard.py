@@ -1,8 +1,10 @@
 """Documents linked by the Jaccard similarity of their word shingles: prefix filters under several global orders.
 
-Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, under any order of all
-tokens. The first order puts rare tokens first, by a count sketch over all documents; it makes the candidates. Two more
-orders are plain scramblings; a candidate pair must share a token of its prefixes under each of them too before it is verified exactly.
+A linked set shares at least t of its tokens with one other set, so only sets of which that share occurs in some other
+one go on; tokens are counted for this in shards of their hash. Two sets of similarity t or more share a token among
+the first n - ceil(t n) + 1 of each, under any order of all tokens. The first order puts rare tokens first, by a count
+sketch over all sets that go on; it makes the candidates. Two more orders are plain scramblings; a candidate pair must
+share a token of its prefixes under each of them too before it is verified exactly.
 
 Documents with equal sets are one node from the start. Tokens with the same nodes are one bucket. Small buckets give
 their pairs; in large ones every node meets a pivot, links are joined into components, and new pivots meet only nodes of
@@ -30,6 +32,8 @@ from .workspace import Workspace, arrow_rows
 CELLS, SLICES = 1 << 22, 16
 #: Nodes of a bucket that gives all its pairs; rounds of pivots in larger ones.
 SMALL, ROUNDS = 8, 5
+#: Tokens of a shard in which occurrences are counted, about.
+PER_SHARD = 2_000_000
 #: Bytes up to which a side is broadcast after it was counted; beyond, the join shuffles.
 BROADCAST = 32 << 20
 
@@ -42,33 +46,91 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def _sets(width: int, text: str):
-    """Per document its id, set size and node; per task the sketch's slices of all distinct sets."""
+RECORDS = "shard int, block long, tokens binary, at binary, doc_id array<long>, n array<long>, node array<long>"
+COUNTED = "block long, at array<int>, held array<int>, doc_id array<long>, n array<long>, node array<long>"
+_LONGS = pa.list_(pa.int64())
+_RECORDS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("at", pa.binary()), ("doc_id", _LONGS), ("n", _LONGS), ("node", _LONGS)])
+
+
+def _sets(width: int, text: str, shards: int):
+    """Per batch (a block): its documents' ids, set sizes and nodes, and for each shard the tokens (40 bits) of its distinct sets with their places in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts, seen = WordHashes(), np.zeros(CELLS, np.uint32), set()
-        names = ["doc_id", "n", "node", "slice", "part", "counts"]
+        memo, seen, block = WordHashes(), set(), TaskContext.get().partitionId() << 32
         for b in batches:
-            n, node = [], []
-            for t in b.column(text).to_pylist():
+            n, node, sets, places = [], [], [], []
+            for i, t in enumerate(b.column(text).to_pylist()):
                 s = shingle_set(t, width, memo)
                 n.append(len(s))
                 node.append(_node(s))
-                if node[-1] not in seen and len(s):
+                if len(s) and node[-1] not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node[-1])
-                    cells, k = np.unique(s & np.uint64(CELLS - 1), return_counts=True)
-                    counts[cells.astype(np.int64)] += k.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        if seen:
-            parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
-            part = TaskContext.get().partitionId() // 64
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
+                    sets.append(s)
+                    places.append(np.full(len(s), i, np.uint16))
+            out = {"shard": [block % shards], "block": [block], "tokens": [None], "at": [None], "doc_id": [b.column("doc_id").to_pylist()], "n": [n], "node": [node]}
+            if sets:
+                x, at = np.concatenate(sets), np.concatenate(places)
+                shard = ((x >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                x, at, shard = x[order], at[order], shard[order]
+                low = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5])
+                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+                for i, j in zip(cuts, cuts[1:]):
+                    for k, v in zip(out, (int(shard[i]), block, low[i:j].tobytes(), at[i:j].tobytes(), None, None, None)):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out.values(), _RECORDS)], schema=_RECORDS)
+            block += 1
 
     return run
 
 
+def _held(t: pa.Table) -> pa.Table:
+    """A shard's count, for each set, of its tokens that occur in more than one (40 bits and the shard's share of the rest tell tokens apart well enough for a bound that may only be too high)."""
+    out = {"block": [], "at": [], "held": [], "doc_id": [], "n": [], "node": []}
+    blocks, raw, places = [], [], []
+    for r in t.to_batches():
+        for block, tokens, at, doc_id, n, node in zip(*(r.column(c).to_pylist() for c in ("block", "tokens", "at", "doc_id", "n", "node"))):
+            if tokens is None:
+                for k, v in zip(out, (block, None, None, doc_id, n, node)):
+                    out[k].append(v)
+            else:
+                blocks.append(block)
+                raw.append(tokens)
+                places.append(np.frombuffer(at, np.uint16))
+    if raw:
+        sizes = [len(p) for p in places]
+        x = np.zeros((sum(sizes), 8), np.uint8)
+        x[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        order = np.argsort(x := x.view(np.uint64).ravel(), kind="stable")
+        same = x[order[1:]] == x[order[:-1]]
+        twice = np.zeros(len(x), bool)
+        twice[order[1:]] = same
+        twice[order[:-1]] |= same
+        start = 0
+        for block, p, k in zip(blocks, places, sizes):
+            got = np.bincount(p[twice[start : start + k]])
+            at = np.flatnonzero(got)
+            start += k
+            if len(at):
+                for key, v in zip(out, (block, at.tolist(), got[at].tolist(), None, None, None)):
+                    out[key].append(v)
+    ints = pa.list_(pa.int32())
+    return pa.table({k: pa.array(v, pa.int64() if k == "block" else ints if k in ("at", "held") else _LONGS) for k, v in out.items()})
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the sets' tokens, in slices."""
+    counts = np.zeros(CELLS, np.uint32)
+    for b in batches:
+        s = b.column("tokens").flatten().to_numpy().view(np.uint64)
+        counts += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+    if counts.any():
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() // 64] * SLICES, pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "part", "counts"])
+
+
 def _summed(kind: type):
     """Adds up a slice's counts, which come as ``kind``."""
 
@@ -92,26 +154,19 @@ def rarity(sketch: DataFrame) -> bytes:
     return np.log2(total.ravel() + 1.0).astype(np.uint8).tobytes()
 
 
-def _prefixes(width: int, percent: int, text: str, rare):
-    """Each distinct set's node and its rarest tokens, once per task."""
+def _prefixes(percent: int, rare):
+    """Each set's rarest tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, level = WordHashes(), set(), np.frombuffer(zlib.decompress(rare.value), np.uint8)
+        level = np.frombuffer(zlib.decompress(rare.value), np.uint8)
         for b in batches:
-            nodes, tokens = [], []
-            for t in b.column(text).to_pylist():
-                s = shingle_set(t, width, memo)
-                node = _node(s)
-                if not len(s) or node in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(node)
+            tokens = []
+            for t in b.column("tokens"):
+                s = t.values.to_numpy().view(np.uint64)
                 p = prefix_length(len(s), percent)
                 key = level[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s) >> np.uint64(8)
-                nodes.append(node)
                 tokens.append(s[np.argpartition(key, p - 1)[:p]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
 
     return run
 
@@ -133,7 +188,7 @@ def _arrays(width: int, percent: int, text: str):
                 for out, salt in ((second, 2), (third, 3)):
                     x = mix(s, salt)
                     out.append((np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32())), pa.array(third, pa.list_(pa.int32()))], names=["node", "tokens", "second", "third"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, _LONGS), pa.array(second, pa.list_(pa.int32())), pa.array(third, pa.list_(pa.int32()))], names=["node", "tokens", "second", "third"])
 
     return run
 
@@ -155,12 +210,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     arrow_rows(spark, 512)
     ws = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = ws.write(docs.mapInArrow(_sets(width, "text"), "doc_id long, n long, node long, slice int, part int, counts binary"), "sets")
-    rows = first.where("slice is null").select("doc_id", "n", "node")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(64, size // (6 * PER_SHARD))
+    counted = ws.write(docs.mapInArrow(_sets(width, "text", shards), RECORDS).groupBy("shard").applyInArrow(_held, COUNTED), "counted")
+    rows = counted.where("node is not null").select("block", F.posexplode(F.arrays_zip("doc_id", "n", "node")).alias("at", "r")).select("block", "at", "r.*")
     classes = ws.write(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
-
-    rare = spark.sparkContext.broadcast(zlib.compress(rarity(first.where("slice is not null")), 1))
-    prefixes = ws.write(docs.mapInArrow(_prefixes(width, percent, "text", rare), "node long, tokens array<long>"), "prefixes", "lz4")
+    held = counted.where("held is not null").select("block", F.explode(F.arrays_zip("at", "held")).alias("r")).groupBy("block", F.col("r.at").alias("at")).agg(F.sum("r.held").alias("held"))
+    going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").select("node").distinct()
+    ids = ws.write(going.join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
+    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
+    picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")
+    sets = ws.write(picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>").dropDuplicates(["node"]), "arrays", "lz4")
+    rare = spark.sparkContext.broadcast(zlib.compress(rarity(sets.select("tokens").mapInArrow(_sketched, "slice int, part int, counts binary")), 1))
+    prefixes = ws.write(sets.select("node", "tokens").mapInArrow(_prefixes(percent, rare), "node long, tokens array<long>"), "prefixes", "lz4")
     tokens = prefixes.select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     held = ws.write(tokens.join(shared, "token").distinct(), "held", "lz4")
@@ -173,12 +235,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     members = ws.write(members.select(F.col("token").alias("bucket"), "size", "node", "n"), "members", "lz4")
     ws.drop("held")
 
-    ids = members.select("node").distinct().join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct()
-    ids = ws.write(ids, "ids")
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")
-    sets = ws.write(picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>").dropDuplicates(["node"]), "arrays", "lz4")
-
     def fits(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
