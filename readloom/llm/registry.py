@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, passages, pii, secrets, token_counts, token_files, topk, toxicity
+from . import bpe, decontaminate, jaccard, passages, pii, secrets, token_counts, token_files, topk, toxicity
 from .workspace import Workspace, arrow_rows, table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -58,6 +58,10 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "op8").root
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -83,5 +87,5 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_jaccard, op4_pii, op5_secrets, op6_passages, op8_token_files, op9_toxicity, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_jaccard, op4_pii, op5_secrets, op6_passages, op7_decontamination, op8_token_files, op9_toxicity, op10_top_k)}
 ORACLES: dict[str, str] = {"op10_top_k": TOP_K_SQL}
