@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import WordHashes, mix, shingle_set
+from .shingles import mix, shingle_set, word_memo
 from .workspace import Workspace, arrow_rows
 
 #: Cells of the count sketch (one byte each when it is broadcast), slices it is summed in.
@@ -56,7 +56,7 @@ def _sets(width: int, text: str, shards: int):
     """Per batch (a block): its documents' ids, set sizes and nodes, and for each shard the tokens (40 bits) of its distinct sets with their places in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, block = WordHashes(), set(), TaskContext.get().partitionId() << 32
+        memo, seen, block = word_memo(), set(), TaskContext.get().partitionId() << 32
         for b in batches:
             n, node, sets, places = [], [], [], []
             for i, t in enumerate(b.column(text).to_pylist()):
@@ -175,7 +175,7 @@ def _arrays(width: int, percent: int, text: str):
     """Each set as an array, and its prefixes under two more orders (as 32-bit hashes: enough for a filter that may only let too much pass)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = word_memo()
         for b in batches:
             nodes, sets, second, third = [], [], [], []
             for t in b.column(text).to_pylist():

@@ -7,7 +7,7 @@
    finds every occurrence. Only windows around an occurrence can repeat; they are hashed.
 3. Decide. A window repeats if it starts earlier in its own document, or its least doc_id is smaller than its document's. Their words go.
 
-Word symbols have 15 bits, so a phrase is one 64-bit number and its own pattern; that two words may share a symbol only
+Word symbols have 10 bits, so a phrase is one 64-bit number and its own pattern; that two words may share a symbol only
 adds candidates. Windows are compared by 64-bit hashes: among 10^9 distinct windows a wrong match has a chance of 3 in 100.
 """
 
@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import small_side
-from .shingles import WordHashes, grams, mix, words
+from .shingles import grams, mix, word_memo, words
 from .workspace import Workspace, arrow_rows
 
 #: Words of a phrase, bits of a word's symbol; documents of a block, marks of a shard on average.
-PHRASE, BITS = 4, 15
+PHRASE, BITS = 6, 10
 BLOCK, SHARD = 1000, 400_000
 _BASE = 0x10000  # symbols as characters, beyond the surrogates
 
@@ -73,21 +72,24 @@ def automaton(keys: np.ndarray) -> ahocorasick.Automaton:
 
 
 def candidates(h: np.ndarray, a: ahocorasick.Automaton, window: int) -> np.ndarray:
-    """Starts of the windows around the automaton's matches in a document."""
+    """Starts of a document's windows whose mark the automaton finds."""
     text = ((h & np.uint64((1 << BITS) - 1)).astype("<u4") + np.uint32(_BASE)).tobytes().decode("utf-32-le")
-    ends = np.fromiter((e for e, _ in a.iter(text)), np.int64)
-    n = len(h) - window + 1
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, np.clip(ends - window + 1, 0, n), 1)  # the window that ends with the match
-    np.add.at(step, np.clip(ends - PHRASE + 2, 0, n), -1)
-    return np.flatnonzero(np.cumsum(step)[:n])
+    ends = [e for e, _ in a.iter(text)]
+    if not ends:
+        return np.zeros(0, np.int64)
+    m = mix(phrases(h))
+    met = np.full(len(m), np.uint64(0xFFFFFFFFFFFFFFFF))
+    at = np.array(ends) - PHRASE + 1
+    met[at] = m[at]
+    width = window - PHRASE + 1
+    return np.flatnonzero(_slide(met, width, np.minimum) == _slide(m, width, np.minimum))
 
 
 def _marked(window: int, blocks: int, shards: int):
     """Per batch and shard, its marks with their blocks; a mark that a block has twice comes twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = word_memo()
         for b in batches:
             keys, of = [], []
             for t, block in zip(b.column("text").to_pylist(), b.column("block").to_pylist()):
@@ -151,12 +153,8 @@ def _kept(w: list[bytes], starts: np.ndarray, window: int, digest: bool) -> tupl
 def _streamed(window: int, digest: bool):
     """A block's documents through its automaton. Documents without candidates are done; of the others come their distinct windows, the starts of those met earlier in the document itself, and the text."""
 
-    memos: list[WordHashes] = []
-
     def run(docs: pa.Table, given: pa.Table) -> pa.Table:
-        if not memos:
-            memos.append(WordHashes())
-        memo, rows = memos[0], []
+        memo, rows = word_memo(), []
         keys = [np.frombuffer(x, np.uint64) for x in given.column("keys").to_pylist() if x is not None]
         copies = {(i, r) for i, r, x in zip(given.column("doc_id").to_pylist(), given.column("row").to_pylist(), given.column("keys").to_pylist()) if x is None}
         a = automaton(np.unique(np.concatenate(keys))) if keys else None
@@ -229,6 +227,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array([g for g, _ in out], pa.int64()), pa.array([k for _, k in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     rest = streamed.where("starts is not null").select("doc_id", "row", "n_words", "text", "again")
-    ends = rest.join(small_side(gone, gone.count(), 64 + 4 * 400), ["doc_id", "row"], "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    ends = rest.join(gone, ["doc_id", "row"], "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
     done = streamed.where("starts is null").select("doc_id", "n_words", "n_removed", "kept")
     return done.unionByName(ends).withColumn("doc_id", F.nullif("doc_id", least))

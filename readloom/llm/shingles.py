@@ -24,6 +24,16 @@ class WordHashes(dict):
         return h
 
 
+_memo: list[WordHashes] = []
+
+
+def word_memo() -> WordHashes:
+    """The worker's memo, kept between its tasks."""
+    if not _memo:
+        _memo.append(WordHashes())
+    return _memo[0]
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers; each salt gives another order."""
     x = x + np.uint64((salt * _FIRST + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
