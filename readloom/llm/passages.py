@@ -1,6 +1,6 @@
 """Passages that repeat across or within documents, removed but for their first occurrence, by repeated-phrase automata.
 
-1. Confirm recurring phrases. Of every window of ``window`` words, the phrase of PHRASE words with the least hash is its
+1. Confirm recurring phrases. Of every window of ``window`` words, the phrase of six words with the least hash is its
    mark; equal windows have equal marks. Marks are counted in shards of their value; those met twice recur.
 2. Compile and stream. Documents stand in blocks; each block gets an Aho-Corasick automaton (pyahocorasick) of the
    recurring phrases marked in it, over an alphabet of word symbols, and its documents are streamed through it, which
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from .shingles import grams, mix, word_memo, words
 from .workspace import Workspace, arrow_rows
 
-#: Words of a phrase, bits of a word's symbol; documents of a block, marks of a shard on average.
-PHRASE, BITS = 6, 10
+#: Documents of a block, marks of a shard on average.
 BLOCK, SHARD = 1000, 400_000
 _BASE = 0x10000  # symbols as characters, beyond the surrogates
 
@@ -39,19 +38,25 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def phrases(h: np.ndarray) -> np.ndarray:
+def shape(window: int) -> tuple[int, int]:
+    """Words of a phrase, and bits of a word's symbol."""
+    n = min(6, window)
+    return n, min(20, 60 // n)
+
+
+def phrases(h: np.ndarray, window: int) -> np.ndarray:
     """All phrases, in order, as numbers."""
-    s = h & np.uint64((1 << BITS) - 1)
-    n = len(s) - PHRASE + 1
-    out = np.zeros(max(0, n), np.uint64)
-    for k in range(PHRASE):
-        out = out << np.uint64(BITS) | s[k : k + len(out)]
+    n, bits = shape(window)
+    s = h & np.uint64((1 << bits) - 1)
+    out = np.zeros(max(0, len(s) - n + 1), np.uint64)
+    for k in range(n):
+        out = out << np.uint64(bits) | s[k : k + len(out)]
     return out
 
 
 def marks(p: np.ndarray, window: int) -> np.ndarray:
     """Distinct marks of a document's windows, from its phrases."""
-    width = window - PHRASE + 1
+    width = window - shape(window)[0] + 1
     if len(p) < width:
         return np.zeros(0, np.uint64)
     m = mix(p)
@@ -60,28 +65,30 @@ def marks(p: np.ndarray, window: int) -> np.ndarray:
     return np.unique(p[_slide(np.concatenate([pad, least, pad]), width, np.maximum) == m])
 
 
-def automaton(keys: np.ndarray) -> ahocorasick.Automaton:
+def automaton(keys: np.ndarray, window: int) -> ahocorasick.Automaton:
     """Of phrases given as numbers."""
+    n, bits = shape(window)
     a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    symbols = np.stack([(keys >> np.uint64(BITS * (PHRASE - 1 - k))) & np.uint64((1 << BITS) - 1) for k in range(PHRASE)], axis=1).astype("<u4") + _BASE
+    symbols = np.stack([(keys >> np.uint64(bits * (n - 1 - k))) & np.uint64((1 << bits) - 1) for k in range(n)], axis=1).astype("<u4") + np.uint32(_BASE)
     text = symbols.tobytes().decode("utf-32-le")
-    for i in range(0, len(text), PHRASE):
-        a.add_word(text[i : i + PHRASE])
+    for i in range(0, len(text), n):
+        a.add_word(text[i : i + n])
     a.make_automaton()
     return a
 
 
 def candidates(h: np.ndarray, a: ahocorasick.Automaton, window: int) -> np.ndarray:
     """Starts of a document's windows whose mark the automaton finds."""
-    text = ((h & np.uint64((1 << BITS) - 1)).astype("<u4") + np.uint32(_BASE)).tobytes().decode("utf-32-le")
+    n, bits = shape(window)
+    text = ((h & np.uint64((1 << bits) - 1)).astype("<u4") + np.uint32(_BASE)).tobytes().decode("utf-32-le")
     ends = [e for e, _ in a.iter(text)]
     if not ends:
         return np.zeros(0, np.int64)
-    m = mix(phrases(h))
+    m = mix(phrases(h, window))
     met = np.full(len(m), np.uint64(0xFFFFFFFFFFFFFFFF))
-    at = np.array(ends) - PHRASE + 1
+    at = np.array(ends) - n + 1
     met[at] = m[at]
-    width = window - PHRASE + 1
+    width = window - n + 1
     return np.flatnonzero(_slide(met, width, np.minimum) == _slide(m, width, np.minimum))
 
 
@@ -97,7 +104,7 @@ def _marked(window: int, blocks: int, shards: int):
                 if len(w) < window:
                     continue
                 h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
-                p = phrases(h)
+                p = phrases(h, window)
                 m = marks(p, window)
                 again = np.unique(p[np.isin(p, m)], return_counts=True)
                 m = np.concatenate([m, again[0][again[1] > 1]])  # met twice in one document
@@ -157,7 +164,7 @@ def _streamed(window: int, digest: bool):
         memo, rows = word_memo(), []
         keys = [np.frombuffer(x, np.uint64) for x in given.column("keys").to_pylist() if x is not None]
         copies = {(i, r) for i, r, x in zip(given.column("doc_id").to_pylist(), given.column("row").to_pylist(), given.column("keys").to_pylist()) if x is None}
-        a = automaton(np.unique(np.concatenate(keys))) if keys else None
+        a = automaton(np.unique(np.concatenate(keys)), window) if keys else None
         for i, r, t in zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), docs.column("text").to_pylist()):
             w = words(t, False) if t else []
             n = len(w)

@@ -39,7 +39,7 @@ def test_op6_against_brute_force(spark):
     assert sum(g for _, _, g, _ in want) > 1000
 
 
-@pytest.mark.parametrize("window,block", [(20, 7), (5, 1000), (6, 50)])
+@pytest.mark.parametrize("window,block", [(20, 7), (5, 1000), (6, 50), (1, 30)])
 def test_op6_odd_inputs(spark, monkeypatch, window, block):
     monkeypatch.setattr(passages, "BLOCK", block)
     rng = random.Random(9)
@@ -63,6 +63,6 @@ def test_op6_odd_inputs(spark, monkeypatch, window, block):
 def test_marks_of_equal_windows_are_equal():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
-    inner = set(passages.marks(passages.phrases(h[100:120]), 20).tolist())
-    assert inner and inner <= set(passages.marks(passages.phrases(h), 20).tolist())
+    inner = set(passages.marks(passages.phrases(h[100:120], 20), 20).tolist())
+    assert inner and inner <= set(passages.marks(passages.phrases(h, 20), 20).tolist())
     assert passages._slide(np.array([5, 1, 4, 2, 8, 9, 3]), 3, np.minimum).tolist() == [1, 1, 2, 2, 3]
