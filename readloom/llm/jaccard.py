@@ -8,8 +8,8 @@ share a token of its prefixes under each of them too before it is verified exact
 
 Documents with equal sets are one node from the start. Tokens with the same nodes are one bucket. Small buckets give
 their pairs; in large ones every node meets a pivot, links are joined into components, and new pivots meet only nodes of
-other components, until none is left; what a few rounds leave is compared across components. So no bucket gives all
-its pairs, and no link between components is lost. Hashes have 64 bits: two distinct sets among 10^9 coincide with a chance of 3 in 100.
+other components; what two rounds leave is compared block by block. So no bucket gives all its pairs, and no link
+between components is lost. Hashes have 64 bits: two distinct sets among 10^9 coincide with a chance of 3 in 100.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from .workspace import Workspace, arrow_rows
 #: Cells of the count sketch (one byte each when it is broadcast), slices it is summed in.
 CELLS, SLICES = 1 << 22, 16
 #: Nodes of a bucket that gives all its pairs; rounds of pivots in larger ones.
-SMALL, ROUNDS = 8, 5
+SMALL, ROUNDS = 8, 2
+#: Sets of a block, when the rest of large buckets is compared.
+TOGETHER = 256
 #: Tokens of a shard in which occurrences are counted, about.
 PER_SHARD = 2_000_000
 #: Bytes up to which a side is broadcast after it was counted; beyond, the join shuffles.
@@ -193,6 +195,58 @@ def _arrays(width: int, percent: int, text: str):
     return run
 
 
+def _across(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """Links (a, b) that join components among the nodes of buckets still open (bucket, node, root).
+
+    Buckets that share nodes form one group, so that nodes that meet in many buckets are compared once. A group is cut into
+    blocks, and every two blocks are compared in one call, by counting the tokens they share; pairs are never rows.
+    """
+    groups = components(left.select(F.col("bucket").alias("a"), F.col("node").alias("b")), ws, "groups").toDF("node", "group")
+    nodes = left.select("node", "root").distinct().join(groups, "node")
+    size = nodes.groupBy("group").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
+    dealt = nodes.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    dealt = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "tokens")
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, root, block = (t.column(c).to_numpy() for c in ("node", "root", "block"))
+        lists = t.column("tokens").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        tokens, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), n)
+        word, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        again = times[at] > 1  # others are common to no two sets
+        at = (np.cumsum(times > 1) - 1)[at[again]]
+        of = of[again]
+        order = np.argsort(at, kind="stable")
+        at, of = at[order], of[order]
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = np.zeros((len(rows), len(cols)), np.float32)
+        for start in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            lo, hi = np.searchsorted(at, [start, start + 4096])
+            m = np.zeros((len(node), 4096), np.float32)
+            m[of[lo:hi], at[lo:hi] - start] = 1
+            both += m[rows] @ m[cols].T
+        ok = (100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)) & (root[rows][:, None] != root[cols][None, :])
+        heads: dict[int, int] = {}
+
+        def head(x: int) -> int:
+            while x in heads:
+                x = heads[x]
+            return x
+
+        a, b = [], []
+        for r, c in zip(*(x.tolist() for x in np.nonzero(ok))):
+            p, q = head(int(root[rows[r]])), head(int(root[cols[c]]))
+            if p != q:
+                heads[p] = q
+                a.append(int(node[rows[r]]))
+                b.append(int(node[cols[c]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def small_side(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
     """Marked for broadcast if its counted rows are few enough; else left to a shuffle."""
     return F.broadcast(df) if rows * width <= BROADCAST else df
@@ -216,8 +270,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     rows = counted.where("node is not null").select("block", F.posexplode(F.arrays_zip("doc_id", "n", "node")).alias("at", "r")).select("block", "at", "r.*")
     classes = ws.write(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     held = counted.where("held is not null").select("block", F.explode(F.arrays_zip("at", "held")).alias("r")).groupBy("block", F.col("r.at").alias("at")).agg(F.sum("r.held").alias("held"))
-    going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").select("node").distinct()
-    ids = ws.write(going.join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
+    going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").groupBy("node").agg(F.max("n").alias("n"), F.max("held").alias("held"))
+    going = ws.write(going, "going")
+    ids = ws.write(going.select("node").join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
     keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")
     sets = ws.write(picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>").dropDuplicates(["node"]), "arrays", "lz4")
@@ -225,18 +280,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     prefixes = ws.write(sets.select("node", "tokens").mapInArrow(_prefixes(percent, rare), "node long, tokens array<long>"), "prefixes", "lz4")
     tokens = prefixes.select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    held = ws.write(tokens.join(shared, "token").distinct(), "held", "lz4")
+    met = ws.write(tokens.join(shared, "token").distinct(), "met", "lz4")
     ws.drop("prefixes")
 
     # buckets: tokens with the same nodes count once
-    of = held.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    of = met.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     buckets = of.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
-    members = held.join(buckets, "token").join(classes.select("node", "n"), "node")
-    members = ws.write(members.select(F.col("token").alias("bucket"), "size", "node", "n"), "members", "lz4")
-    ws.drop("held")
+    members = met.join(buckets, "token").join(going, "node")
+    members = ws.write(members.select(F.col("token").alias("bucket"), "size", "node", "n", F.col("held").alias("h")), "members", "lz4")
+    ws.drop("met")
 
     def fits(a: str, b: str) -> str:
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+        """Sizes allow a link: no more tokens can be common than either set has, and has in common with any set at all."""
+        n = [f"n{x}" if x != "p" else "p.n" for x in (a, b)]
+        h = [f"h{x}" if x != "p" else "p.h" for x in (a, b)]
+        return f"100 * least({', '.join(n)}) >= {percent} * greatest({', '.join(n)}) and {100 + percent} * least({', '.join(h)}) >= {percent} * ({' + '.join(n)})"
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, of those whose prefixes meet under the other orders."""
@@ -251,37 +309,37 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
         return out
 
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-    one, two = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
-    close = one.join(two, "bucket").where(f"a < b and {fits('na', 'nb')}").select("a", "b")
-    pivots = large.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
-    star = large.join(pivots.select("bucket", "p"), "bucket").where(f"node <> p.node and {fits('n', 'p.n')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    one, two = small.drop("size").toDF("bucket", "a", "na", "ha"), small.drop("size").toDF("bucket", "b", "nb", "hb")
+    close = one.join(two, "bucket").where(f"a < b and {fits('a', 'b')}").select("a", "b")
+    pivots = large.groupBy("bucket").agg(F.min(F.struct("node", "n", "h")).alias("p"))
+    star = large.join(pivots.select("bucket", "p"), "bucket").where(f"node <> p.node and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
     pairs = close.union(star).distinct()
     found = links(pairs, "links-0")
     comp = ws.write(components(found, ws, "star-0"), "comp-0")
     used = ws.write(pivots.select("bucket", F.col("p.node").alias("node")), "used-0")
-    for i in range(1, ROUNDS + 2):
-        rest = large.join(used, ["bucket", "node"], "left_anti").join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        # a bucket is open while its nodes that were no pivots lie in several components
-        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "n", "root")).alias("p")).where("lo < hi").select("bucket", "p")
-        if i <= ROUNDS:
-            new = rest.join(open_, "bucket").where(f"node <> p.node and root <> p.root and {fits('n', 'p.n')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        else:
-            left = rest.join(open_, "bucket").select("bucket", "node", "n", "root")
-            new = left.toDF("bucket", "a", "na", "ra").join(left.toDF("bucket", "b", "nb", "rb"), "bucket").where(f"a < b and ra <> rb and {fits('na', 'nb')}").select("a", "b")
+    def rest_of(used: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes of large buckets that were no pivots, and the buckets where they lie in several components, with a new pivot."""
+        rest = large.join(used, ["bucket", "node"], "left_anti").join(comp, "node", "left").select("bucket", "node", "n", "h", F.coalesce("root", "node").alias("root"))
+        return rest, rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "n", "h", "root")).alias("p")).where("lo < hi").select("bucket", "p")
+
+    for i in range(1, ROUNDS + 1):
+        rest, open_ = rest_of(used, comp)
+        new = rest.join(open_, "bucket").where(f"node <> p.node and root <> p.root and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         new = ws.write(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{i}")
         state = ws.write(open_.select("bucket", F.col("p.node").alias("node")), f"pivots-{i}")
         if state.isEmpty():
             break
-        if new.isEmpty():
-            if i > ROUNDS:
-                break
-            used = ws.write(used.union(state), f"used-{i}")
-            continue
         more = links(new, f"links-{i}")
         used = ws.write(used.union(state), f"used-{i}")
         if not more.isEmpty():
             found = ws.write(found.union(more), f"found-{i}")
             comp = ws.write(components(found, ws, f"star-{i}"), f"comp-{i}")
+    rest, open_ = rest_of(used, comp)
+    left = ws.write(rest.join(open_.select("bucket"), "bucket").select("bucket", "node", "root"), "left")
+    if not left.isEmpty():
+        more = ws.write(_across(left, sets.select("node", "tokens"), ws, percent), "links-left")
+        found = ws.write(found.union(more), "found-left")
+        comp = ws.write(components(found, ws, "star-left"), "comp-left")
 
     named = classes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
