@@ -1,6 +1,383 @@
-"""Names of all queries with their callables and, where SQL can express them, DuckDB texts."""
+"""Names of all queries with their callables and, where SQL can express them, DuckDB texts.
+
+Queries run over views of the driver's tables (``views``); both sides use the same integer arithmetic, and probabilities are
+rounded to six places.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import views
+from .functions import sequence as S
+from .operators import adapters as A
+from .operators import dedup as D
+from .operators import evaluation as E
+from .operators import fragments as G
+from .operators import hits as H
+from .operators import reads as R
+from .operators import summits as M
+from .operators import tracks as K
+from .params import TrimParams
+
+#: The queries' parameters: pair distances, strand shifts, genome size.
+Q_MIN, Q_MAX, STEPS = 50, 150, 300
+GENOME = views.CHROMS * views.LENGTH
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Named pieces of SQL that oracles are put together from, in order of dependence.
+CTE = dict(views.SQL)
+
+
+def query(sql: str | None = None, uses: str = ""):
+    """Registers a query under its function's name; ``uses`` names the pieces of SQL (and those they need) that its oracle begins with."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_ctes(uses, sql)
+        return f
+
+    return put
+
+
+def with_ctes(uses: str, sql: str) -> str:
+    import re
+
+    need, todo = set(), uses.split()
+    while todo:
+        n = todo.pop()
+        if n not in need:
+            need.add(n)
+            todo += [m for m in CTE if m != n and re.search(rf"\b{m}\b", CTE[n])]
+    body = ", ".join(f"{n} AS ({CTE[n]})" for n in CTE if n in need)
+    return f"WITH {body} {sql}" if body else sql
+
+
+def chip(spark, sf_dir):
+    return H.distinct_hits(views.hits(spark, sf_dir))
+
+
+def ctrl(spark, sf_dir):
+    return H.distinct_hits(views.control(spark, sf_dir))
+
+
+def pairs(spark, sf_dir):
+    return G.pairs(chip(spark, sf_dir), Q_MIN, Q_MAX)
+
+
+def refined(spark, sf_dir):
+    return M.refined_summits(M.raw_summits(pairs(spark, sf_dir)), Q_MAX)
+
+
+def summits(spark, sf_dir):
+    return M.merged_summits(refined(spark, sf_dir), Q_MAX)
+
+
+CTE |= {
+    "pairs": f"SELECT f.chrom, f.pos AS f_pos, r.pos AS r_pos FROM hits f JOIN hits r ON f.chrom = r.chrom AND f.strand = 0 AND r.strand = 1 AND r.pos > f.pos + {Q_MIN} AND r.pos <= f.pos + {Q_MAX}",
+    "cpairs": f"SELECT f.chrom, f.pos AS f_pos, r.pos AS r_pos FROM ctrl f JOIN ctrl r ON f.chrom = r.chrom AND f.strand = 0 AND r.strand = 1 AND r.pos > f.pos + {Q_MIN} AND r.pos <= f.pos + {Q_MAX}",
+    "deltas": "SELECT chrom, pos, CAST(sum(d) AS BIGINT) AS d FROM (SELECT chrom, f_pos AS pos, 1 AS d FROM pairs UNION ALL SELECT chrom, r_pos + 1, -1 FROM pairs) GROUP BY chrom, pos HAVING sum(d) <> 0",
+    "cov": "SELECT chrom, pos, d, CAST(sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS cov FROM deltas",
+    "raws": "SELECT chrom, pos + (np - pos) // 2 AS pos, cov AS q_cov FROM (SELECT *, lead(pos) OVER w AS np, lead(d) OVER w AS nd FROM cov WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE d > 0 AND nd < 0 AND pos >= 1",
+    "refs": f"SELECT chrom, pos, q_cov FROM (SELECT chrom, pos, q_cov, coalesce(max(CASE WHEN rn > 1 THEN q_cov END) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN {Q_MAX - 1} PRECEDING AND CURRENT ROW), q_cov) AS l, max(q_cov) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND {Q_MAX - 1} FOLLOWING) AS r FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS rn FROM raws)) WHERE q_cov >= l AND q_cov >= r",
+    "runs": f"SELECT *, sum(gap) OVER (PARTITION BY chrom ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) >= {Q_MAX} THEN 1 ELSE 0 END AS gap FROM refs)",
+    "folded": f"SELECT chrom, list_reduce(list({{'done': CAST([] AS STRUCT(pos BIGINT, q_cov BIGINT)[]), 'pos': pos, 'q_cov': q_cov}} ORDER BY pos), lambda a, x: CASE WHEN x.pos - a.pos < {Q_MAX} THEN {{'done': a.done, 'pos': a.pos + (x.pos - a.pos) // 2, 'q_cov': a.q_cov}} ELSE {{'done': list_append(a.done, {{'pos': a.pos, 'q_cov': a.q_cov}}), 'pos': x.pos, 'q_cov': x.q_cov}} END) AS m FROM runs GROUP BY chrom, run",
+    "allmerged": "SELECT chrom, u.pos AS pos, u.q_cov AS q_cov FROM (SELECT chrom, unnest(list_append(m.done, {'pos': m.pos, 'q_cov': m.q_cov})) AS u FROM folded)",
+    "merged": "SELECT * FROM allmerged a WHERE pos < (SELECT max(pos) FROM allmerged b WHERE b.chrom = a.chrom)",
+}
+
+
+# hits
+
+
+@query("SELECT chrom, CASE WHEN strand = 0 THEN pos ELSE pos + 35 END AS pos, strand, read_len FROM fx_hits WHERE pos % 11 <> 5", "fx_hits")
+def hits_from_reads(spark, sf_dir):
+    """SAM flags to strands, 5' ends, other flags dropped."""
+    h = views.hits(spark, sf_dir)
+    flag = F.when(F.col("pos") % 11 == 5, 4).when(F.col("strand") == 0, F.when(F.col("pos") % 2 == 0, 0).otherwise(89)).otherwise(F.when(F.col("pos") % 2 == 0, 16).otherwise(147))
+    return H.from_alignments(h.select("chrom", F.col("pos").alias("pos0"), flag.alias("flag"), F.col("read_len").alias("seq_len")))
+
+
+@query("SELECT chrom, pos, strand, read_len FROM hits", "hits")
+def hits_dedup(spark, sf_dir):
+    return chip(spark, sf_dir)
+
+
+@query("SELECT chrom, CAST(count(*) AS BIGINT) AS n_total, CAST(count(*) - count(DISTINCT (pos, strand)) AS BIGINT) AS n_redundant, round((count(*) - count(DISTINCT (pos, strand))) / count(*)::DOUBLE, 9) AS dup_rate FROM fx_hits GROUP BY chrom", "fx_hits")
+def dup_rate(spark, sf_dir):
+    return H.duplication(views.hits(spark, sf_dir)).withColumn("dup_rate", F.round("dup_rate", 9))
+
+
+@query("SELECT chrom, count(*) AS n_hits, count(*) FILTER (strand = 0) AS n_forward, count(*) FILTER (strand = 1) AS n_reverse, max(read_len) AS read_len FROM hits GROUP BY chrom", "hits")
+def strand_counts(spark, sf_dir):
+    return H.strand_counts(chip(spark, sf_dir))
+
+
+@query("SELECT chrom, pos, strand FROM fx_ctrl WHERE chrom IN ('chr2', 'chr5')", "fx_ctrl")
+def ctrl_semi(spark, sf_dir):
+    return H.on_known_chroms(views.control(spark, sf_dir), views.chroms(spark).where(F.col("chrom").isin("chr2", "chr5"))).select("chrom", "pos", "strand")
+
+
+@query("SELECT chrom, pos, strand FROM fx_hits WHERE NOT regexp_full_match(chrom, '(.*)[246](.*)')", "fx_hits")
+def chrom_regex(spark, sf_dir):
+    return H.chrom_filter(views.hits(spark, sf_dir), "(.*)[246](.*)").select("chrom", "pos", "strand")
+
+
+@query("SELECT chrom, CAST(CASE WHEN strand = 0 THEN least(pos + read_len - 1, 200000) ELSE greatest(pos - read_len + 1, 0) END AS BIGINT) AS pos, 1 - strand AS strand, read_len FROM hits", "hits")
+def pseudo_control(spark, sf_dir):
+    return H.pseudo_control(chip(spark, sf_dir), views.chroms(spark))
+
+
+@query("SELECT chrom, pos, min(strand) AS strand, count(*) AS n_hits FROM hits GROUP BY chrom, pos HAVING min(strand) = max(strand)", "hits")
+def one_strand_positions(spark, sf_dir):
+    return H.one_strand_positions(chip(spark, sf_dir))
+
+
+# pairs and fragment length
+
+CTE["curve"] = f"SELECT s AS shift, CAST((SELECT count(*) FROM hits WHERE strand = 0 AND pos + s + 1 < 200000) + (SELECT count(*) FROM hits WHERE strand = 1) - 2 * (SELECT count(*) FROM hits f JOIN hits r ON f.chrom = r.chrom AND f.strand = 0 AND r.strand = 1 AND r.pos = f.pos + s + 1) AS BIGINT) AS hd FROM range(0, {STEPS}) t(s)"
+
+
+@query("SELECT shift, hd FROM curve", "curve")
+def hamming_curve(spark, sf_dir):
+    return G.hamming_curve(chip(spark, sf_dir), views.chroms(spark), STEPS)
+
+
+@query("SELECT (SELECT shift + 1 FROM curve WHERE shift >= 73 ORDER BY hd, shift DESC LIMIT 1) AS fragment_length, (SELECT shift FROM curve WHERE shift <= 72 ORDER BY hd, shift LIMIT 1) AS phantom, round(((SELECT max(hd) FROM curve WHERE shift >= 73) - (SELECT min(hd) FROM curve WHERE shift >= 73)) / ((SELECT max(hd) FROM curve WHERE shift >= 73) - (SELECT min(hd) FROM curve WHERE shift <= 72))::DOUBLE, 6) AS rsc", "curve")
+def fragment_length(spark, sf_dir):
+    return G.fragment_length(G.hamming_curve(chip(spark, sf_dir), views.chroms(spark), STEPS), 36).withColumn("rsc", F.round("rsc", 6))
+
+
+CTE["qld"] = f"SELECT l AS length, CAST(coalesce(a.n, 0) AS BIGINT) AS chip, CAST(coalesce(b.n, 0) AS BIGINT) AS ctrl, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS diff FROM range(1, {STEPS + 2}) t(l) LEFT JOIN (SELECT r.pos - f.pos + 1 AS d, count(*) AS n FROM hits f JOIN hits r ON f.chrom = r.chrom AND f.strand = 0 AND r.strand = 1 AND r.pos BETWEEN f.pos AND f.pos + {STEPS} GROUP BY 1) a ON a.d = l LEFT JOIN (SELECT r.pos - f.pos + 1 AS d, count(*) AS n FROM ctrl f JOIN ctrl r ON f.chrom = r.chrom AND f.strand = 0 AND r.strand = 1 AND r.pos BETWEEN f.pos AND f.pos + {STEPS} GROUP BY 1) b ON b.d = l"
+
+
+@query("SELECT length, chip, ctrl, diff FROM qld", "qld")
+def qfrag_len_dist(spark, sf_dir):
+    return G.pair_length_distribution(chip(spark, sf_dir), ctrl(spark, sf_dir), STEPS)
+
+
+@query("SELECT length AS fragment_length, diff FROM qld WHERE length BETWEEN 2 AND 36 ORDER BY diff DESC, length LIMIT 1", "qld")
+def nexus_len(spark, sf_dir):
+    return G.nexus_length(G.pair_length_distribution(chip(spark, sf_dir), ctrl(spark, sf_dir), STEPS), 36)
+
+
+@query("SELECT chrom, f_pos, r_pos FROM pairs", "pairs")
+def qfrags(spark, sf_dir):
+    return pairs(spark, sf_dir)
+
+
+@query("SELECT DISTINCT chrom, f_pos AS pos, 0 AS strand FROM pairs UNION SELECT DISTINCT chrom, r_pos, 1 FROM pairs", "pairs")
+def q_hits(spark, sf_dir):
+    return G.pair_hits(pairs(spark, sf_dir))
+
+
+# coverage and summits
+
+
+@query("SELECT chrom, pos, d, cov FROM cov", "cov")
+def coverage(spark, sf_dir):
+    return M.coverage(pairs(spark, sf_dir))
+
+
+@query("SELECT chrom, pos, q_cov FROM raws", "raws")
+def raw_summits(spark, sf_dir):
+    return M.raw_summits(pairs(spark, sf_dir))
+
+
+@query("SELECT chrom, pos, q_cov FROM refs", "refs")
+def refined_summits(spark, sf_dir):
+    return refined(spark, sf_dir)
+
+
+@query("SELECT chrom, pos, q_cov FROM merged", "merged")
+def merged_summits(spark, sf_dir):
+    return summits(spark, sf_dir)
+
+
+@query("SELECT chrom, pos, q_cov FROM allmerged", "allmerged")
+def merged_summits_all(spark, sf_dir):
+    """With each chromosome's last summit."""
+    return M.merged_summits(refined(spark, sf_dir), Q_MAX, drop_last=False)
+
+
+# evaluation
+
+CTE |= {
+    "c1": f"SELECT s.chrom, s.pos AS s, count(*) AS pairs_chip FROM merged s JOIN pairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {Q_MAX} AND p.f_pos < s.pos AND p.r_pos >= s.pos GROUP BY 1, 2",
+    "c1c": f"SELECT s.chrom, s.pos AS s, count(*) AS q_cov_ctrl FROM merged s JOIN cpairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {Q_MAX} AND p.f_pos < s.pos AND p.r_pos > s.pos GROUP BY 1, 2",
+    "c2": f"SELECT s.chrom, s.pos AS s, count(DISTINCT f_pos) AS q_beg_chip, count(DISTINCT r_pos) AS q_end_chip FROM merged s JOIN pairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {Q_MAX} AND p.f_pos < s.pos AND p.r_pos > s.pos AND p.r_pos < p.f_pos + {Q_MAX} GROUP BY 1, 2",
+    "c2c": f"SELECT s.chrom, s.pos AS s, count(DISTINCT f_pos) AS q_beg_ctrl, count(DISTINCT r_pos) AS q_end_ctrl FROM merged s JOIN cpairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {Q_MAX} AND p.f_pos < s.pos AND p.r_pos > s.pos AND p.r_pos < p.f_pos + {Q_MAX} GROUP BY 1, 2",
+}
+for _n, _t, _x in (("c3", "hits", "chip"), ("c3c", "ctrl", "ctrl")):
+    CTE[_n] = f"SELECT s.chrom, s.pos AS s, count(*) FILTER (h.strand = 0 AND h.pos < s.pos) AS kfu_{_x}, count(*) FILTER (h.strand = 0 AND h.pos >= s.pos) AS kfd_{_x}, count(*) FILTER (h.strand = 1 AND h.pos < s.pos) AS kru_{_x}, count(*) FILTER (h.strand = 1 AND h.pos >= s.pos) AS krd_{_x} FROM merged s JOIN {_t} h ON s.chrom = h.chrom AND h.pos > s.pos - {Q_MAX} AND h.pos < s.pos + {Q_MAX} GROUP BY 1, 2"
+_COUNTS = "pairs_chip q_cov_ctrl q_beg_chip q_end_chip q_beg_ctrl q_end_ctrl kfu_chip kfd_chip kru_chip krd_chip kfu_ctrl kfd_ctrl kru_ctrl krd_ctrl".split()
+CTE["ev0"] = "SELECT m.chrom, m.pos, m.q_cov, " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in _COUNTS) + " FROM merged m JOIN c1 ON c1.chrom = m.chrom AND c1.s = m.pos" + "".join(f" LEFT JOIN {n} ON {n}.chrom = m.chrom AND {n}.s = m.pos" for n in ("c1c", "c2", "c2c", "c3", "c3c"))
+CTE["ev"] = f"SELECT *, kfu_chip + kfd_chip + kru_chip + krd_chip AS q_cov_chip, greatest(0, q_beg_chip + q_end_chip - q_beg_ctrl - q_end_ctrl) / {2 * Q_MAX}.0::DOUBLE AS saturation FROM ev0"
+
+
+@query("SELECT chrom, s, pairs_chip FROM c1", "c1")
+def pair_coverage(spark, sf_dir):
+    return E.pair_coverage(summits(spark, sf_dir), pairs(spark, sf_dir), Q_MAX, "pairs_chip")
+
+
+@query("SELECT chrom, s, q_cov_ctrl FROM c1c", "c1c")
+def pair_coverage_control(spark, sf_dir):
+    return E.pair_coverage(summits(spark, sf_dir), G.pairs(ctrl(spark, sf_dir), Q_MIN, Q_MAX), Q_MAX, "q_cov_ctrl", True)
+
+
+@query("SELECT chrom, s, q_beg_chip, q_end_chip FROM c2", "c2")
+def saturated_pos(spark, sf_dir):
+    return E.saturated_positions(summits(spark, sf_dir), pairs(spark, sf_dir), Q_MAX, "chip")
+
+
+@query("SELECT chrom, s, kfu_chip, kfd_chip, kru_chip, krd_chip FROM c3", "c3")
+def strand_side_counts(spark, sf_dir):
+    return E.side_counts(summits(spark, sf_dir), chip(spark, sf_dir), Q_MAX, "chip")
+
+
+def evaluated(spark, sf_dir):
+    a, b = chip(spark, sf_dir), ctrl(spark, sf_dir)
+    p = G.pairs(a, Q_MIN, Q_MAX)
+    s = M.merged_summits(M.refined_summits(M.raw_summits(p), Q_MAX), Q_MAX)
+    return E.evaluate(s, p, G.pairs(b, Q_MIN, Q_MAX), a, b, Q_MAX)
+
+
+@query("SELECT chrom, pos, q_cov_chip, q_cov_ctrl, q_beg_chip, q_end_chip, q_beg_ctrl, q_end_ctrl, round(saturation, 9) AS saturation FROM ev", "ev")
+def saturation_score(spark, sf_dir):
+    return evaluated(spark, sf_dir).select("chrom", "pos", "q_cov_chip", "q_cov_ctrl", "q_beg_chip", "q_end_chip", "q_beg_ctrl", "q_end_ctrl", F.round("saturation", 9).alias("saturation"))
+
+
+# probabilities
+
+_N = 2 * Q_MAX
+for _n, _t in (("", "hits"), ("c", "ctrl")):
+    CTE[f"p{_n}0"] = f"SELECT 1 - exp(-2 * (count(*) FILTER (strand = 0) / {GENOME}.0::DOUBLE * (1 - exp(-{Q_MAX - Q_MIN}.0::DOUBLE * count(*) FILTER (strand = 1) / {GENOME}.0::DOUBLE)))) AS p FROM {_t}"
+    CTE[f"pmf{_n}"] = f"SELECT k, exp(sum(r) OVER (ORDER BY k)) AS pmf FROM (SELECT k, CASE WHEN k = 0 THEN {_N} * ln(1 - p) ELSE ln(({_N} - k + 1) / k::DOUBLE) + ln(p) - ln(1 - p) END AS r FROM p{_n}0, range(0, {_N + 1}) t(k))"
+CTE["tail"] = "SELECT CAST(k AS INTEGER) AS k, least(1.0::DOUBLE, sum(pmf) OVER (ORDER BY k DESC)) AS p_value FROM pmf"
+CTE["dtail"] = "SELECT CAST(d AS INTEGER) AS d, least(1.0::DOUBLE, sum(pmf) OVER (ORDER BY d DESC)) AS p_value FROM (SELECT a.k - b.k AS d, sum(a.pmf * b.pmf) AS pmf FROM pmf a, pmfc b GROUP BY 1)"
+
+
+def tail(spark, sf_dir):
+    return E.upper_tail(E.binomial_pmf(E.success(chip(spark, sf_dir), GENOME, Q_MIN, Q_MAX), _N))
+
+
+def diff_tail(spark, sf_dir):
+    table = lambda h: E.binomial_pmf(E.success(h, GENOME, Q_MIN, Q_MAX), _N)
+    return E.difference_tail(table(chip(spark, sf_dir)), table(ctrl(spark, sf_dir)), _N)
+
+
+def log_p(c="p_value"):
+    """-log10, clipped at 300 on both sides, six places."""
+    return F.round(F.least(F.lit(300.0), -F.log10(F.greatest(F.col(c), F.lit(1e-300)))), 6)
+
+
+def log_p_sql(c):
+    return f"round(least(300.0::DOUBLE, -log10(greatest({c}, 1e-300::DOUBLE))), 6)"
+
+
+@query(f"SELECT k, {log_p_sql('p_value')} AS log_p FROM tail", "tail")
+def binom_tail(spark, sf_dir):
+    return tail(spark, sf_dir).select("k", log_p().alias("log_p"))
+
+
+@query(f"SELECT d, {log_p_sql('p_value')} AS log_p FROM dtail", "dtail")
+def binom_diff_tail(spark, sf_dir):
+    return diff_tail(spark, sf_dir).select("d", log_p().alias("log_p"))
+
+
+_LAM = "SELECT chrom, 4.0::DOUBLE * count(*) * 20 / 200000 AS rate FROM hits GROUP BY chrom"
+CTE["lam"] = _LAM
+CTE["ptail"] = "SELECT chrom, k, coalesce(sum(exp(l)) OVER (PARTITION BY chrom ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p_value FROM (SELECT chrom, k, sum(r) OVER (PARTITION BY chrom ORDER BY k) AS l FROM (SELECT chrom, k, CASE WHEN k = 0 THEN -rate ELSE ln(rate / k) END AS r FROM lam, range(0, 301) t(k)))"
+
+
+@query(f"SELECT chrom, CAST(k AS INTEGER) AS k, {log_p_sql('p_value')} AS log_p FROM ptail WHERE k <= 100", "ptail")
+def poisson_tail(spark, sf_dir):
+    rates = chip(spark, sf_dir).groupBy("chrom").agg((4.0 * F.count("*") * 20 / views.LENGTH).alias("lambda"))
+    return E.poisson_tail(rates, 100).select("chrom", "k", log_p().alias("log_p"))
+
+
+CTE["pv"] = "SELECT ev.*, q_beg_chip + q_end_chip - q_beg_ctrl - q_end_ctrl AS d, p_value FROM ev JOIN dtail ON dtail.d = q_beg_chip + q_end_chip - q_beg_ctrl - q_end_ctrl"
+CTE["qv"] = "SELECT *, p_value * n / rn AS q_value FROM (SELECT *, row_number() OVER (ORDER BY d DESC, chrom, pos) AS rn, count(*) OVER () AS n FROM pv)"
+
+
+def scored(spark, sf_dir):
+    d = F.col("q_beg_chip") + F.col("q_end_chip") - F.col("q_beg_ctrl") - F.col("q_end_ctrl")
+    p = evaluated(spark, sf_dir).withColumn("d", d.cast("int")).join(F.broadcast(diff_tail(spark, sf_dir)), "d", "left").na.fill(-1.0, ["p_value"])
+    return E.q_values(E.rank_by(p, -F.col("d")))
+
+
+@query(f"SELECT chrom, pos, d, {log_p_sql('p_value')} AS log_p FROM pv", "pv")
+def summit_pvalues(spark, sf_dir):
+    return scored(spark, sf_dir).select("chrom", "pos", F.col("d").cast("long").alias("d"), log_p().alias("log_p"))
+
+
+@query(f"SELECT chrom, pos, rn, n, {log_p_sql('q_value')} AS log_q FROM qv", "qv")
+def summit_qvalues(spark, sf_dir):
+    return scored(spark, sf_dir).select("chrom", "pos", "rn", "n", log_p("q_value").alias("log_q"))
+
+
+@query("SELECT chrom, pos, rn FROM qv WHERE rn <= 100", "qv")
+def top_n(spark, sf_dir):
+    return E.top_n(scored(spark, sf_dir), 100).select("chrom", "pos", "rn")
+
+
+@query("SELECT chrom, pos, rn FROM qv WHERE rn < coalesce((SELECT min(rn) FROM qv WHERE -log10(q_value) <= 0.5), 1000000000)", "qv")
+def q_cutoff_takewhile(spark, sf_dir):
+    return E.take_while(scored(spark, sf_dir), 0.5).select("chrom", "pos", "rn")
+
+
+# outputs
+
+
+_HALF = (Q_MIN + Q_MAX) // 2
+
+
+@query(f"SELECT chrom, greatest(0, pos - {Q_MIN}) AS start, least(200000, pos + {Q_MIN}) AS \"end\", '.' AS name, CAST(round(saturation * 1000) AS BIGINT) AS score, '.' AS strand, round(saturation, 6) AS signal, {log_p_sql('p_value')} AS log_p, {log_p_sql('q_value')} AS log_q, {Q_MIN} AS peak FROM qv", "qv")
+def narrowpeak(spark, sf_dir):
+    return K.narrow_peak(scored(spark, sf_dir), views.chroms(spark), Q_MIN).withColumns({"log_p": log_p(), "log_q": log_p("q_value")}).drop("p_value", "q_value")
+
+
+@query(f"SELECT chrom, pos, q_cov_chip, q_cov_ctrl, q_beg_chip, q_end_chip, q_beg_ctrl, q_end_ctrl, round(saturation, 6) AS saturation, {log_p_sql('p_value')} AS log_p, {log_p_sql('q_value')} AS log_q FROM qv", "qv")
+def summit_info(spark, sf_dir):
+    return scored(spark, sf_dir).select("chrom", "pos", "q_cov_chip", "q_cov_ctrl", "q_beg_chip", "q_end_chip", "q_beg_ctrl", "q_end_ctrl", F.round("saturation", 6).alias("saturation"), log_p().alias("log_p"), log_p("q_value").alias("log_q"))
+
+
+CTE |= {
+    "qobs": "SELECT chrom, count(*) AS obs FROM (SELECT DISTINCT chrom, f_pos AS pos, 0 AS strand FROM pairs UNION SELECT DISTINCT chrom, r_pos, 1 FROM pairs) GROUP BY chrom",
+    "qin": "SELECT c.chrom, c.length, coalesce(h.n, 0) AS n, coalesce(h.f, 0) AS f, coalesce(h.r, 0) AS r, coalesce(a.n, 0) - coalesce(h.n, 0) AS red, coalesce(k.n, 0) AS cn, coalesce(b.n, 0) - coalesce(k.n, 0) AS cred, coalesce(q.obs, 0) AS obs FROM fx_chrom c LEFT JOIN (SELECT chrom, count(*) n, count(*) FILTER (strand = 0) f, count(*) FILTER (strand = 1) r FROM hits GROUP BY 1) h USING (chrom) LEFT JOIN (SELECT chrom, count(*) n FROM fx_hits GROUP BY 1) a USING (chrom) LEFT JOIN (SELECT chrom, count(*) n FROM ctrl GROUP BY 1) k USING (chrom) LEFT JOIN (SELECT chrom, count(*) n FROM fx_ctrl GROUP BY 1) b USING (chrom) LEFT JOIN qobs q USING (chrom)",
+    "qsum": "SELECT coalesce(chrom, 'total') AS chrom, chrom IS NULL AS total, CAST(sum(length) AS BIGINT) AS len, CAST(sum(n) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS f, CAST(sum(r) AS BIGINT) AS r, CAST(sum(red) AS BIGINT) AS red, CAST(sum(cn) AS BIGINT) AS cn, CAST(sum(cred) AS BIGINT) AS cred, CAST(sum(obs) AS BIGINT) AS obs FROM qin GROUP BY ROLLUP (chrom)",
+    "qx": f"SELECT *, (f + r) * (1 - exp(-{Q_MAX - Q_MIN}.0::DOUBLE * r / len)) AS ex, CASE WHEN n > 0 THEN red / (n + red)::DOUBLE ELSE 0 END AS dup, CASE WHEN cn > 0 THEN cred / (cn + cred)::DOUBLE ELSE 0 END AS cdup FROM qsum",
+    "qy": "SELECT *, CASE WHEN f + r > 0 THEN greatest(0.0::DOUBLE, (obs - ex) / (f + r)) END AS qes FROM qx",
+}
+
+
+@query("SELECT chrom, n AS hits_chip, red AS removed_chip, round(dup, 6) AS dup_chip, cn AS hits_ctrl, cred AS removed_ctrl, round(cdup, 6) AS dup_ctrl, CAST(round(ex) AS BIGINT) AS q_expected, obs AS q_observed, round(qes, 6) AS qes, round(qes * (1 - dup), 6) AS qss, CAST(round(n * CASE WHEN total THEN qes ELSE qes * (1 - dup) END) AS BIGINT) AS ensh FROM qy", "qy")
+def chrom_quality(spark, sf_dir):
+    a, b = views.hits(spark, sf_dir), views.control(spark, sf_dir)
+    return K.quality(a, b, views.chroms(spark), Q_MIN, Q_MAX)
+
+
+@query("SELECT chrom, start, \"end\", value FROM (SELECT chrom, pos AS start, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS \"end\", CAST(sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS value FROM (SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, CASE WHEN strand = 0 THEN pos ELSE greatest(0, pos - 99) END AS pos, 1 AS d FROM hits UNION ALL SELECT chrom, least(200001, CASE WHEN strand = 0 THEN pos + 100 ELSE pos + 1 END), -1 FROM hits UNION ALL SELECT chrom, unnest([0, 199999, 200001]), 0 FROM fx_chrom) GROUP BY 1, 2 HAVING sum(d) <> 0 OR pos IN (0, 199999, 200001))) WHERE \"end\" IS NOT NULL AND \"end\" <= 200000", "hits fx_chrom")
+def bedgraph(spark, sf_dir):
+    return K.bedgraph(chip(spark, sf_dir), views.chroms(spark), 100)
+
+
+@query("SELECT chrom, greatest(0, s) AS start, least(200000, e) AS \"end\" FROM (SELECT chrom, CASE WHEN strand = 0 THEN pos + 50 ELSE pos - 50 + 1 - 36 END AS s, CASE WHEN strand = 0 THEN pos + 50 + 36 ELSE pos - 50 + 1 END AS e FROM hits WHERE chrom = 'chr1') WHERE s <= 200000 AND e >= 0", "hits")
+def reads_bed(spark, sf_dir):
+    return K.reads_bed(chip(spark, sf_dir).where("chrom = 'chr1'"), views.chroms(spark), 36, 50)
+
+
+@query("SELECT chrom, f_pos AS start, r_pos + 1 AS \"end\", 'chip' AS sample FROM pairs UNION ALL SELECT chrom, f_pos, r_pos, 'ctrl' FROM cpairs", "pairs cpairs")
+def qfrags_bed(spark, sf_dir):
+    return K.pairs_bed(pairs(spark, sf_dir), G.pairs(ctrl(spark, sf_dir), Q_MIN, Q_MAX))
+
+
+@query("SELECT o AS \"offset\", " + ", ".join(f"count(*) FILTER (x.strand = {st} AND x.sample = '{sm}') AS {'fr'[st]}_{sm}" for sm in ("chip", "ctrl") for st in (0, 1)) + " FROM range(-50, 51) t(o) LEFT JOIN (SELECT h.pos - s.pos AS off, h.strand, h.sample FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS rn FROM merged) s JOIN (SELECT chrom, pos, strand, 'chip' AS sample FROM hits UNION ALL SELECT chrom, pos, strand, 'ctrl' FROM ctrl) h ON h.chrom = s.chrom AND h.pos BETWEEN s.pos - 50 AND s.pos + 50 WHERE rn > 2 AND s.pos < 200000) x ON x.off = o GROUP BY o", "merged hits ctrl")
+def hit_dist(spark, sf_dir):
+    return E.hit_distribution(summits(spark, sf_dir), views.chroms(spark), chip(spark, sf_dir), ctrl(spark, sf_dir), 50)

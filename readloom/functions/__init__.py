@@ -1 +1 @@
-"""functions."""
+"""Column functions over sequences, and probability tables."""

@@ -1,0 +1,101 @@
+"""Adapter removal. Adapters are (adapter_id, adapter, three, anchored, reverse, overhang): a dimension of a few rows.
+
+Reads carry the adapters as an array column, so a round needs no join or shuffle: for each read the alignments are one expression.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import sequence as S
+from ..params import TrimParams
+
+MATCH = "struct<neg_score:int,adapter_id:int,three:boolean,length:int,shift:int,overlap:int,mismatches:int>"
+
+
+def with_adapters(reads: DataFrame, adapters: DataFrame, reverse: bool = False) -> DataFrame:
+    """Reads with all adapters of a direction as one array, in order of number."""
+    a = adapters.where(F.col("reverse") == reverse).agg(F.array_sort(F.collect_list(F.struct("adapter_id", "adapter", "three", "anchored", "overhang"))).alias("__adapters"))
+    return reads.join(F.broadcast(a))
+
+
+def _match(seq: Column, a: Column, p: TrimParams) -> Column:
+    """The adapter's best alignment as MATCH, or null if the rule rejects it."""
+    lo, hi = S.shift_bounds(seq, a["adapter"], a["three"], a["anchored"], a["overhang"], p.min_overlap)
+    x = S.best_alignment(seq, a["adapter"], lo, hi)
+    wrong = x["overlap"] - x["matches"] - x["ambiguous"]
+    good = (x["overlap"] >= p.min_overlap) & (x["matches"] > 0) & (wrong <= S.allowed_errors(x["overlap"], p.error_rate, p.errors, p.non_linear))
+    score = 2 * x["matches"] - x["overlap"] + x["ambiguous"]
+    return F.when(good, F.struct((-score).cast("int").alias("neg_score"), a["adapter_id"].alias("adapter_id"), a["three"].alias("three"), F.length(a["adapter"]).alias("length"), x["shift"].alias("shift"), x["overlap"].alias("overlap"), wrong.cast("int").alias("mismatches")))
+
+
+def _cut(seq: Column, m: Column, text: Column) -> Column:
+    """``text`` (bases or qualities) without what the match of ``seq`` erases: from its shift on (3'), or up to its end (5')."""
+    end = F.least(F.length(seq), m["shift"] + m["length"])
+    return F.when(m.isNull(), text).when(m["three"], F.substring(text, F.lit(1), F.greatest(m["shift"], F.lit(0)))).otherwise(F.substring(text, end + 1, F.length(text)))
+
+
+def best_round(reads: DataFrame, p: TrimParams, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    """One round: the match with the highest score (the first of equals) is cut. ``__m`` is it, or null."""
+    every = F.filter(F.transform("__adapters", lambda a: _match(F.col(seq), a, p)), lambda m: m.isNotNull())
+    d = reads.withColumn("__m", F.array_min(every))
+    return d.withColumns({"__was": F.length(seq), seq: _cut(F.col(seq), F.col("__m"), F.col(seq)), qual: _cut(F.col(seq), F.col("__m"), F.col(qual))})
+
+
+def top_down_round(reads: DataFrame, n_adapters: int, p: TrimParams, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    """One round: every adapter that matches is cut, in order. ``__ms`` holds the matches with the bases each removed."""
+    d = reads.withColumn("__ms", F.array().cast(f"array<struct<m:{MATCH},removed:int>>"))
+    for k in range(n_adapters):
+        d = d.withColumn("__m", _match(F.col(seq), F.col("__adapters")[k], p)).withColumn("__was", F.length(seq))
+        d = d.withColumns({seq: _cut(F.col(seq), F.col("__m"), F.col(seq)), qual: _cut(F.col(seq), F.col("__m"), F.col(qual))})
+        d = d.withColumn("__ms", F.when(F.col("__m").isNotNull(), F.concat("__ms", F.array(F.struct(F.col("__m").alias("m"), (F.col("__was") - F.length(seq)).alias("removed"))))).otherwise(F.col("__ms")))
+    return d
+
+
+def strip(reads: DataFrame, adapters: DataFrame, p: TrimParams, seq: str = "seq", qual: str = "qual", id_: str = "id", reverse: bool = False) -> DataFrame:
+    """Up to ``p.times`` rounds; ``removed`` sums the bases and ``matches`` lists (adapter_id, removed, overlap, mismatches) of every cut. ``:AdapterRemoved`` goes into changed ids with ``p.tag``.
+
+    A read that a round leaves as it was, or with fewer than ``p.min_overlap`` bases, is done.
+    """
+    n = adapters.where(F.col("reverse") == reverse).count() if p.top_down else 0
+    d = with_adapters(reads, adapters, reverse).withColumn("__start", F.length(seq)).withColumn("matches", F.array().cast("array<struct<adapter_id:int,removed:int,overlap:int,mismatches:int>>")).withColumn("__live", F.length(seq) > 0)
+    entry = lambda m, k: F.struct(m["adapter_id"].alias("adapter_id"), k.alias("removed"), m["overlap"].alias("overlap"), m["mismatches"].alias("mismatches"))
+    for _ in range(p.times):
+        before = {c: F.col(c) for c in (seq, qual)}
+        d = d.withColumns({"__seq0": before[seq], "__qual0": before[qual]})
+        d = top_down_round(d, n, p, seq, qual) if p.top_down else best_round(d, p, seq, qual).withColumn("__ms", F.when(F.col("__m").isNotNull(), F.array(F.struct(F.col("__m").alias("m"), (F.col("__was") - F.length(seq)).alias("removed")))).otherwise(F.array().cast(f"array<struct<m:{MATCH},removed:int>>")))
+        live = F.col("__live")
+        d = d.withColumns({seq: F.when(live, F.col(seq)).otherwise(F.col("__seq0")), qual: F.when(live, F.col(qual)).otherwise(F.col("__qual0")), "matches": F.when(live, F.concat("matches", F.transform("__ms", lambda x: entry(x["m"], x["removed"])))).otherwise(F.col("matches"))})
+        d = d.withColumn("__live", live & (F.length(seq) < F.length("__seq0")) & (F.length(seq) >= p.min_overlap))
+    d = d.withColumn("removed", F.col("__start") - F.length(seq))
+    if p.tag:
+        d = d.withColumn(id_, F.when(F.col("removed") > 0, S.insert_after_first_token(F.col(id_), F.lit(":AdapterRemoved"))).otherwise(F.col(id_)))
+    return d.drop("__adapters", "__start", "__live", "__seq0", "__qual0", "__m", "__ms", "__was")
+
+
+def strip_pair(reads: DataFrame) -> DataFrame:
+    """Mates whose overlap (over 5 bases, at most 15 % wrong) shows how long the insert is are cut to it; ``insert`` is null for others.
+
+    The overlap is the forward read's against the reverse complement of its mate, without gaps; N neither match nor mismatch.
+    """
+    rc = S.reverse_complement(F.col("seq_rev"))
+    n, m = F.length("seq"), F.length("seq_rev")
+    each = F.transform(S.alignments(F.col("seq"), rc, (1 - m).cast("int"), (n - 1).cast("int")), lambda x: F.struct((-(2 * x["matches"] + x["ambiguous"] - x["overlap"])).alias("neg_score"), x["shift"].alias("shift"), x["overlap"].alias("overlap")))
+    best = F.array_min(each)
+    wrong = F.floor((best["overlap"] + best["neg_score"]) / 2)
+    insert = F.when((best["overlap"] > 5) & (wrong <= best["overlap"] * 0.15), 2 * n - best["overlap"])
+    d = reads.withColumn("insert", insert)
+    cut = lambda c: F.when(F.col("insert").isNull(), F.col(c)).otherwise(F.substring(F.col(c), F.lit(1), F.col("insert")))
+    return d.withColumns({c: cut(c) for c in ("seq", "qual", "seq_rev", "qual_rev")})
+
+
+def adapter_stats(stripped: DataFrame) -> DataFrame:
+    """Per adapter: cuts, least, mean (whole) and largest overlap."""
+    m = stripped.select(F.explode("matches").alias("m")).select("m.*")
+    return m.groupBy("adapter_id").agg(F.count("*").alias("n_removed"), F.min("overlap").alias("min_overlap"), F.floor(F.avg("overlap")).alias("mean_overlap"), F.max("overlap").alias("max_overlap"))
+
+
+def removed_lengths(stripped: DataFrame) -> DataFrame:
+    """Cuts by removed length and mismatches."""
+    return stripped.select(F.explode("matches").alias("m")).groupBy(F.col("m.removed").alias("length"), F.col("m.mismatches").alias("mismatches")).agg(F.count("*").alias("n"))

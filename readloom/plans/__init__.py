@@ -1 +1 @@
-"""plans."""
+"""Whole jobs composed of operators."""
