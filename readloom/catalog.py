@@ -381,3 +381,226 @@ def qfrags_bed(spark, sf_dir):
 @query("SELECT o AS \"offset\", " + ", ".join(f"count(*) FILTER (x.strand = {st} AND x.sample = '{sm}') AS {'fr'[st]}_{sm}" for sm in ("chip", "ctrl") for st in (0, 1)) + " FROM range(-50, 51) t(o) LEFT JOIN (SELECT h.pos - s.pos AS off, h.strand, h.sample FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS rn FROM merged) s JOIN (SELECT chrom, pos, strand, 'chip' AS sample FROM hits UNION ALL SELECT chrom, pos, strand, 'ctrl' FROM ctrl) h ON h.chrom = s.chrom AND h.pos BETWEEN s.pos - 50 AND s.pos + 50 WHERE rn > 2 AND s.pos < 200000) x ON x.off = o GROUP BY o", "merged hits ctrl")
 def hit_dist(spark, sf_dir):
     return E.hit_distribution(summits(spark, sf_dir), views.chroms(spark), chip(spark, sf_dir), ctrl(spark, sf_dir), 50)
+
+
+# reads
+
+#: Barcodes and adapters of the queries.
+BARCODES = ("TTA", "ACT", "ACA", "TAA", "ACG", "TAG")
+ADAPTERS = ((1, "TCTATTAACA", True, False), (2, "CATACTGCAC", True, False), (3, "ACTGA", False, True))
+
+
+def barcodes(spark):
+    return spark.createDataFrame([(i, b) for i, b in enumerate(BARCODES, 1)], "barcode_id int, barcode string")
+
+
+def adapters(spark):
+    return spark.createDataFrame([(i, s, three, anchored, False, 0) for i, s, three, anchored in ADAPTERS], "adapter_id int, adapter string, three boolean, anchored boolean, reverse boolean, overhang int")
+
+
+CTE |= {
+    "fx_barcodes": "SELECT CAST(i AS INTEGER) AS barcode_id, b AS barcode FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(BARCODES, 1)) + ") t(i, b)",
+    "fx_adapters": "SELECT CAST(i AS INTEGER) AS adapter_id, s AS adapter, three, anchored FROM (VALUES " + ", ".join(f"({i}, '{s}', {t}, {a})" for i, s, t, a in ADAPTERS) + ") t(i, s, three, anchored)",
+    "variants": "SELECT DISTINCT barcode_id, substr(barcode, 1, i - 1) || x || substr(barcode, i + 1) AS variant FROM fx_barcodes, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS i), (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS x)",
+    "demuxed": "SELECT r.*, CAST(coalesce(b, 0) AS INTEGER) AS demux FROM fx_reads r LEFT JOIN (SELECT barcode, min(barcode_id) AS b FROM fx_barcodes GROUP BY 1) k ON k.barcode = substr(seq, 1, 3) WHERE length(seq) > 3",
+    "demuxed_near": "SELECT r.*, CAST(coalesce(b, 0) AS INTEGER) AS demux FROM fx_reads r LEFT JOIN (SELECT variant, min(barcode_id) AS b FROM variants GROUP BY 1) k ON k.variant = substr(seq, 1, 3) WHERE length(seq) > 3",
+}
+
+
+@query("SELECT read_no, CASE WHEN length(seq) > 7 THEN split_part(id, ' ', 1) || ':TL:' || substr(seq, 1, 4) || ':TR:' || substr(seq, length(seq) - 2) || substr(id, length(split_part(id, ' ', 1)) + 1) ELSE id END AS id, CASE WHEN length(seq) > 7 THEN substr(seq, 5, length(seq) - 7) ELSE '' END AS seq FROM fx_reads WHERE length(seq) - 7 >= 10", "fx_reads")
+def pretrim_tag(spark, sf_dir):
+    return R.pre_trim(views.reads(spark, sf_dir), 4, 3, 10, True).select("read_no", "id", "seq")
+
+
+@query("SELECT read_no, substr(seq, 1, 30) AS seq, substr(qual, 1, 30) AS qual FROM fx_reads WHERE length(seq) >= 30", "fx_reads")
+def trim_to(spark, sf_dir):
+    return R.trim_to(views.reads(spark, sf_dir), 30).select("read_no", "seq", "qual")
+
+
+@query("SELECT read_no, seq FROM fx_reads WHERE length(seq) >= 20", "fx_reads")
+def min_length(spark, sf_dir):
+    return R.min_length(views.reads(spark, sf_dir), 20).select("read_no", "seq")
+
+
+@query("SELECT read_no, replace(seq, 'N', 'A') AS seq, length(seq) - length(replace(seq, 'N', '')) AS n_uncalled FROM fx_reads WHERE length(seq) - length(replace(seq, 'N', '')) <= 1", "fx_reads")
+def n_filter(spark, sf_dir):
+    """Letters z stand for uncalled bases."""
+    return R.uncalled_filter(views.reads(spark, sf_dir), 1, "A").select("read_no", "seq", F.col("n_uncalled").cast("long").alias("n_uncalled"))
+
+
+@query("SELECT read_no, CAST(coalesce(list_max(list_transform(range(0, length(seq)), lambda i: CASE WHEN q[i + 1] >= 20 THEN i + 1 ELSE 0 END)), 0) AS INTEGER) AS kept FROM fx_reads", "fx_reads")
+def trim_tail(spark, sf_dir):
+    return views.reads(spark, sf_dir).select("read_no", S.kept(S.scores(F.col("qual")), 20, "TAIL").cast("int").alias("kept"))
+
+
+@query("SELECT read_no, CAST(coalesce(list_min(list_filter(list_transform(range(0, length(seq)), lambda i: CASE WHEN list_sum(q[i + 1 : i + 5]) < 100 THEN i END), lambda x: x IS NOT NULL)), length(seq)) AS INTEGER) AS kept FROM fx_reads", "fx_reads")
+def trim_window(spark, sf_dir):
+    return views.reads(spark, sf_dir).select("read_no", S.kept(S.scores(F.col("qual")), 20, "WIN").cast("int").alias("kept"))
+
+
+CTE["sums"] = "SELECT read_no, length(seq) AS len, i, sum(20 - q[i]) OVER (PARTITION BY read_no ORDER BY i DESC) AS s FROM (SELECT read_no, seq, q, unnest(range(1, length(seq) + 1)) AS i FROM fx_reads)"
+CTE["live"] = "SELECT * FROM (SELECT *, min(s) OVER (PARTITION BY read_no ORDER BY i DESC) AS m FROM sums) WHERE m >= 0"
+CTE["bwa"] = "SELECT r.read_no, CAST(coalesce(b.keep, length(seq)) AS INTEGER) AS kept FROM fx_reads r LEFT JOIN (SELECT read_no, max(i) AS keep FROM (SELECT *, max(s) OVER (PARTITION BY read_no) AS top FROM live) WHERE s = top AND s > 0 GROUP BY 1) b USING (read_no)"
+
+
+@query("SELECT read_no, kept FROM bwa", "bwa")
+def trim_bwa(spark, sf_dir):
+    """The running sum alone."""
+    return views.reads(spark, sf_dir).select("read_no", S.kept(S.scores(F.col("qual")), 20, "SUM").cast("int").alias("kept"))
+
+
+@query("SELECT read_no, CAST(coalesce(list_max(list_transform(range(0, kept), lambda i: CASE WHEN q[i + 1] >= 20 THEN i + 1 ELSE 0 END)), 0) AS INTEGER) AS kept FROM bwa JOIN fx_reads USING (read_no)", "bwa fx_reads")
+def trim_bwa_then_tail(spark, sf_dir):
+    return views.reads(spark, sf_dir).select("read_no", S.kept(S.scores(F.col("qual")), 20, "BWA").cast("int").alias("kept"))
+
+
+@query("SELECT read_no, CASE WHEN k < length(seq) THEN id || ':QT' ELSE id END AS id, substr(seq, 1, k) AS seq FROM (SELECT *, CAST(coalesce(list_max(list_transform(range(0, length(seq)), lambda i: CASE WHEN q[i + 1] >= 35 THEN i + 1 ELSE 0 END)), 0) AS INTEGER) AS k FROM fx_reads) WHERE k >= 10", "fx_reads")
+def quality_trim(spark, sf_dir):
+    return R.quality_trim(views.reads(spark, sf_dir), 35, "TAIL", 10, True).select("read_no", "id", "seq")
+
+
+@query("SELECT read_no, demux FROM demuxed", "demuxed")
+def demux_exact(spark, sf_dir):
+    return R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3).select("read_no", "demux")
+
+
+@query("SELECT read_no, demux FROM demuxed_near", "demuxed_near")
+def demux_approx(spark, sf_dir):
+    return R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3, True).select("read_no", "demux")
+
+
+@query("SELECT barcode_id, variant, count(*) AS n FROM (SELECT barcode_id, substr(barcode, 1, i - 1) || x || substr(barcode, i + 1) AS variant FROM fx_barcodes, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS i), (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS x)) GROUP BY 1, 2", "fx_barcodes")
+def barcode_variants(spark, sf_dir):
+    return R.barcode_variants(barcodes(spark)).groupBy("barcode_id", "variant").agg(F.count("*").alias("n"))
+
+
+@query("SELECT read_no, CASE WHEN demux > 0 THEN substr(seq, 4) ELSE seq END AS seq, CASE WHEN demux > 0 THEN substr(qual, 4) ELSE qual END AS qual FROM demuxed", "demuxed")
+def barcode_clip(spark, sf_dir):
+    return R.clip_barcode(R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3), 3).select("read_no", "seq", "qual")
+
+
+@query("SELECT read_no, substr(seq, 4) AS seq FROM demuxed_near WHERE demux > 0", "demuxed_near")
+def barcode_clip_excluding(spark, sf_dir):
+    return R.clip_barcode(R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3, True), 3, exclude=True).select("read_no", "seq")
+
+
+@query("SELECT demux, count(*) AS n_reads, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM demuxed), 6) AS percent FROM demuxed GROUP BY demux", "demuxed")
+def demux_counts(spark, sf_dir):
+    return R.demux_counts(R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3)).withColumn("percent", F.round("percent", 6))
+
+
+CTE |= {
+    "shifts": "SELECT *, unnest(range(CASE WHEN three THEN CASE WHEN anchored THEN n - m ELSE 0 END ELSE CASE WHEN anchored THEN 0 ELSE 4 - m END END, CASE WHEN three THEN CASE WHEN anchored THEN n - m ELSE n - 4 END ELSE CASE WHEN anchored THEN 0 ELSE n - m END END + 1)) AS s FROM (SELECT read_no, seq, length(seq) AS n, adapter_id, adapter, length(adapter) AS m, three, anchored FROM fx_reads, fx_adapters)",
+    "aligned": "SELECT *, least(n - greatest(s, 0), m - greatest(-s, 0)) AS o FROM shifts",
+    "compared": "SELECT *, list_sum(list_transform(range(0, o), lambda i: CASE WHEN seq[greatest(s, 0) + i + 1] = adapter[greatest(-s, 0) + i + 1] AND seq[greatest(s, 0) + i + 1] <> 'N' THEN 1 ELSE 0 END)) AS good, list_sum(list_transform(range(0, o), lambda i: CASE WHEN seq[greatest(s, 0) + i + 1] = 'N' OR adapter[greatest(-s, 0) + i + 1] = 'N' THEN 1 ELSE 0 END)) AS amb FROM aligned WHERE o > 0",
+    "best": "SELECT read_no, seq, n, adapter_id, m, three, s, o, good, amb FROM (SELECT *, row_number() OVER (PARTITION BY read_no, adapter_id ORDER BY (o - good - amb) / o::DOUBLE, o DESC, s) AS rn FROM compared) WHERE rn = 1",
+    "matched": "SELECT *, 2 * good - o + amb AS score, o - good - amb AS wrong FROM best WHERE o >= 4 AND good > 0 AND o - good - amb <= floor(0.2::DOUBLE * o)",
+    "chosen": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_no ORDER BY score DESC, adapter_id) AS rk FROM matched) WHERE rk = 1",
+}
+
+
+@query("SELECT read_no, adapter_id, CAST(s AS INTEGER) AS shift, CAST(o AS INTEGER) AS overlap, CAST(good AS INTEGER) AS matches, CAST(amb AS INTEGER) AS ambiguous FROM best", "best")
+def adapter_align(spark, sf_dir):
+    """The best ungapped alignment of every read with every adapter."""
+    d = views.reads(spark, sf_dir).join(F.broadcast(adapters(spark)))
+    lo, hi = S.shift_bounds(F.col("seq"), F.col("adapter"), F.col("three"), F.col("anchored"), F.col("overhang"), 4)
+    return d.withColumn("x", S.best_alignment(F.col("seq"), F.col("adapter"), lo, hi)).where("x is not null").select("read_no", "adapter_id", "x.shift", "x.overlap", "x.matches", "x.ambiguous")
+
+
+@query("SELECT r.read_no, CASE WHEN c.s IS NULL THEN r.seq WHEN c.three THEN substr(r.seq, 1, greatest(c.s, 0)) ELSE substr(r.seq, least(c.n, c.s + c.m) + 1) END AS seq, CASE WHEN c.s IS NULL THEN 0 WHEN c.three THEN c.n - greatest(c.s, 0) ELSE least(c.n, c.s + c.m) END AS removed FROM fx_reads r LEFT JOIN chosen c USING (read_no)", "fx_reads chosen")
+def adapter_strip_best(spark, sf_dir):
+    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams()).select("read_no", "seq", F.col("removed").cast("long").alias("removed"))
+
+
+@query()
+def adapter_strip_rounds(spark, sf_dir):
+    """Three rounds, each on what the one before left."""
+    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(times=3)).select("read_no", "id", "seq", "removed")
+
+
+@query()
+def adapter_strip_topdown(spark, sf_dir):
+    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(top_down=True)).select("read_no", "id", "seq", "removed")
+
+
+@query()
+def adapter_strip_paired(spark, sf_dir):
+    """A read's mate is the reverse complement of what follows its first five bases."""
+    r = views.reads(spark, sf_dir)
+    return A.strip_pair(r.withColumns({"seq_rev": F.concat(S.reverse_complement(F.substring("seq", 1, 40)), F.lit("ACGTTTGA")), "qual_rev": F.col("qual"), "id_rev": F.col("id")})).select("read_no", "seq", "seq_rev", "insert")
+
+
+@query("SELECT adapter_id, count(*) AS n_removed, CAST(min(o) AS INTEGER) AS min_overlap, CAST(floor(avg(o)) AS BIGINT) AS mean_overlap, CAST(max(o) AS INTEGER) AS max_overlap FROM chosen GROUP BY adapter_id", "chosen")
+def adapter_stats(spark, sf_dir):
+    return A.adapter_stats(A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams()))
+
+
+@query("SELECT CAST(CASE WHEN three THEN n - greatest(s, 0) ELSE least(n, s + m) END AS INTEGER) AS length, CAST(wrong AS INTEGER) AS mismatches, count(*) AS n FROM chosen GROUP BY 1, 2", "chosen")
+def removed_lengths(spark, sf_dir):
+    return A.removed_lengths(A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams()))
+
+
+# mapped records with barcodes
+
+CTE |= {
+    "keyed": "SELECT *, CASE WHEN flag = 16 THEN 1 ELSE 0 END AS strand, CASE WHEN flag = 16 THEN pos0 + seq_len ELSE pos0 END AS pos5, regexp_extract(qname, 'TL:([^:]*)', 1) AS barcode FROM fx_barcoded WHERE flag IN (0, 16)",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY chrom, pos5, strand, barcode ORDER BY rec_no) AS rn FROM keyed",
+    "places": "SELECT chrom, pos5, strand, count(*) AS n_total, count(DISTINCT barcode) AS n_unique FROM keyed GROUP BY 1, 2, 3",
+}
+
+
+@query("SELECT rec_no, qname, chrom, pos5, strand FROM numbered WHERE rn = 1", "numbered")
+def barcode_dedup(spark, sf_dir):
+    return D.deduplicated(views.barcoded(spark, sf_dir)).select("rec_no", "qname", "chrom", "pos5", "strand")
+
+
+@query("SELECT rec_no, qname, chrom, pos5, strand FROM numbered WHERE rn > 1", "numbered")
+def pcr_artifacts(spark, sf_dir):
+    return D.artifacts(views.barcoded(spark, sf_dir)).select("rec_no", "qname", "chrom", "pos5", "strand")
+
+
+@query("SELECT chrom, pos5, strand, n_total, n_unique FROM places", "places")
+def occurrence(spark, sf_dir):
+    return D.occurrences(views.barcoded(spark, sf_dir))
+
+
+@query("SELECT rate, CAST(coalesce(u.n, 0) AS BIGINT) AS \"unique\", CAST(coalesce(v.n, 0) AS BIGINT) AS non_unique, CAST(rate * coalesce(u.n, 0) AS BIGINT) AS unique_reads, CAST(rate * coalesce(v.n, 0) AS BIGINT) AS non_unique_reads FROM (SELECT unnest(range(1, (SELECT max(greatest(n_unique, n_total - n_unique)) + 1 FROM places))) AS rate) r LEFT JOIN (SELECT n_unique AS k, count(*) AS n FROM places GROUP BY 1) u ON u.k = rate LEFT JOIN (SELECT n_total - n_unique AS k, count(*) AS n FROM places WHERE n_total > n_unique GROUP BY 1) v ON v.k = rate", "places")
+def dup_histogram(spark, sf_dir):
+    return D.duplication_histogram(D.occurrences(views.barcoded(spark, sf_dir)))
+
+
+@query("SELECT rec_no, chrom, pos5, strand FROM numbered n WHERE rn = 1 AND (SELECT n_unique FROM places p WHERE p.chrom = n.chrom AND p.pos5 = n.pos5 AND p.strand = n.strand) >= 2", "numbered places")
+def cluster_filter(spark, sf_dir):
+    return D.cluster_filter(views.barcoded(spark, sf_dir), 2).select("rec_no", "chrom", "pos5", "strand")
+
+
+@query("SELECT CASE WHEN xm = 0 THEN 'unmapped' WHEN xm IS NOT NULL THEN 'not_unique' WHEN flag IN (0, 16) THEN 'mapped' ELSE 'other' END AS kind, count(*) AS n FROM fx_barcoded GROUP BY 1", "fx_barcoded")
+def xm_classes(spark, sf_dir):
+    return D.mapping_classes(views.barcoded(spark, sf_dir))
+
+
+CTE["kept_places"] = "SELECT chrom, pos5, strand, count(*) AS n_total, count(DISTINCT barcode) AS n_unique FROM keyed WHERE chrom <> 'chr7' GROUP BY 1, 2, 3"
+
+
+@query("SELECT n_total, n_filtered, n_unmapped, n_not_unique, n_mapped, n_removed, n_same_position, round(n_removed / n_mapped::DOUBLE, 9) AS pcr_rate FROM (SELECT count(*) AS n_total, count(*) FILTER (chrom = 'chr7') AS n_filtered, count(*) FILTER (chrom <> 'chr7' AND xm = 0) AS n_unmapped, count(*) FILTER (chrom <> 'chr7' AND xm <> 0) AS n_not_unique FROM fx_barcoded), (SELECT CAST(sum(n_total) AS BIGINT) AS n_mapped, CAST(sum(n_total - n_unique) AS BIGINT) AS n_removed, CAST(coalesce(sum(n_total - n_unique) FILTER (n_total - n_unique > 1), 0) AS BIGINT) AS n_same_position FROM kept_places)", "fx_barcoded kept_places")
+def dedup_stats(spark, sf_dir):
+    return D.statistics(views.barcoded(spark, sf_dir), "chr7").withColumn("pcr_rate", F.round("pcr_rate", 9))
+
+
+@query("SELECT rec_no, qname FROM fx_barcoded WHERE (rec_no * 7919 + rec_no // 13) % 2 = 0", "fx_barcoded")
+def hash_split(spark, sf_dir):
+    return D.half(views.barcoded(spark, sf_dir), 0).select("rec_no", "qname")
+
+
+@query("SELECT chrom, pos5 AS start, pos5 + 1 AS \"end\", CASE WHEN strand = 1 THEN -n_unique ELSE n_unique END AS value FROM places", "places")
+def strand_bedgraph(spark, sf_dir):
+    return D.strand_track(D.occurrences(views.barcoded(spark, sf_dir)))
+
+
+CTE["sites"] = "SELECT chrom, pos5 AS pos, strand, n_unique AS n, CASE WHEN strand = 1 THEN -n_unique ELSE n_unique END AS v, row_number() OVER (PARTITION BY chrom ORDER BY pos5, strand) AS rn, count(*) OVER (PARTITION BY chrom) AS c FROM places"
+
+
+@query("SELECT s.chrom, s.pos, s.strand, CAST(CASE WHEN s.rn = 1 OR s.rn = s.c THEN 0 ELSE coalesce((SELECT sum(v) FROM sites l WHERE l.chrom = s.chrom AND l.rn BETWEEN greatest(2, s.rn - 21) AND s.rn AND l.pos >= s.pos - 10), 0) - coalesce((SELECT sum(v) FROM sites r WHERE r.chrom = s.chrom AND r.rn BETWEEN s.rn + 1 AND s.rn + 21 AND r.pos <= s.pos + 10), 0) END AS BIGINT) AS score FROM sites s", "sites")
+def slide_score(spark, sf_dir):
+    p = D.occurrences(views.barcoded(spark, sf_dir)).select("chrom", F.col("pos5").alias("pos"), "strand", F.col("n_unique").alias("n"))
+    return E.sliding_score(p, 10)
