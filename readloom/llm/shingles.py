@@ -13,7 +13,7 @@ _FIRST = 0x9E3779B97F4A7C15
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; emptied when ``limit`` words are held."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
