@@ -1 +1 @@
-"""streaming."""
+"""Reads as a stream."""
