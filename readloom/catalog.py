@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import views
 from .functions import sequence as S
 from .operators import adapters as A
+from .operators import candidates as C
 from .operators import dedup as D
 from .operators import evaluation as E
 from .operators import fragments as G
@@ -604,3 +605,73 @@ CTE["sites"] = "SELECT chrom, pos5 AS pos, strand, n_unique AS n, CASE WHEN stra
 def slide_score(spark, sf_dir):
     p = D.occurrences(views.barcoded(spark, sf_dir)).select("chrom", F.col("pos5").alias("pos"), "strand", F.col("n_unique").alias("n"))
     return E.sliding_score(p, 10)
+
+
+def sites(spark, sf_dir):
+    return D.occurrences(views.barcoded(spark, sf_dir)).select("chrom", F.col("pos5").alias("pos"), "strand", F.col("n_unique").alias("n"))
+
+
+@query()
+def forward_candidates(spark, sf_dir):
+    """A scan with a state; the tests hold it against literal loops."""
+    return C.forward_candidates(sites(spark, sf_dir), 10, 3)
+
+
+@query()
+def candidate_widths(spark, sf_dir):
+    return C.width_histogram(C.forward_candidates(sites(spark, sf_dir), 10, 3))
+
+
+@query()
+def candidate_profile(spark, sf_dir):
+    return C.score_profile(C.forward_candidates(sites(spark, sf_dir), 10, 3), sites(spark, sf_dir), 10, 10)
+
+
+CTE["wide"] = "SELECT a.pos - b.pos AS d, a.chrom, a.rn, a.v, b.rn AS brn, b.v AS bv FROM sites a JOIN sites b ON a.chrom = b.chrom AND a.rn <> b.rn AND abs(a.pos - b.pos) <= 5"
+CTE["halves"] = "SELECT CAST(h AS INTEGER) AS half, CAST((SELECT sum(CASE WHEN s.rn = 1 OR s.rn = s.c THEN 0 ELSE s.v + coalesce((SELECT sum(CASE WHEN w.brn < s.rn THEN CASE WHEN w.brn > 1 THEN w.bv ELSE 0 END ELSE -w.bv END) FROM wide w WHERE w.chrom = s.chrom AND w.rn = s.rn AND abs(w.d) <= h), 0) END) FROM sites s) AS BIGINT) AS score FROM range(1, 6) t(h)"
+
+
+@query("SELECT half, score FROM halves", "halves")
+def width_profile(spark, sf_dir):
+    return C.width_profile(sites(spark, sf_dir), range(1, 6))
+
+
+@query("SELECT length AS fragment_length FROM qld WHERE chip > 0 ORDER BY chip DESC, length LIMIT 1", "qld")
+def correlation_length(spark, sf_dir):
+    d = G.pair_length_distribution(chip(spark, sf_dir), ctrl(spark, sf_dir), STEPS)
+    return C.correlation_length(d.select(F.col("length").alias("row"), F.col("chip").alias("value")))
+
+
+@query("SELECT CASE WHEN coalesce(demux, 0) = 0 THEN 'unidentified' ELSE barcode END AS sample, count(*) AS n_reads FROM demuxed LEFT JOIN fx_barcodes ON demux = barcode_id GROUP BY 1", "demuxed fx_barcodes")
+def reads_per_output(spark, sf_dir):
+    d = R.demultiplex(views.reads(spark, sf_dir), barcodes(spark), 3)
+    names = barcodes(spark).select(F.col("barcode_id").alias("demux"), F.col("barcode").alias("sample"))
+    return d.join(F.broadcast(names), "demux", "left").groupBy(F.coalesce("sample", F.lit("unidentified")).alias("sample")).agg(F.count("*").alias("n_reads"))
+
+
+@query()
+def preprocess_chain(spark, sf_dir):
+    """All stages over all reads."""
+    from .plans.preprocess import preprocess
+
+    p = TrimParams(trim_left=1, min_length=5, uncalled=3, quality=20, quality_min_length=5)
+    return preprocess(views.reads(spark, sf_dir), p, barcodes(spark), adapters(spark)).select("read_no", "id", "seq", "qual", "demux", "removed")
+
+
+@query(ORACLES["narrowpeak"])
+def peak_caller(spark, sf_dir):
+    """The whole caller with a control, the fragment length given."""
+    from .params import PeakParams
+    from .plans.peaks import call_peaks
+
+    run = call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=(Q_MIN + Q_MAX) // 2), views.control(spark, sf_dir))
+    return run.narrow_peak().withColumns({"log_p": log_p(), "log_q": log_p("q_value")}).drop("p_value", "q_value")
+
+
+@query()
+def peak_caller_nexus(spark, sf_dir):
+    from .params import PeakParams
+    from .plans.peaks import call_peaks
+
+    run = call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=20, nexus=True))
+    return run.narrow_peak()

@@ -266,3 +266,68 @@ def test_summits_against_literal_loops(spark):
     for q, _ in merged:
         near = [(h, s) for h, s in hits if q - hi < h < q + hi]
         assert side.get(q, (0,) * 4) == tuple(sum(s == st and (h < q) == up for h, s in near) for st, up in ((0, True), (0, False), (1, True), (1, False)))
+
+
+def test_candidates_against_literal_loops(spark):
+    import random
+
+    from readloom.operators import candidates as C
+    from readloom.operators import evaluation as E
+
+    rng = random.Random(4)
+    for tolerance in (0.0, 0.6):
+        sites = sorted({(rng.randrange(400), rng.randrange(2)) for _ in range(160)})
+        rows = [("c", p, s, rng.randint(1, 4)) for p, s in sites]
+        half, limit = 9, 4
+
+        def score(i):
+            """Score and window of one site, as a walk to both sides."""
+            lo = hi = i
+            if i == 0 or i == len(rows) - 1:
+                return 0, lo, hi
+            sign = lambda r: -r[3] if r[2] else r[3]
+            left, k = 0, i
+            while k > 0 and rows[i][1] - rows[k][1] <= half:
+                left, lo, k = left + sign(rows[k]), k, k - 1
+            right, k = 0, i + 1
+            while k < len(rows) and rows[k][1] - rows[i][1] <= half:
+                right, hi, k = right - sign(rows[k]), k, k + 1
+            if tolerance and (left == 0 or not 1 - tolerance <= right / left <= 1 + tolerance):
+                return 0, lo, hi
+            return left + right, lo, hi
+
+        df = spark.createDataFrame(rows, "chrom string, pos long, strand int, n long")
+        got = {(r["pos"], r["strand"]): r["score"] for r in E.sliding_score(df, half, tolerance).collect()}
+        assert got == {(rows[i][1], rows[i][2]): score(i)[0] for i in range(len(rows))}
+        want, best, ahead, i = [], None, 0, 0
+        while i < len(rows):
+            s, lo, hi = score(i)
+            if s >= limit and best is None:
+                best, ahead = (s, i, lo, hi), half
+            if ahead > 0:
+                if s > best[0]:
+                    best = (s, i, lo, hi)
+                ahead -= 1
+                i += 1
+                continue
+            if best:
+                top, _, lo, hi = best
+                first, last, on, prev = lo, hi, False, lo
+                for k in range(lo, hi):
+                    v = score(k)[0]
+                    if not on and v > 0.9 * top:
+                        first, on = k, True
+                    elif on and v < 0.9 * top:
+                        last = prev
+                        break
+                    prev = k
+                mid, centre = (rows[first][1] + rows[last][1]) // 2, first
+                for k in range(first, last):
+                    if abs(mid - rows[k][1]) < mid - rows[first][1]:
+                        centre = k
+                want.append((rows[centre][1], rows[centre][2], top, rows[last][1] - rows[first][1]))
+                i, best = hi, None
+            i += 1
+        found = C.forward_candidates(df, half, limit, tolerance)
+        assert [(r["pos"], r["strand"], r["score"], r["width"]) for r in found.orderBy("start").collect()] == want and want
+        assert C.candidates_bed(found).count() == C.width_histogram(found).agg(F.sum("n")).first()[0] == len(want)
