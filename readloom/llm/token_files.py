@@ -19,7 +19,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,10 +151,13 @@ class Decoder:
 class FileTokenizer:
     """The tokenizers library over chunks that begin at a space, each distinct one once while it is held.
 
-    Chunks are held in two generations, of ``limit`` entries together; those not met again in one generation go.
-    A space before a non-white character always starts a pre-token, so ids of chunks, joined, are those of the text.
+    A space before a non-white character always starts a pre-token, so ids of chunks, joined, are those of the text. Chunks
+    are told apart by two 64-bit universal hashes, computed for a whole batch at once; about ``limit`` of them are held, and the
+    half not met for longest goes when there are more. Texts with other white space beside a space go to the library whole.
     """
 
+    WEIGHTS = 1 << 16  # bytes of a chunk that have weights of their own; texts with longer ones go to the library whole
+
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -169,56 +171,126 @@ class FileTokenizer:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)  # the vocabulary has one character for each byte
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = limit
-        self.stops = {c: self._ids(c) for c in ".,"}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
-
-    def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        """Encode chunks joined by spaces, and cut the ids where the bytes of each chunk end."""
+        self.letter = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+        rng = np.random.default_rng(11)
+        self.w1, self.w2 = (rng.integers(0, 1 << 64, self.WEIGHTS, np.uint64) | np.uint64(1) for _ in range(2))
+        self.limit, self.batch = limit, 0
+        self._hold(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16))
+
+    def _hold(self, keys, checks, starts, sizes, used, pool) -> None:
+        """Entries in order of key: where a chunk's ids stand in the pool and how many they are (-1: not to be cut there)."""
+        self.keys, self.checks, self.starts, self.sizes, self.used, self.pool = keys, checks, starts, sizes, used, pool
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, each after a space, and how many each has: encoded joined, and cut where the bytes of each chunk end."""
+        ids, sizes = [], []
         for k in range(0, len(chunks), 8192):
-            some = chunks[k : k + 8192]
-            text = " " + " ".join(some)
-            ids = np.frombuffer(self._ids(text), np.uint16)
+            text = " " + " ".join(chunks[k : k + 8192])
+            got = self._ids(text)
             coded = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             ends = np.append(np.flatnonzero(coded == 32)[1:], len(coded))  # no chunk has a space
-            cut = (2 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
-            raw = ids.tobytes()
-            into.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut], cut))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as native 16-bit integers."""
-        parts = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        young, old, new, stopped = self.young, self.old, set(), []
-        distinct = list(set(chain.from_iterable(parts)))
-        got = list(map(young.get, distinct))
-        here = dict(zip(distinct, got))
-        for c in [c for c, g in zip(distinct, got) if g is None]:
-            known = old.get(c)
-            if known is None and c[-1:] in self.stops and c[:-1].isalpha():  # letters end a pre-token before a stop
-                stopped.append(c)
-                c = c[:-1]
-                known = here.get(c) or young.get(c) or old.get(c)
-            if known is None:
-                new.add(c)
-            else:
-                here[c] = young[c] = known
-        odd = {c for c in new if not c or c[0].isspace()}  # white space beside a space: such texts go to the library whole
-        new -= odd
-        self._learn(list(new), here)
-        here.update([(c, here[c[:-1]] + self.stops[c[-1]]) for c in stopped])
-        whole = [not odd.isdisjoint(p) for p in parts] if odd else [False] * len(parts)
-        get = here.__getitem__
-        out = [self._ids(t) if w else (self._ids(h) if h else b"") + b"".join(map(get, p)) for t, h, p, w in zip(texts, heads, parts, whole)]
-        young.update((c, here[c]) for c in new)
-        young.update((c, here[c]) for c in stopped)
-        if len(young) > self.limit // 2:
-            self.old, self.young = (young, {}) if len(young) <= self.limit else ({}, {})
-        return out
+            cut = np.searchsorted(np.cumsum(self.width[got]), ends) + 1
+            ids.append(got)
+            sizes.append(np.diff(cut, prepend=0))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, chunks: list[str], heads: np.ndarray) -> None:
+        """Encode new chunks and hold them. ``heads`` begin a text and so have no space before them."""
+        ok = np.array([len(c) < self.WEIGHTS // 4 and (h or (c != "" and not c[0].isspace())) for c, h in zip(chunks, heads.tolist())], bool)
+        after = np.flatnonzero(ok & ~heads)
+        first = np.flatnonzero(ok & heads)
+        ids, n = self._learn([chunks[i] for i in after.tolist()])
+        begin = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast([chunks[i] for i in first.tolist()], add_special_tokens=False)]
+        sizes = np.full(len(keys), -1, np.int32)
+        sizes[after], sizes[first] = n, [len(x) for x in begin]
+        pool = np.concatenate([ids, *begin]) if len(begin) or len(ids) else np.zeros(0, np.uint16)
+        starts = np.zeros(len(keys), np.int64)
+        order = np.concatenate([after, first])
+        starts[order] = len(self.pool) + np.concatenate([[0], np.cumsum(sizes[order])[:-1]]) if len(order) else 0
+        self._merge(keys, checks, starts, sizes, np.concatenate([self.pool, pool]))
+
+    def _merge(self, keys, checks, starts, sizes, pool) -> None:
+        every = [np.concatenate(x) for x in ((self.keys, keys), (self.checks, checks), (self.starts, starts), (self.sizes, sizes), (self.used, np.full(len(keys), self.batch, np.int32)))]
+        order = np.argsort(every[0], kind="stable")
+        every = [x[order] for x in every]
+        if len(order) > self.limit:
+            keep = every[4] >= np.partition(every[4], len(order) // 2)[len(order) // 2]
+            every = [x[keep] for x in every]
+            size = np.maximum(every[3], 0).astype(np.int64)
+            pool = pool[_spread(every[2], size)]
+            every[2] = np.cumsum(size) - size
+        self._hold(*every, pool)
+
+    def _cut(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks start, and which of them have no space before them.
+
+        Besides spaces, two borders are sure: between an ASCII letter and a stop that a space or a line's end follows, and
+        behind such a line's end if an ASCII letter comes next.
+        """
+        starts = np.concatenate([[0], np.flatnonzero(raw == 32)[:-1] + 1])
+        at = np.flatnonzero((raw == 46) | (raw == 44))
+        at = at[(at > 0) & (at + 2 < len(raw))]
+        at = at[self.letter[raw[at - 1]]]
+        line = (raw[at + 1] == 10) & self.letter[raw[at + 2]]
+        at, line = at[line | (raw[at + 1] == 32)], at[line] + 2
+        more = np.concatenate([at, line])
+        where = np.concatenate([starts, more])
+        order = np.argsort(where, kind="stable")
+        return where[order], np.repeat([False, True], [len(starts), len(more)])[order]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        if not texts:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        self.batch += 1
+        coded = [t.encode("utf-8", "replace") for t in texts]
+        buffer = b" ".join(coded) + b" "
+        raw = np.frombuffer(buffer, np.uint8)
+        starts, bare = self._cut(raw)
+        ends = np.append(starts[1:], len(raw))
+        ends -= raw[ends - 1] == 32
+        text_at = np.cumsum([0] + [len(c) + 1 for c in coded[:-1]])
+        first = np.searchsorted(starts, text_at)
+        bare[first] = True
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
+        place &= self.WEIGHTS - 1
+        wide = (raw.astype(np.uint64) + np.uint64(1)) * (raw != 32)
+        h1, h2 = np.add.reduceat(wide * self.w1[place], starts), np.add.reduceat(wide * self.w2[place], starts)
+        h1[bare] ^= np.uint64(0xA5A5A5A5A5A5A5A5)
+        keys, some, back = np.unique(h1, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        new = some[~known]
+        if len(new):
+            chunks = [buffer[i:j].decode() for i, j in zip(starts[new].tolist(), ends[new].tolist())]
+            if known.any():
+                self.used[at[known]] = self.batch
+            self._add(keys[~known], h2[new], chunks, bare[new])
+            at = np.searchsorted(self.keys, keys)
+        self.used[at] = self.batch
+        entry = at[back]
+        size = self.sizes[entry].astype(np.int64)
+        size[(self.checks[entry] != h2) | (ends - starts >= self.WEIGHTS)] = -1
+        whole = np.minimum.reduceat(size, first) < 0
+        n = np.add.reduceat(np.maximum(size, 0), first)
+        ids = self.pool[_spread(self.starts[entry], np.maximum(size, 0))]
+        if whole.any():
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in np.flatnonzero(whole).tolist():
+                parts[i] = self._ids(texts[i])
+                n[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, n
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i], starts[i] + 1, ... of every run, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 _tokenizers: dict[str, FileTokenizer] = {}
@@ -237,23 +309,24 @@ BLOCKS = "shard int, first long, doc_id array<long>, n_tokens array<long>, n_ids
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, counts, tok = TaskContext.get().partitionId(), 0, np.zeros(1 << 16, np.int64), tokenizer(path)
-        end = np.uint16(end_id).tobytes()
         for b in batches:
             if not b.num_rows:
                 continue
-            coded = [i + end for i in tok.encode([t or "" for t in b.column("__text").to_pylist()])]
-            ids, n = b.column("doc_id").to_pylist(), [len(c) // 2 for c in coded]
+            coded, n = tok.encode([t or "" for t in b.column("__text").to_pylist()])
+            flat = np.insert(coded, np.cumsum(n), np.uint16(end_id))  # the end id after each document
+            n = (n + 1).tolist()
+            ids = b.column("doc_id").to_pylist()
             cuts, held = [0], 0
             for i, k in enumerate(n, 1):  # blocks small enough to stay in a core's cache
                 held += k
                 if held >= BLOCK or i == len(n):
                     cuts.append(i)
                     held = 0
-            parts = [b"".join(coded[i:j]) for i, j in zip(cuts, cuts[1:])]
-            sizes = [len(p) // 2 for p in parts]
-            counts += np.bincount(np.frombuffer(b"".join(parts), np.uint16), minlength=1 << 16)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array(first + np.cumsum([0, *sizes[:-1]]), pa.int64()), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array([n[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
-            first += sum(sizes)
+            counts += np.bincount(flat, minlength=1 << 16)
+            at = np.cumsum([0, *n])[cuts].tolist()
+            parts = [flat[i:j].tobytes() for i, j in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array([first + i for i in at[:-1]], pa.int64()), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array([n[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
+            first += at[-1]
         if first:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
 
