@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside higher-order functions Spark evaluates each mention of an expression anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 def insert_after_first_token(id_: Column, token: Column) -> Column:
     """``token`` before the first space of ``id_``, or at its end."""
     head = F.substring_index(id_, " ", 1)
@@ -74,20 +79,27 @@ def alignments(read: Column, adapter: Column, lo: Column, hi: Column) -> Column:
 
     A base matches if it is equal and no N; N on either side is ambiguous, not an error. Shifts without overlap are left out.
     """
-    a, b = F.split(read, ""), F.split(adapter, "")
     n, m = F.length(read), F.length(adapter)
 
-    def one(s: Column) -> Column:
+    def at(a: Column, b: Column, s: Column, start: Column, first: Column, overlap: Column) -> Column:
+        pair = F.zip_with(F.slice(a, start + 1, overlap), F.slice(b, first + 1, overlap), lambda x, y: F.when((x == "N") | (y == "N"), 1).when(x == y, 1000).otherwise(0))
+        counts = F.aggregate(pair, F.lit(0), lambda t, v: t + v)
+
+        def entry(code: Column) -> Column:
+            matches, ambiguous = F.floor(code / 1000).cast("int"), (code % 1000).cast("int")
+            err = (overlap - F.floor(code / 1000) - code % 1000).cast("double") / overlap
+            return F.struct(err.alias("err"), (-overlap).alias("neg_overlap"), s.alias("shift"), overlap.alias("overlap"), matches.alias("matches"), ambiguous.alias("ambiguous"))
+
+        return let(counts, entry)
+
+    def one(a: Column, b: Column, s: Column) -> Column:
         start, first = F.greatest(s, F.lit(0)), F.greatest(-s, F.lit(0))
-        overlap = F.least(n - start, m - first)
-        pair = F.zip_with(F.slice(a, start + 1, F.greatest(overlap, F.lit(0))), F.slice(b, first + 1, F.greatest(overlap, F.lit(0))), lambda x, y: F.when((x == "N") | (y == "N"), 1).when(x == y, 1000).otherwise(0))
-        code = F.aggregate(pair, F.lit(0), lambda t, v: t + v)
-        matches, ambiguous = F.floor(code / 1000).cast("int"), (code % 1000).cast("int")
-        err = (overlap - matches - ambiguous).cast("double") / overlap
-        return F.struct(err.alias("err"), (-overlap).alias("neg_overlap"), s.alias("shift"), overlap.alias("overlap"), matches.alias("matches"), ambiguous.alias("ambiguous"))
-
-    each = F.transform(F.sequence(lo, hi), one)
-    return F.when((hi < lo) | (n == 0) | (m == 0), F.array().cast("array<struct<err:double,neg_overlap:int,shift:int,overlap:int,matches:int,ambiguous:int>>")).otherwise(F.filter(each, lambda x: x["overlap"] > 0))
+        overlap = F.greatest(F.least(n - start, m - first), F.lit(0))
+        return let(F.struct(start.alias("start"), first.alias("first"), overlap.alias("overlap")), lambda p: F.when(p["overlap"] > 0, at(a, b, s, p["start"], p["first"], p["overlap"])))
+
+    shifts = F.when((hi < lo) | (n == 0) | (m == 0), F.array().cast("array<int>")).otherwise(F.sequence(lo, hi))
+    letters = F.struct(F.split(read, "").alias("a"), F.split(adapter, "").alias("b"))
+    return let(letters, lambda w: F.filter(F.transform(shifts, lambda s: one(w["a"], w["b"], s)), lambda x: x.isNotNull()))
 
 
 def best_alignment(read: Column, adapter: Column, lo: Column, hi: Column) -> Column:

@@ -23,11 +23,14 @@ def with_adapters(reads: DataFrame, adapters: DataFrame, reverse: bool = False)
 def _match(seq: Column, a: Column, p: TrimParams) -> Column:
     """The adapter's best alignment as MATCH, or null if the rule rejects it."""
     lo, hi = S.shift_bounds(seq, a["adapter"], a["three"], a["anchored"], a["overhang"], p.min_overlap)
-    x = S.best_alignment(seq, a["adapter"], lo, hi)
-    wrong = x["overlap"] - x["matches"] - x["ambiguous"]
-    good = (x["overlap"] >= p.min_overlap) & (x["matches"] > 0) & (wrong <= S.allowed_errors(x["overlap"], p.error_rate, p.errors, p.non_linear))
-    score = 2 * x["matches"] - x["overlap"] + x["ambiguous"]
-    return F.when(good, F.struct((-score).cast("int").alias("neg_score"), a["adapter_id"].alias("adapter_id"), a["three"].alias("three"), F.length(a["adapter"]).alias("length"), x["shift"].alias("shift"), x["overlap"].alias("overlap"), wrong.cast("int").alias("mismatches")))
+
+    def judge(x: Column) -> Column:
+        wrong = x["overlap"] - x["matches"] - x["ambiguous"]
+        good = (x["overlap"] >= p.min_overlap) & (x["matches"] > 0) & (wrong <= S.allowed_errors(x["overlap"], p.error_rate, p.errors, p.non_linear))
+        score = 2 * x["matches"] - x["overlap"] + x["ambiguous"]
+        return F.when(good, F.struct((-score).cast("int").alias("neg_score"), a["adapter_id"].alias("adapter_id"), a["three"].alias("three"), F.length(a["adapter"]).alias("length"), x["shift"].alias("shift"), x["overlap"].alias("overlap"), wrong.cast("int").alias("mismatches")))
+
+    return S.let(S.best_alignment(seq, a["adapter"], lo, hi), judge)
 
 
 def _cut(seq: Column, m: Column, text: Column) -> Column:
