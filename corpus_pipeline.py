@@ -13,9 +13,16 @@ from readloom.llm import bpe, decontaminate, jaccard, registry, secrets, toxicit
 from readloom.llm.workspace import Workspace, arrow_rows, table
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], stage) -> DataFrame:
+    """``stage`` over ``docs``, columns whose names the stage uses itself set aside and given back as they were."""
+    away = {c: f"__own_{c}" for c in names if c in docs.columns}
+    back = {v: k for k, v in away.items()}
+    return stage(docs.withColumnsRenamed(away)).drop(*away).withColumnsRenamed(back).select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on these documents' labels, does not predict to be toxic. Null and empty texts stay."""
-    return toxicity.predict(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+    return beside(docs, ("score", "predicted"), lambda d: toxicity.predict(d, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark, n_chars as it is then."""
     arrow_rows(spark, 512)
-    done = secrets.redact(docs)
+    done = beside(docs, ("spans",), secrets.redact)
     return done.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in done.columns else done
 
 

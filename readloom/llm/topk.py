@@ -182,4 +182,5 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     out = ws.write(best, "result")
     ws.close("result")
+    arrow_rows(spark, 10_000)
     return out

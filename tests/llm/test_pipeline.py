@@ -90,6 +90,7 @@ def test_pipeline_empty_tables_and_extra_columns(spark, tmp_path):
     null = spark.createDataFrame([(None, None), (None, "text without id"), (5000, ""), (5001, None)], "doc_id long, text string")
     odd.unionByName(null, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
+    assert {(r["score"], tuple(r["spans"]), r["node"]) for r in got.where("doc_id < 5000").collect()} == {(2.0, (1,), "x")}
     assert got.count() >= 30 and {5000, 5001} <= {r["doc_id"] for r in got.select("doc_id").collect()}
     odd.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
