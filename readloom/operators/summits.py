@@ -12,25 +12,51 @@ def changes(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
 
 
+#: Positions of a tile: windows along a chromosome run tile by tile, so a long or deep chromosome is many tasks' work.
+TILE = 1 << 20
+
+
+def stepped(changes: DataFrame) -> DataFrame:
+    """(chrom, pos, d, cov, end, next): the running sum of changes, and where and by how much it changes next (null at the last).
+
+    Tiles hand on their sums and first changes through a table of one row a tile; the join to it and the windows share one shuffle.
+    """
+    c = changes.withColumn("__t", F.floor(F.col("pos") / TILE))
+    tiles = c.groupBy("chrom", "__t").agg(F.sum("d").alias("__s"), F.min(F.struct("pos", "d")).alias("__f"))
+    along = Window.partitionBy("chrom").orderBy("__t")
+    before = F.coalesce(F.sum("__s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles = tiles.select("chrom", "__t", before.alias("__b"), F.lead("__f").over(along).alias("__n"))
+    w = Window.partitionBy("chrom", "__t").orderBy("pos")
+    own = c.join(tiles, ["chrom", "__t"])
+    cov = F.col("__b") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.select("chrom", "pos", "d", cov.alias("cov"), F.coalesce(F.lead("pos").over(w), F.col("__n.pos")).alias("end"), F.coalesce(F.lead("d").over(w), F.col("__n.d")).alias("next"))
+
+
 def coverage(pairs: DataFrame) -> DataFrame:
     """(chrom, pos, d, cov): the coverage from each change on."""
-    return changes(pairs).withColumn("cov", F.sum("d").over(Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    return stepped(changes(pairs)).select("chrom", "pos", "d", "cov")
 
 
 def raw_summits(pairs: DataFrame) -> DataFrame:
     """The middle and height of every plateau that a rise enters and a fall leaves."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    c = coverage(pairs).select("chrom", "pos", "d", "cov", F.lead("pos").over(w).alias("end"), F.lead("d").over(w).alias("next"))
-    return c.where("d > 0 and next < 0 and pos >= 1").select("chrom", F.expr("pos + (end - pos) div 2").alias("pos"), F.col("cov").alias("q_cov"))
+    return stepped(changes(pairs)).where("d > 0 and next < 0 and pos >= 1").select("chrom", F.expr("pos + (end - pos) div 2").alias("pos"), F.col("cov").alias("q_cov"))
 
 
 def refined_summits(summits: DataFrame, reach: int) -> DataFrame:
-    """Summits without a strictly higher one nearer than ``reach``; a chromosome's first summit is never looked at from its right."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    s = summits.withColumn("rn", F.row_number().over(w))
-    left = F.max(F.when(F.col("rn") > 1, F.col("q_cov"))).over(w.rangeBetween(-(reach - 1), 0))
+    """Summits without a strictly higher one nearer than ``reach``; a chromosome's first summit is never looked at from its right.
+
+    Tiles see the summits that lie nearer than ``reach`` beside them.
+    """
+    size = max(TILE, 2 * reach)
+    first = summits.groupBy("chrom").agg(F.min("pos").alias("__first"))
+    tile = F.floor(F.col("pos") / size)
+    s = summits.join(F.broadcast(first), "chrom").withColumn("__own", tile)
+    s = s.withColumn("__t", F.explode(F.array_distinct(F.array(F.floor((F.col("pos") - reach) / size), "__own", F.floor((F.col("pos") + reach) / size)))))
+    w = Window.partitionBy("chrom", "__t").orderBy("pos")
+    left = F.max(F.when(F.col("pos") > F.col("__first"), F.col("q_cov"))).over(w.rangeBetween(-(reach - 1), 0))
     right = F.max("q_cov").over(w.rangeBetween(0, reach - 1))
-    return s.withColumn("l", F.coalesce(left, F.col("q_cov"))).withColumn("r", right).where("q_cov >= l and q_cov >= r").select("chrom", "pos", "q_cov")
+    seen = s.withColumn("l", F.coalesce(left, F.col("q_cov"))).withColumn("r", right)
+    return seen.where("__t = __own and q_cov >= l and q_cov >= r").select("chrom", "pos", "q_cov")
 
 
 def merged_summits(summits: DataFrame, reach: int, drop_last: bool = True) -> DataFrame:

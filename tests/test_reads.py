@@ -221,13 +221,15 @@ def test_whole_chain_and_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(key).collect())) == sorted(map(tuple, out.select(key).collect()))
 
 
-def test_summits_against_literal_loops(spark):
+@pytest.mark.parametrize("tile", [1 << 20, 50])
+def test_summits_against_literal_loops(spark, monkeypatch, tile):
     import random
 
     from readloom.operators import evaluation as E
     from readloom.operators import fragments as G
     from readloom.operators import summits as M
 
+    monkeypatch.setattr(M, "TILE", tile)
     rng = random.Random(11)
     lo, hi, size = 5, 40, 600
     hits = {(rng.randrange(size), rng.randrange(2)) for _ in range(150)}
