@@ -272,6 +272,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     held = counted.where("held is not null").select("block", F.explode(F.arrays_zip("at", "held")).alias("r")).groupBy("block", F.col("r.at").alias("at")).agg(F.sum("r.held").alias("held"))
     going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").groupBy("node").agg(F.max("n").alias("n"), F.max("held").alias("held"))
     going = ws.write(going, "going")
+    ws.release()
     ids = ws.write(going.select("node").join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
     keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")

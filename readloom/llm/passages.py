@@ -220,11 +220,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
     streamed = left.cogroup(given.groupBy("block")).applyInArrow(_streamed(window, digest), f"{STREAMED}, n_removed long")
     streamed = ws.write(streamed, "streamed")
     ws.drop("marks", "copies")
+    ws.release()
 
     seen = streamed.where("starts is not null").select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "row", F.col("w.starts").alias("start"), F.col("w.hashes").alias("h"))
     first = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
     gone = seen.join(first, "h").where("doc_id > first").groupBy("doc_id", "row").agg(F.collect_list("start").alias("gone"))
     gone = ws.write(gone, "gone")
+    ws.release()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

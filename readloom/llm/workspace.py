@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,16 @@ class Workspace:
         r = self.spark.read
         return (r.schema(schema) if schema is not None else r).parquet(self.paths[name])
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished plans now: it does so when the driver's garbage is collected, which may be much later.
+
+        The first round frees the plans that Python held, the second what they held in turn.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
+
     def drop(self, *names: str) -> None:
         jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for n in names:
