@@ -82,7 +82,7 @@ def refill(template: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in template)
 
 
-#: Digits before the hyphens that no social security number has; area codes and exchanges start at 200.
+#: Digits before the hyphens that no social security number has; assigned area codes and exchanges start at 200.
 _SSN_AREAS = [a for a in range(1, 900) if a != 666]
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -134,12 +134,18 @@ class Pseudonyms:
         return f"{self.characters('local', local)}@{self.characters('host', name)}.{top}"
 
     def phone(self, s: str) -> str | None:
-        """North American numbers: area code and exchange from 200 on."""
+        """North American numbers: those with area code and exchange from 200 on, and all others of the format, each permuted among themselves."""
         d = "".join(c for c in s if c.isdigit())
         lead, d = d[:-10], d[-10:]
         area, exchange, line = int(d[:3]) - 200, int(d[3:6]) - 200, int(d[6:])
-        if area < 0 or exchange < 0 or lead not in ("", "1"):
+        if lead not in ("", "1"):
             return None
+        if area < 0 or exchange < 0:
+            # ranks: areas below 200 with any exchange, then the others with exchanges below 200
+            x = int(d[:6]) if area < 0 else 200_000 + area * 200 + exchange + 200
+            x, line = divmod(self.permute("phone below 200", 360_000 * 10_000, x * 10_000 + line), 10_000)
+            front = x if x < 200_000 else (x - 200_000) // 200 * 1000 + 200_000 + (x - 200_000) % 200
+            return refill(s, f"{lead}{front:06d}{line:04d}")
         x, line = divmod(self.permute("phone", 800 * 800 * 10_000, (area * 800 + exchange) * 10_000 + line), 10_000)
         return refill(s, f"{lead}{x // 800 + 200}{x % 800 + 200}{line:04d}")
 
@@ -221,9 +227,17 @@ class Pseudonyms:
             if right and (left := self._left.search(text[max(0, at - 64) : at])):
                 found.append((at - len(left.group()), right.end(), "email", self.email(left.group() + right.group())))
             at = text.find("@", at + 1)
-        for m in self._bank.finditer(text):
-            if (to := self.iban(m.group())) is not None:
-                found.append((m.start(), m.end(), "iban", to))
+        m = self._bank.search(text)
+        while m:
+            # what follows may look like its next group: shorter ends are tried, but none within a group
+            ends = [m.end(), *(i for i in range(m.end() - 1, m.start() + 14, -1) if text[i] == " ")]
+            on = m.start() + 1
+            for end in ends:
+                if (to := self.iban(text[m.start() : end])) is not None:
+                    found.append((m.start(), end, "iban", to))
+                    on = end
+                    break
+            m = self._bank.search(text, on)
         done = 0
         for run in self._run.finditer(text):
             if done > run.start():

@@ -50,6 +50,23 @@ def test_equal_values_stay_linked_whatever_their_punctuation():
     assert len(month_first) == 19
 
 
+def test_phones_below_200_and_accounts_before_other_words():
+    p = pii.Pseudonyms(b"key")
+    numbers = ["+1 (017) 555-7713", "(988) 155-2485", "199-999-0000", "200-199-9999", "999-000-0000", "000-000-0000"]
+    for s in numbers:
+        new, kinds = p.replace(s)
+        assert kinds == ["phone"] and new != s and [f[2] for f in p.find(new)] == ["phone"]
+        d = "".join(c for c in new if c.isdigit())[-10:]
+        assert int(d[:3]) < 200 or int(d[3:6]) < 200  # permuted among themselves
+    fronts = [f"{a:03d}-{e:03d}" for a in range(0, 1000, 7) for e in range(0, 1000, 3) if a < 200 or e < 200]
+    made = {p.phone(f"{x}-1234") for x in fronts}
+    assert len(made) == len(fronts)
+    for tail in (" 2024-01-02", " A", " I 5 x"):
+        new, kinds = p.replace("IBAN DE89370400440532013000" + tail)
+        assert kinds[0] == "iban" and "DE89370400440532013000" not in new
+    assert p.replace("GB82 WEST 1234 5698 7654 32 A B DE89370400440532013000")[1] == ["iban"] * 2
+
+
 def test_op4_documents(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
     p = pii.Pseudonyms(registry.DEMO_KEY)
