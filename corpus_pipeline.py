@@ -46,10 +46,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids in place of the text, which the ids decode to."""
+    """All documents with their token ids in place of the text, which the ids decode to: each text is decoded again and compared, and the stage fails where it differs."""
     arrow_rows(spark, 512)
     keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "token_ids"))
-    return bpe.encode_decode(docs, registry.RANKS, registry.PATTERN, keep=keep, decoded=False)
+    return bpe.encode_decode(docs, registry.RANKS, registry.PATTERN, keep=keep, decoded=False, verify=True)
 
 
 #: In order.

@@ -184,12 +184,20 @@ def codec(rank_file: str, pattern: str) -> tuple[PrefixBpe, Pieces, list[str]]:
     return _loaded[key]
 
 
-def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = True) -> DataFrame:
+def verified(texts: list[str | None], decoded: list[bytes]) -> None:
+    """Fails where ids decode to other bytes than their text's."""
+    for t, d in zip(texts, decoded, strict=True):
+        if d != (t or "").encode():
+            raise ValueError(f"ids decode to other bytes than their text of {len(t or '')} characters")
+
+
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = True, verify: bool = False) -> DataFrame:
     """Token ids of every whole ``text``, and the bytes they decode to.
 
     Returns ``keep`` columns, n_tokens long, token_ids array<int> and
     decoded binary (each of the two if asked for), one row per input row. A null text counts as empty,
     an empty text has no tokens, repeated rows give repeated results, other columns are not read.
+    With ``verify``, all ids are decoded and compared with the text, and the job fails where they differ.
     ``rank_file`` must be readable under that path on every executor.
     """
     fields = [(c, docs.schema[c].dataType.simpleString()) for c in keep] + [("n_tokens", "long")] + [("token_ids", "array<int>")] * ids + [("decoded", "binary")] * decoded
@@ -197,12 +205,16 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces, _ = codec(rank_file, pattern)
         for b in batches:
-            coded = [pieces.encode(t or "") for t in b.column("__text").to_pylist()]
+            texts = b.column("__text").to_pylist()
+            coded = [pieces.encode(t or "") for t in texts]
             cols = [b.column(c) for c in keep] + [pa.array(map(len, coded), pa.int64())]
+            back = [bpe.decode(x) for x in coded] if decoded or verify else []
+            if verify:
+                verified(texts, back)
             if ids:
                 cols.append(pa.array(coded, pa.list_(pa.int32())))
             if decoded:
-                cols.append(pa.array(map(bpe.decode, coded), pa.binary()))
+                cols.append(pa.array(back, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in fields])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
