@@ -74,10 +74,30 @@ def brute_top(rows, k, every):
     return out
 
 
+@pytest.mark.parametrize("decay,share", [(1.0, 0.96), (0.9, 0.5)])  # directions all alike, the hardest case, or unlike as those of learnt vectors
+def test_op10_multiplies_fewer_components_than_all_scores_take(decay, share):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(20_000, 64)) * decay ** np.arange(64)
+    m = np.floor(256 * m / np.linalg.norm(m, axis=1)[:, None])
+    ids, blocks, work, k = np.arange(20_000), [slice(i, i + 5000) for i in range(0, 20_000, 5000)], topk.Work(), 5
+    qi = ids[::100]
+    sent = np.concatenate([topk._gather(j, qi, m[qi], ids[s], m[s], k, work) for j, s in enumerate(blocks)], axis=1)
+    gathered = work.products
+    cut = -np.sort(-sent, axis=1)[:, k - 1]
+    got = [topk._resolve(qi, m[qi], ids[s], m[s], cut, k, work) for s in blocks]
+    every = len(qi) * m.size
+    assert gathered < 0.15 * every and work.products < share * every
+    for j in range(len(qi)):
+        found = sorted((-s, i) for at, row, score in got for a, i, s in zip(at.tolist(), row.tolist(), score.tolist()) if a == j)[:k]
+        want = sorted((-int(x), i) for i, x in enumerate(m @ m[qi[j]]) if i != qi[j])[:k]
+        assert found == want
+
+
 @pytest.mark.parametrize("block", [3, 50])
 def test_op10_odd_inputs(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "GRID", 3)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
     rows += [(100 + i, [1.0, -1.0, 0.5, 0.0, 0.25]) for i in range(20)] + [(7, rows[7][1])] * 2 + [(110, [1.0, -1.0, 0.5, 0.0, 0.25])]
