@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, arrow_rows
+from .workspace import Workspace, portions
 
-#: Longest code, ids between two checkpoints, and ids after which a block ends (with its document).
+#: Longest code (for up to 2^17 ids in use, more for more), ids between two checkpoints, and ids after which a block ends (with its document).
 LONGEST, EVERY, BLOCK = 18, 512, 1 << 17
+#: Bytes of a text beyond which it goes to the library whole.
+LARGE = 1 << 28
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -40,8 +42,9 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
-    if len(used) > 1 << longest:
-        raise ValueError("more ids than codes of that length")
+    longest = max(longest, len(used).bit_length() + 1)
+    if longest > 25:
+        raise ValueError("the decoder reads codes of at most 25 bits")
     order = used[np.argsort(counts[used], kind="stable")]
     w = counts[order]
     levels, packages = [], np.zeros(0, np.int64)
@@ -98,6 +101,11 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     return words.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::EVERY].astype("<u4")
 
 
+def id_type(size: int) -> type:
+    """The numbers that hold ids below ``size``."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 class Decoder:
     """A table from the next ``longest`` bits to an id and its code length."""
 
@@ -107,6 +115,7 @@ class Decoder:
         ids = np.flatnonzero(lengths)
         ids = ids[np.argsort(codes[ids] << (np.uint64(64) - lengths[ids].astype(np.uint64)), kind="stable")]
         span = np.int64(1) << (self.bits - lengths[ids].astype(np.int64))
+        self.kind = id_type(len(lengths))
         self.table = np.zeros(1 << self.bits, np.uint32)
         self.table[: int(span.sum())] = np.repeat(ids.astype(np.uint32) << np.uint32(5) | lengths[ids].astype(np.uint32), span)
 
@@ -120,14 +129,14 @@ class Decoder:
             base += len(payload) + 8
         raw = np.frombuffer(b"".join(parts), np.uint8)
         if not len(raw):
-            return [np.zeros(0, np.uint16) for _ in blocks]
+            return [np.zeros(0, self.kind) for _ in blocks]
         wide = raw[:-3].astype(np.uint32)
         for k in (1, 2, 3):
             wide = wide << np.uint32(8) | raw[k : len(raw) - 3 + k]
         at, left = np.concatenate(starts), np.concatenate(sizes)
         order = np.argsort(-left, kind="stable")
         lane_at, lane_left = at[order], left[order]
-        out = np.zeros((int(lane_left[0]) if len(order) else 0, len(order)), np.uint16)
+        out = np.zeros((int(lane_left[0]) if len(order) else 0, len(order)), self.kind)
         drop, table = np.uint32(32 - self.bits), self.table
         for i in range(len(out)):
             if lane_left[len(lane_at) - 1] <= i:
@@ -153,7 +162,8 @@ class FileTokenizer:
 
     A space before a non-white character always starts a pre-token, so ids of chunks, joined, are those of the text. Chunks
     are told apart by two 64-bit universal hashes, computed for a whole batch at once; about ``limit`` of them are held, and the
-    half not met for longest goes when there are more. Texts with other white space beside a space go to the library whole.
+    half not met for longest goes when there are more. Texts with other white space beside a space go to the library whole, and so
+    do texts that hold one of the file's added tokens (the library cuts them out first, across any border) and very long ones.
     """
 
     WEIGHTS = 1 << 16  # bytes of a chunk that have weights of their own; texts with longer ones go to the library whole
@@ -163,26 +173,27 @@ class FileTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        if max(vocab.values()) > 0xFFFF:
-            raise ValueError("ids must fit 16 bits")
-        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            made = json.load(f)
+        vocab = made["model"]["vocab"]
+        self.added = [t["content"] for t in made.get("added_tokens") or () if t["content"]]
+        self.size = max([*vocab.values(), *(t["id"] for t in made.get("added_tokens") or ())]) + 1
+        self.kind = id_type(self.size)
+        self.width = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)  # the vocabulary has one character for each byte
         self.letter = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
         rng = np.random.default_rng(11)
         self.w1, self.w2 = (rng.integers(0, 1 << 64, self.WEIGHTS, np.uint64) | np.uint64(1) for _ in range(2))
         self.limit, self.batch = limit, 0
-        self._hold(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16))
+        self._hold(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind))
 
     def _hold(self, keys, checks, starts, sizes, used, pool) -> None:
         """Entries in order of key: where a chunk's ids stand in the pool and how many they are (-1: not to be cut there)."""
         self.keys, self.checks, self.starts, self.sizes, self.used, self.pool = keys, checks, starts, sizes, used, pool
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, each after a space, and how many each has: encoded joined, and cut where the bytes of each chunk end."""
@@ -195,7 +206,7 @@ class FileTokenizer:
             cut = np.searchsorted(np.cumsum(self.width[got]), ends) + 1
             ids.append(got)
             sizes.append(np.diff(cut, prepend=0))
-        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, self.kind), np.zeros(0, np.int64))
 
     def _add(self, keys: np.ndarray, checks: np.ndarray, chunks: list[str], heads: np.ndarray) -> None:
         """Encode new chunks and hold them. ``heads`` begin a text and so have no space before them."""
@@ -203,10 +214,10 @@ class FileTokenizer:
         after = np.flatnonzero(ok & ~heads)
         first = np.flatnonzero(ok & heads)
         ids, n = self._learn([chunks[i] for i in after.tolist()])
-        begin = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast([chunks[i] for i in first.tolist()], add_special_tokens=False)]
+        begin = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast([chunks[i] for i in first.tolist()], add_special_tokens=False)]
         sizes = np.full(len(keys), -1, np.int32)
         sizes[after], sizes[first] = n, [len(x) for x in begin]
-        pool = np.concatenate([ids, *begin]) if len(begin) or len(ids) else np.zeros(0, np.uint16)
+        pool = np.concatenate([ids, *begin]) if len(begin) or len(ids) else np.zeros(0, self.kind)
         starts = np.zeros(len(keys), np.int64)
         order = np.concatenate([after, first])
         starts[order] = len(self.pool) + np.concatenate([[0], np.cumsum(sizes[order])[:-1]]) if len(order) else 0
@@ -244,7 +255,12 @@ class FileTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         if not texts:
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        apart = [i for i, t in enumerate(texts) if len(t) > LARGE // 4 or any(a in t for a in self.added)]
+        if apart:
+            given, texts = texts, list(texts)
+            for i in apart:
+                texts[i] = ""
         self.batch += 1
         coded = [t.encode("utf-8", "replace") for t in texts]
         buffer = b" ".join(coded) + b" "
@@ -284,6 +300,12 @@ class FileTokenizer:
                 parts[i] = self._ids(texts[i])
                 n[i] = len(parts[i])
             ids = np.concatenate(parts)
+        if apart:
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in apart:
+                parts[i] = self._ids(given[i])
+                n[i] = len(parts[i])
+            ids = np.concatenate(parts)
         return ids, n
 
 
@@ -308,12 +330,12 @@ BLOCKS = "shard int, first long, doc_id array<long>, n_tokens array<long>, n_ids
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, counts, tok = TaskContext.get().partitionId(), 0, np.zeros(1 << 16, np.int64), tokenizer(path)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        tok = tokenizer(path)
+        size = max(tok.size, end_id + 1)
+        kind, shard, first, counts = id_type(size), TaskContext.get().partitionId(), 0, np.zeros(size, np.int64)
+        for b in portions(batches, 1024):
             coded, n = tok.encode([t or "" for t in b.column("__text").to_pylist()])
-            flat = np.insert(coded, np.cumsum(n), np.uint16(end_id))  # the end id after each document
+            flat = np.insert(coded.astype(kind, copy=False), np.cumsum(n), kind(end_id))  # the end id after each document
             n = (n + 1).tolist()
             ids = b.column("doc_id").to_pylist()
             cuts, held = [0], 0
@@ -322,7 +344,7 @@ def _tokenize(path: str, end_id: int):
                 if held >= BLOCK or i == len(n):
                     cuts.append(i)
                     held = 0
-            counts += np.bincount(flat, minlength=1 << 16)
+            counts += np.bincount(flat, minlength=size)
             at = np.cumsum([0, *n])[cuts].tolist()
             parts = [flat[i:j].tobytes() for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array([first + i for i in at[:-1]], pa.int64()), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array([n[i:j] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "ids", "counts"])
@@ -333,34 +355,46 @@ def _tokenize(path: str, end_id: int):
     return run
 
 
+def _histogram(raw: DataFrame) -> np.ndarray:
+    """How often each id occurs: shards' counts, added up on the executors in two steps. Its size is the vocabulary's."""
+
+    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in portions(groups, 16):
+            for c in b.column("counts").to_pylist():
+                x = np.frombuffer(zlib.decompress(c), np.int64)
+                total = x if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    once = raw.where("counts is not null").groupBy(F.floor(F.col("shard") / 64).alias("part")).applyInArrow(add, "part int, counts binary")
+    got = once.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    return np.frombuffer(zlib.decompress(got[0]["counts"]), np.int64) if got else np.zeros(0, np.int64)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, text: str = "text", shards: int | None = None) -> dict[str, int]:
     """Encode every whole text, append ``end_id`` to each document and write the files described above, in ascending order of doc_id.
 
+    A text is encoded as the library does by default, so an added token that stands in it becomes its id.
     A null text counts as empty (only the end id); null ids come first; repeated
     ids stand side by side, in an order that depends on their texts alone; other columns are not read. An empty table makes files without rows.
-    Ids are range-partitioned by doc_id, so no shard depends on how a source or a
-    group of copies is spread. To the driver come one histogram of ids and one
-    length per shard. Returns {"ids": their number}.
+    Rows are range-partitioned by doc_id, then by text and place, so neither a source, a group of copies, a repeated or a null id
+    lands in one shard as a whole. To the driver come one histogram of ids and one length per shard. Returns {"ids": their number}.
     """
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 1024)  # documents encoded at once
     ws = Workspace(spark, "token-files")
     n = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("__text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"), F.monotonically_increasing_id().alias("__place"))
+    ranged = keyed.repartitionByRange(n, "doc_id", "__hash", "__place").sortWithinPartitions("doc_id", "__hash").select("doc_id", "__text")
     raw = ws.write(ranged.mapInArrow(_tokenize(tokenizer_file, end_id), RAW), "raw", "lz4")
-    counts, sizes = np.zeros(1 << 16, np.int64), {}
-    for row in raw.where("counts is not null").select("shard", "first", "counts").toLocalIterator():
-        counts += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-        sizes[row["shard"]] = row["first"]
-    lengths = code_lengths(counts)
-    codes, kept = high(lengths), lengths.tobytes()
+    sizes = {r["shard"]: r["first"] for r in raw.where("counts is not null").select("shard", "first").collect()}
+    lengths = code_lengths(_histogram(raw))
+    codes, kept, kind = high(lengths), lengths.tobytes(), id_type(len(lengths))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [(len(i) // 2, *pack(np.frombuffer(i, np.uint16), lengths, codes)) for i in b.column("ids").to_pylist()]
+        for b in portions(batches, 2):
+            packed = [(len(i) // kind().itemsize, *pack(np.frombuffer(i, kind), lengths, codes)) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "first", "doc_id", "n_tokens")] + [pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2].tobytes() for p in packed], pa.binary())], names=["shard", "first", "doc_id", "n_tokens", "n_ids", "payload", "checkpoints"])
 
-    arrow_rows(spark, 2)
     raw.where("counts is null").drop("counts").mapInArrow(encode, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     base, at = [], 0
     for s in sorted(sizes):
@@ -388,13 +422,12 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, columns, names: list[str]) -> DataFrame:
-    arrow_rows(spark, 2)
     blocks, lengths, base = read_token_files(spark, path)
     kept = lengths.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(np.frombuffer(kept, np.uint8))
-        for b in batches:
+        for b in portions(batches, 2):
             shard, first = b.column("shard").to_pylist(), b.column("first").to_pylist()
             got = decoder.decode([(n, p, np.frombuffer(c, "<u4")) for n, p, c in zip(b.column("n_ids").to_pylist(), b.column("payload").to_pylist(), b.column("checkpoints").to_pylist())])
             docs, starts, parts = [], [], []

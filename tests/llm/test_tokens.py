@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from readloom.llm import bpe, registry, token_counts, token_files
 from readloom.llm.workspace import Workspace, table
 
-ODD = ["", None, " ", "  ", "\n", "a", " a", "a ", "a  b", "a \n b", "\n\n a\t\tb ", "don't 're it's", "漢字 かな 😀🏽‍🚀", "x\x1cy \x85z  w", "é" * 5000, "word " * 30000, "<|endoftext|> is text", "Ab. ab, ab., ab.\n c d1. ²., x. x,", "a" * 3000]
+ODD = ["", None, " ", "  ", "\n", "a", " a", "a ", "a  b", "a \n b", "\n\n a\t\tb ", "don't 're it's", "漢字 かな 😀🏽‍🚀", "x\x1cy \x85z  w", "é" * 5000, "word " * 30000, "<|endoftext|> is text", "a <|endoftext|><|endoftext|>\n x <|endof text|> ", "tail<|endoftext|>", "Ab. ab, ab., ab.\n c d1. ²., x. x,", "a" * 3000]
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +23,7 @@ def tk():
 
 @pytest.fixture(scope="module")
 def lib():
-    t = Tokenizer.from_file(registry.TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(registry.TOKENIZER)
 
 
 def odd_docs(spark):
@@ -142,12 +140,25 @@ def test_op8_odd_inputs(spark, lib):
     assert token_files.document_digests(spark, path).count() == 0
 
 
+def test_op8_spreads_repeated_and_null_ids(spark, lib, monkeypatch):
+    rows = [(None, "no id at all")] * 300 + [(5, "the same row")] * 300 + [(5, "other text"), (9, "<|endoftext|>")]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Workspace(spark, "t").root
+    token_files.write_token_files(docs, path, registry.TOKENIZER, shards=6)
+    blocks = token_files.read_token_files(spark, path)[0]
+    sizes = [r["n"] for r in blocks.selectExpr("shard", "size(doc_id) n").groupBy("shard").sum("n").toDF("shard", "n").collect()]
+    assert len(sizes) >= 5 and max(sizes) < 250
+    got = sorted(token_files.decode_documents(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 301 + [9] and got[-1]["token_ids"] == [50256, 0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 40000])
 def test_huffman_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.2, n), 50000).astype(np.uint16)
     lengths = token_files.code_lengths(np.bincount(ids, minlength=1 << 16))
     assert lengths.max(initial=0) <= token_files.LONGEST
+    wide = token_files.Decoder(np.concatenate([lengths, np.zeros(9, np.uint8)]))
+    assert wide.kind is np.uint32
     payload, marks = token_files.pack(ids, lengths, token_files.high(lengths))
     a, b = token_files.Decoder(lengths).decode([(n, payload, marks)] * 2)
     assert (a == ids).all() and (b == ids).all() and len(a) == n
