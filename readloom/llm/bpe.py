@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Pieces
+from .workspace import portions
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -204,7 +205,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces, _ = codec(rank_file, pattern)
-        for b in batches:
+        for b in portions(batches):
             texts = b.column("__text").to_pylist()
             coded = [pieces.encode(t or "") for t in texts]
             cols = [b.column(c) for c in keep] + [pa.array(map(len, coded), pa.int64())]
@@ -230,7 +231,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces, names = codec(rank_file, pattern)
         sha = hashlib.sha256
-        for b in batches:
+        for b in portions(batches):
             n, of_ids, of_text = [], [], []
             for t in b.column("__text"):
                 ids = pieces.encode(t.as_py() or "")

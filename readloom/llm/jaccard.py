@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix, shingle_set, word_memo
-from .workspace import Workspace, arrow_rows
+from .workspace import Workspace, portions
 
 #: Cells of the count sketch (one byte each when it is broadcast), slices it is summed in.
 CELLS, SLICES = 1 << 22, 16
@@ -59,7 +59,7 @@ def _sets(width: int, text: str, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, block = word_memo(), set(), TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in portions(batches):
             n, node, sets, places = [], [], [], []
             for i, t in enumerate(b.column(text).to_pylist()):
                 s = shingle_set(t, width, memo)
@@ -125,7 +125,7 @@ def _held(t: pa.Table) -> pa.Table:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of the sets' tokens, in slices."""
     counts = np.zeros(CELLS, np.uint32)
-    for b in batches:
+    for b in portions(batches):
         s = b.column("tokens").flatten().to_numpy().view(np.uint64)
         counts += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
     if counts.any():
@@ -161,7 +161,7 @@ def _prefixes(percent: int, rare):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(zlib.decompress(rare.value), np.uint8)
-        for b in batches:
+        for b in portions(batches):
             tokens = []
             for t in b.column("tokens"):
                 s = t.values.to_numpy().view(np.uint64)
@@ -178,7 +178,7 @@ def _arrays(width: int, percent: int, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        for b in batches:
+        for b in portions(batches):
             nodes, sets, second, third = [], [], [], []
             for t in b.column(text).to_pylist():
                 s = shingle_set(t, width, memo)
@@ -261,7 +261,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
     ws = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -272,7 +271,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     held = counted.where("held is not null").select("block", F.explode(F.arrays_zip("at", "held")).alias("r")).groupBy("block", F.col("r.at").alias("at")).agg(F.sum("r.held").alias("held"))
     going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").groupBy("node").agg(F.max("n").alias("n"), F.max("held").alias("held"))
     going = ws.write(going, "going")
-    ws.release()
     ids = ws.write(going.select("node").join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
     keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")

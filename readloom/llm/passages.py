@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import grams, mix, word_memo, words
-from .workspace import Workspace, arrow_rows
+from .workspace import Workspace, portions
 
 #: Documents of a block, marks of a shard on average.
 BLOCK, SHARD = 1000, 400_000
@@ -97,7 +97,7 @@ def _marked(window: int, blocks: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        for b in batches:
+        for b in portions(batches):
             keys, of = [], []
             for t, block in zip(b.column("text").to_pylist(), b.column("block").to_pylist()):
                 w = words(t, False) if t else ()
@@ -199,7 +199,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "passages")
-    arrow_rows(spark, 512)
     least = F.lit(-(2**63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("text"))
@@ -220,16 +219,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
     streamed = left.cogroup(given.groupBy("block")).applyInArrow(_streamed(window, digest), f"{STREAMED}, n_removed long")
     streamed = ws.write(streamed, "streamed")
     ws.drop("marks", "copies")
-    ws.release()
 
     seen = streamed.where("starts is not null").select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "row", F.col("w.starts").alias("start"), F.col("w.hashes").alias("h"))
     first = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
     gone = seen.join(first, "h").where("doc_id > first").groupBy("doc_id", "row").agg(F.collect_list("start").alias("gone"))
     gone = ws.write(gone, "gone")
-    ws.release()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             out = []
             for t, again, more in zip(b.column("text").to_pylist(), b.column("again").to_pylist(), b.column("gone").to_pylist()):
                 out.append(_kept(words(t, False), np.unique(np.array([*again, *(more or ())], np.int64)), window, digest))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, passages, pii, secrets, token_counts, token_files, topk, toxicity
-from .workspace import Workspace, arrow_rows, table
+from .workspace import Workspace, table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,7 +17,6 @@ PATTERN = public_tokenizers.PATTERN
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, before and after three edits: a replacement at a third, a deletion at two thirds, an addition at the end."""
-    arrow_rows(spark, 512)
     n = F.char_length(F.coalesce("text", F.lit(""))).cast("int")
     third = F.floor(n / 3).cast("int")
     edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("new"))
@@ -26,7 +25,6 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_rows(spark, 512)
     return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
@@ -40,13 +38,11 @@ DEMO_KEY = b"readloom demonstration key"
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that held personal data, with pseudonyms in its place and counts by kind."""
-    arrow_rows(spark, 512)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.with_personal_data(pii.pseudonymise(docs, DEMO_KEY))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_rows(spark, 512)
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in secrets.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))

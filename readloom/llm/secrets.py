@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .workspace import portions
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -248,7 +250,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
-        for b in batches:
+        for b in portions(batches):
             spans = scan([t or "" for t in b.column(b.schema.get_field_index(name)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPAN)], names=[*b.schema.names, "spans"])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
+from .workspace import portions
 
 #: Pre-tokens in a block after a rebuild; a block that has grown to four times this is split by a rebuild of the tree.
 BLOCK = 128
@@ -193,7 +194,7 @@ def edit_token_counts(docs: DataFrame, rank_file: str, pattern: str, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_by, count = counter(rank_file, pattern)
-        for b in batches:
+        for b in portions(batches):
             out = []
             for t, todo in zip(b.column("__text"), b.column("__edits")):
                 tree = CountTree(t.as_py() or "", split_by, count)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .boosting import Boosted
-from .workspace import Workspace, arrow_rows
+from .workspace import Workspace, portions
 
 #: Labelled rows that a model is fitted on, and entries of a learnt lexicon, at most.
 SAMPLE, ENTRIES = 24_000, 4096
@@ -142,7 +142,7 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
-        for b in batches:
+        for b in portions(batches):
             for t, y in zip(b.column(text).to_pylist(), b.column("toxic").to_pylist()):
                 found[y].update({k for w in set(map(bare, (t or "").split())) for k in keys_of(w) if w})
         keys = [k for k in found[1]]
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(lexicon)
-        for b in batches:
+        for b in portions(batches):
             x = np.array([features(t or "", codes) for t in b.column("text").to_pylist()], np.float64).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["part", "toxic", "x"])
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: Boosted, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(lexicon)
-        for b in batches:
+        for b in portions(batches):
             x = np.array([features(t or "", codes) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.float64).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, "score"])
 
@@ -213,5 +213,4 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: Boosted, text: str
 
 def predict(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int | None = 0) -> DataFrame:
     """``score`` by a model fitted on ``labels``, with predicted int (1 if score >= 0.5)."""
-    arrow_rows(docs.sparkSession, 512)
     return score(docs.drop("predicted"), *fit(docs, labels, text, held_out), text).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,36 +1,56 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and portions of Arrow batches."""
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes a plan's shuffle files when it has run.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where none is named (tests), a local folder."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is named, a local folder in local mode (tests); on a cluster, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "readloom-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 class Workspace:
-    """Tables of one operator run. A table cuts lineage and survives lost executors; ``close`` deletes all but those kept."""
+    """Tables of one operator run. A table cuts lineage and survives lost executors.
+
+    ``close`` deletes all but those kept; these, which a lazy result may still read, go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        fs, path = self._file(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _file(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """The table, written and read again; the shuffle files that it took are deleted at once."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         self.paths[name] = path
         return self.read(name, df.schema)
 
@@ -38,21 +58,10 @@ class Workspace:
         r = self.spark.read
         return (r.schema(schema) if schema is not None else r).parquet(self.paths[name])
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished plans now: it does so when the driver's garbage is collected, which may be much later.
-
-        The first round frees the plans that Python held, the second what they held in turn.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
     def drop(self, *names: str) -> None:
-        jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.paths.pop(n))
-            p.getFileSystem(hconf).delete(p, True)
+            fs, path = self._file(self.paths.pop(n))
+            fs.delete(path, True)
 
     def close(self, *keep: str) -> None:
         self.drop(*[n for n in self.paths if n not in keep])
@@ -62,9 +71,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch: long texts make the default of 10,000 too large for a small worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, at most ``rows`` at a time, and no more than ``size`` bytes unless one row has more.
+
+    Spark bounds its Arrow batches by bytes; these portions bound the Python objects made of them. No setting of the session is changed.
+    """
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
 
 
-__all__ = ["Workspace", "arrow_rows", "shared_dir", "table"]
+__all__ = ["Workspace", "portions", "shared_dir", "table"]
