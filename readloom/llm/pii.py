@@ -11,14 +11,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import date
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .workspace import portions
+
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "ip", "iban", "ssn", "date")
 
@@ -84,9 +89,13 @@ def refill(template: str, chars: str) -> str:
 
 #: Digits before the hyphens that no social security number has; assigned area codes and exchanges start at 200.
 _SSN_AREAS = [a for a in range(1, 900) if a != 666]
-_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Years that dates of our time have; all others are permuted among themselves.
+_NEAR = range(1900, 2100)
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
+#: Characters of an address before the @, and how many of them are permuted together.
+_LOCAL, _TOGETHER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), 64
+
 #: Date formats: pattern, positions of year, month and day.
 _DATES = (
     (re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})"), (1, 3, 4)),
@@ -94,6 +103,14 @@ _DATES = (
 )
 
 
+@cache
+def _days(near: bool, late: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Months (year, month) of a period, and before each the number of its days up to the twelfth, or (``late``) after it."""
+    months = [(y, m) for y in (_NEAR if near else [*range(1, _NEAR.start), *range(_NEAR.stop, 10_000)]) for m in range(1, 13)]
+    length = lambda y, m: (date(y + m // 12, m % 12 + 1, 1) - date(y, m, 1)).days if (y, m) != (9999, 12) else 31
+    return months, [0, *accumulate((length(y, m) - 12 if late else 12) for y, m in months)]
+
+
 class Pseudonyms:
     """Finds the kinds above in a text and maps each value under one key."""
 
@@ -129,9 +146,11 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def email(self, s: str) -> str:
+        """The local part, the host's name and nothing of its last part; a local part beyond 64 characters piece by piece."""
         local, _, host = s.rpartition("@")
         name, _, top = host.rpartition(".")
-        return f"{self.characters('local', local)}@{self.characters('host', name)}.{top}"
+        pieces = [self.characters("local" if not i else f"local{i}", local[i : i + _TOGETHER]) for i in range(0, len(local), _TOGETHER)]
+        return f"{''.join(pieces)}@{self.characters('host', name)}.{top}"
 
     def phone(self, s: str) -> str | None:
         """North American numbers: those with area code and exchange from 200 on, and all others of the format, each permuted among themselves."""
@@ -149,6 +168,13 @@ class Pseudonyms:
         x, line = divmod(self.permute("phone", 800 * 800 * 10_000, (area * 800 + exchange) * 10_000 + line), 10_000)
         return refill(s, f"{lead}{x // 800 + 200}{x % 800 + 200}{line:04d}")
 
+    def abroad(self, s: str) -> str | None:
+        """International numbers of other countries, with a plus: the first two digits stay, the others are permuted together."""
+        d = "".join(c for c in s if c.isdigit())
+        if not 8 <= len(d) <= 15:
+            return None
+        return refill(s, d[:2] + str(self.permute(f"phone +{d[:2]}", 10 ** (len(d) - 2), int(d[2:]))).zfill(len(d) - 2))
+
     def card(self, s: str) -> str | None:
         """Payment cards with a valid check digit; the first digit (the network) and the length stay."""
         d = "".join(c for c in s if c.isdigit())
@@ -178,42 +204,38 @@ class Pseudonyms:
         x, serial = divmod(self.permute("ssn", len(_SSN_AREAS) * 99 * 9999, (_SSN_AREAS.index(area) * 99 + group - 1) * 9999 + serial - 1), 9999)
         return f"{_SSN_AREAS[x // 99]:03d}-{x % 99 + 1:02d}-{serial + 1:04d}"
 
+    def day(self, year: int, month: int, day: int) -> tuple[int, int, int]:
+        """Days up to the twelfth and those after it are permuted each among themselves, so a date reads in the same order of
+        its parts as before, and is the same one in every format; so are years of our time and others."""
+        near, late = year in _NEAR, day > 12
+        months, before = _days(near, late)
+        index = (year - (_NEAR.start if near else 1 if year < _NEAR.start else 1 + len(_NEAR))) * 12 + month - 1
+        x = self.permute(f"date {near} {late}", before[-1], before[index] + day - (13 if late else 1))
+        at = bisect_right(before, x) - 1
+        return *months[at], x - before[at] + (13 if late else 1)
+
     def date(self, s: str) -> str | None:
-        """Days from 1900 to 2099, year first or day first; a day-first date whose second number is no month is read month first."""
+        """Year first or day first; a day-first date whose second number is no month is read month first."""
         for x, (y, m, d) in _DATES:
             if got := x.fullmatch(s):
                 year, month, day = (int(got[i]) for i in (y, m, d))
                 if y == 4 and month > 12:
                     m, d, month, day = d, m, day, month
                 try:
-                    n = date(year, month, day).toordinal()
+                    date(year, month, day)
                 except ValueError:
                     return None
-                if not _FIRST <= n <= _LAST:
-                    return None
-                to = date.fromordinal(self.permute("date", _LAST - _FIRST + 1, n - _FIRST) + _FIRST)
-                if y == 4 and m == 1 and to.day <= 12:
-                    # would be read day first: step on within the dates that stay month first
-                    return self._month_first(got, n)
-                values = {y: f"{to.year:04d}", m: f"{to.month:02d}", d: f"{to.day:02d}"}
+                year, month, day = self.day(year, month, day)
+                values = {y: f"{year:04d}", m: f"{month:02d}", d: f"{day:02d}"}
                 return got[2].join(values[i] for i in sorted(values))
         return None
 
-    def _month_first(self, got: re.Match, n: int) -> str:
-        """Dates after the twelfth, permuted among themselves."""
-        x = n
-        while True:
-            x = self.permute("date", _LAST - _FIRST + 1, x - _FIRST) + _FIRST
-            to = date.fromordinal(x)
-            if to.day > 12:
-                return got[2].join((f"{to.month:02d}", f"{to.day:02d}", f"{to.year:04d}"))
-
-    _left = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
     _right = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
     _bank = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
     _run = re.compile(r"\d[\d ().\-/]{5,}\d")
     _number = re.compile(
         r"(?<![\w.@-])(?:(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\w|\.\d)|(?P<date>\d{4}(?P<a>[-/.])\d{2}(?P=a)\d{2}|\d{2}(?P<b>[./-])\d{2}(?P=b)\d{4})(?![\w-]|[./]\d)|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
+        r"|(?P<abroad>\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,12}\)?){1,6}(?<=\d))(?![\w-])"
         r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])|(?P<card>\d{4}(?:(?P<c>[ -])\d{4}(?:(?P=c)\d{4}){2}|[ -]\d{6}[ -]\d{5})|\d{13,19})(?![\w-]))",
         re.ASCII,
     )
@@ -221,12 +243,15 @@ class Pseudonyms:
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order, without overlaps."""
         found: list[tuple[int, int, str, str]] = []
-        at = text.find("@")
+        at, before = text.find("@"), 0
         while at >= 0:
-            right = self._right.match(text, at)
-            if right and (left := self._left.search(text[max(0, at - 64) : at])):
-                found.append((at - len(left.group()), right.end(), "email", self.email(left.group() + right.group())))
-            at = text.find("@", at + 1)
+            if right := self._right.match(text, at):
+                start = at
+                while start > before and text[start - 1] in _LOCAL:
+                    start -= 1
+                if start < at:
+                    found.append((start, right.end(), "email", self.email(text[start : right.end()])))
+            before, at = at + 1, text.find("@", at + 1)
         m = self._bank.search(text)
         while m:
             # what follows may look like its next group: shorter ends are tried, but none within a group
@@ -242,13 +267,14 @@ class Pseudonyms:
         for run in self._run.finditer(text):
             if done > run.start():
                 continue
-            for m in self._number.finditer(text, max(done, run.start() - 3)):
+            # a match lies within its run, but for a sign or bracket before it; what may not follow has two characters
+            for m in self._number.finditer(text, max(done, run.start() - 3), run.end() + 2):
                 if m.start() >= run.end():
                     break
                 done = m.end()
-                kind = next(k for k in ("ip", "date", "ssn", "phone", "card") if m[k])
+                kind = next(k for k in ("ip", "date", "ssn", "abroad", "phone", "card") if m[k])
                 if (to := getattr(self, kind)(m.group())) is not None:
-                    found.append((m.start(), m.end(), kind, to))
+                    found.append((m.start(), m.end(), "phone" if kind == "abroad" else kind, to))
         found.sort()
         out, end = [], 0
         for f in found:
@@ -269,7 +295,7 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with personal data in ``text`` replaced, and a count per kind: n_email, n_phone, n_card, n_ip, n_iban, n_ssn, n_date (long; columns of those names are replaced).
 
-    Numbers that fail their check (card, bank account) or fall outside their format's valid range stay as they are. A
+    Numbers that fail their check (card, bank account) or are no valid value of their format stay as they are. Time is linear in a text's length. A
     null or empty text stays as it is, with counts of 0; repeated rows give repeated results. Rows are handled where they stand, without a shuffle.
     """
     counts = [f"n_{k}" for k in KINDS]
@@ -278,7 +304,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonyms(key)
-        for b in batches:
+        for b in portions(batches):
             i = b.schema.get_field_index(text)
             done = [(None, []) if t is None else p.replace(t) for t in b.column(i).to_pylist()]
             cols = list(b.columns)
