@@ -61,6 +61,32 @@ def test_more_rules_and_redaction(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_op5_spans_column(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    more = [(k, r.kind, re.compile(r.pattern, re.ASCII)) for k, r in enumerate(secrets.MORE, 3)]
+    for r in registry.op5_secrets(spark, sf).collect():
+        t = texts[r["doc_id"]]
+        found = [(int(s), ["assign", "access", "hex"].index(k), k, int(e)) for k, s, e in (x.split(":") for x in brute(t)[0].split(",") if x)]
+        found += [(m.start(), k, kind, m.end()) for k, kind, x in more for m in x.finditer(t)]
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+def test_redaction_of_a_column_named_spans_and_of_many_spans(spark):
+    many = "token=abcdef12 " * 50_000
+    docs = spark.createDataFrame([(1, "token=abcdef12 x", "t"), (2, None, "t"), (3, many, None), (3, many, None)], "doc_id long, spans string, text string")
+    got = secrets.redact(docs, text="spans").collect()
+    assert docs.columns == ["doc_id", "spans", "text"] and [r["spans"] for r in got[:2]] == ["[SECRET] x", None] and got[2]["spans"] == got[3]["spans"] == "[SECRET] " * 50_000
+    found = secrets.find_secrets(docs, text="spans")
+    assert found.columns == ["doc_id", "text", "spans"] and [len(r["spans"]) for r in found.collect()] == [1, 0, 50_000, 50_000]
+
+
+def test_more_trigrams_than_a_byte_counts(spark):
+    rules = tuple(secrets.Rule(f"r{i}", f"key{i:03d}[0-9]+") for i in range(400))
+    assert len({t for r in rules for t in secrets.trigrams(secrets.trigram_query(r.pattern))}) > 256
+    got = secrets.scanner(rules)(["key0071 key3999 key400", "none"])
+    assert [s["kind"] for s in got[0]] == ["r7", "r399"] and got[1] == []
+
+
 def test_op10_against_sql(spark, sf):
     assert agree(registry.op10_top_k(spark, sf), duck(sf), registry.ORACLES["op10_top_k"])
 
