@@ -60,6 +60,15 @@ def success(hits: DataFrame, genome: int, q_min: int, q_max: int) -> Column | Da
     return n.select((1 - F.exp(-2 * rate)).alias("p"))
 
 
+def expected_saturation(evaluated: DataFrame, hits: DataFrame, chroms: DataFrame, q_min: int, q_max: int) -> DataFrame:
+    """Evaluated summits with taken starts and ends, together at least as many (``n_expected``) as chance makes in a window, by the strand counts of their chromosome."""
+    n = hits.groupBy("chrom").agg(F.count_if(F.col("strand") == 0).alias("f"), F.count_if(F.col("strand") == 1).alias("r")).join(chroms, "chrom")
+    size = F.col("length").cast("double")
+    p = 1 - F.exp(-2 * (F.col("f") / size * (1 - F.exp(-F.lit(float(q_max - q_min)) * F.col("r") / size))))
+    least = n.select("chrom", F.round(2 * q_max * p).cast("long").alias("n_expected"))
+    return evaluated.join(least, "chrom").where("q_beg_chip > 0 and q_end_chip > 0 and n_expected <= q_beg_chip + q_end_chip")
+
+
 def binomial_pmf(p: DataFrame, n: int) -> DataFrame:
     """(k, pmf) for k from 0 to n, in logarithms: running sums of the ratios of neighbours. ``n`` is a window's size, so the table is small."""
     k = p.select("p", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
@@ -133,21 +142,33 @@ def hit_distribution(summits: DataFrame, chroms: DataFrame, chip: DataFrame, ctr
     return every.join(got, "offset", "left").na.fill(0)
 
 
+#: Positions of a tile: windows along a chromosome run tile by tile, so a long or deep chromosome is many tasks' work.
+TILE = 1 << 20
+
+
+def in_tiles(sites: DataFrame, reach: int) -> DataFrame:
+    """Sites in their tile (``__own``) and in every tile (``__t``) that lies nearer than ``reach`` to them, so that windows of that reach see all they need."""
+    size = max(TILE, 2 * reach)
+    of = lambda by: F.floor((F.col("pos") + by) / size)
+    return sites.withColumn("__own", of(0)).withColumn("__t", F.explode(F.array_distinct(F.array(of(-reach), of(0), of(reach)))))
+
+
 def sliding_score(sites: DataFrame, half: int, tolerance: float = 0.0) -> DataFrame:
     """For each site (chrom, pos, strand, n): forward counts before less reverse ones, plus the opposite after it, within ``half`` bases.
 
     Sites are in order of (pos, strand); those first and last on a chromosome score 0, and so do those whose halves differ by more than ``tolerance`` (0: no test).
     """
-    signed = F.when(F.col("strand") == 1, -F.col("n")).otherwise(F.col("n"))
-    w = Window.partitionBy("chrom").orderBy("pos", "strand")
-    at = Window.partitionBy("chrom").orderBy("pos")
-    same = F.sum("v").over(Window.partitionBy("chrom", "pos").orderBy("strand").rowsBetween(1, Window.unboundedFollowing))
-    s = sites.withColumn("v", signed).withColumn("rn", F.row_number().over(w)).withColumn("last", F.lead("pos").over(w).isNull()).withColumn("same", F.coalesce(same, F.lit(0)))
+    place = F.struct("pos", "strand")
+    ends = sites.groupBy("chrom").agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
+    s = in_tiles(sites.withColumn("v", F.when(F.col("strand") == 1, -F.col("n")).otherwise(F.col("n"))).join(ends, "chrom"), half)
+    at = Window.partitionBy("chrom", "__t").orderBy("pos")
+    here = Window.partitionBy("chrom", "__t", "pos").orderBy("strand")
+    s = s.withColumn("upto", F.sum("v").over(here.rowsBetween(Window.unboundedPreceding, 0))).withColumn("same", F.sum("v").over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.col("upto"))
     # the walk to the left stops before the chromosome's first site
-    inner = F.when(F.col("rn") > 1, F.col("v")).otherwise(0)
-    s = s.withColumn("left", F.sum(inner).over(at.rangeBetween(-half, 0)) - F.col("same")).withColumn("right", -(F.sum("v").over(at.rangeBetween(0, half)) - F.sum("v").over(Window.partitionBy("chrom", "pos").orderBy("strand").rowsBetween(Window.unboundedPreceding, 0))))
-    score = F.when((F.col("rn") == 1) | F.col("last"), 0).otherwise(F.col("left") + F.col("right"))
+    inner = F.when(place != F.col("__first"), F.col("v")).otherwise(0)
+    s = s.withColumn("left", F.sum(inner).over(at.rangeBetween(-half, 0)) - F.col("same")).withColumn("right", F.col("upto") - F.sum("v").over(at.rangeBetween(0, half)))
+    score = F.when((place == F.col("__first")) | (place == F.col("__last")), 0).otherwise(F.col("left") + F.col("right"))
     if tolerance:
         ratio = F.when(F.col("left") != 0, F.col("right") / F.col("left"))
         score = F.when(F.coalesce((ratio < 1 - tolerance) | (ratio > 1 + tolerance), F.lit(True)), 0).otherwise(score)
-    return s.select("chrom", "pos", "strand", score.cast("long").alias("score"))
+    return s.where("__t = __own").select("chrom", "pos", "strand", score.cast("long").alias("score"))

@@ -270,12 +270,15 @@ def test_summits_against_literal_loops(spark, monkeypatch, tile):
         assert side.get(q, (0,) * 4) == tuple(sum(s == st and (h < q) == up for h, s in near) for st, up in ((0, True), (0, False), (1, True), (1, False)))
 
 
-def test_candidates_against_literal_loops(spark):
+@pytest.mark.parametrize("tile", [1 << 20, 25])
+def test_candidates_against_literal_loops(spark, monkeypatch, tile):
     import random
 
     from readloom.operators import candidates as C
     from readloom.operators import evaluation as E
 
+    monkeypatch.setattr(E, "TILE", tile)
+    monkeypatch.setattr(C, "SITES", tile)
     rng = random.Random(4)
     for tolerance in (0.0, 0.6):
         sites = sorted({(rng.randrange(400), rng.randrange(2)) for _ in range(160)})
@@ -301,35 +304,21 @@ def test_candidates_against_literal_loops(spark):
         df = spark.createDataFrame(rows, "chrom string, pos long, strand int, n long")
         got = {(r["pos"], r["strand"]): r["score"] for r in E.sliding_score(df, half, tolerance).collect()}
         assert got == {(rows[i][1], rows[i][2]): score(i)[0] for i in range(len(rows))}
-        want, best, ahead, i = [], None, 0, 0
-        while i < len(rows):
-            s, lo, hi = score(i)
-            if s >= limit and best is None:
-                best, ahead = (s, i, lo, hi), half
-            if ahead > 0:
-                if s > best[0]:
-                    best = (s, i, lo, hi)
-                ahead -= 1
-                i += 1
-                continue
-            if best:
-                top, _, lo, hi = best
-                first, last, on, prev = lo, hi, False, lo
-                for k in range(lo, hi):
-                    v = score(k)[0]
-                    if not on and v > 0.9 * top:
-                        first, on = k, True
-                    elif on and v < 0.9 * top:
-                        last = prev
-                        break
-                    prev = k
-                mid, centre = (rows[first][1] + rows[last][1]) // 2, first
-                for k in range(first, last):
-                    if abs(mid - rows[k][1]) < mid - rows[first][1]:
-                        centre = k
-                want.append((rows[centre][1], rows[centre][2], top, rows[last][1] - rows[first][1]))
-                i, best = hi, None
-            i += 1
+        every = [score(i) for i in range(len(rows))]
+        value, at, opens = [s for s, *_ in every], [p for _, p, *_ in rows], [i for i, (s, *_) in enumerate(every) if s >= limit]
+        want, start = [], 0
+        while (left := [i for i in opens if i >= start]) and left[0] + half < len(rows):
+            peak = max(range(left[0], left[0] + half), key=lambda i: (value[i], -i))
+            lo = min(max(1, next(i for i in range(len(rows)) if at[i] >= at[peak] - half)), peak)
+            hi = max(i for i in range(len(rows)) if at[i] <= at[peak] + half)
+            over = [k for k in range(lo, hi) if value[k] > 0.9 * value[peak]]
+            first = over[0] if over else lo
+            under = [k for k in range(first + 1, hi) if over and value[k] < 0.9 * value[peak]]
+            last = under[0] - 1 if under else hi
+            mid = (at[first] + at[last]) // 2
+            centre = [first, *(k for k in range(first, last) if abs(mid - at[k]) < mid - at[first])][-1]
+            want.append((rows[centre][1], rows[centre][2], value[peak], at[last] - at[first]))
+            start = hi + 1
         found = C.forward_candidates(df, half, limit, tolerance)
         assert [(r["pos"], r["strand"], r["score"], r["width"]) for r in found.orderBy("start").collect()] == want and want
         assert C.candidates_bed(found).count() == C.width_histogram(found).agg(F.sum("n")).first()[0] == len(want)
