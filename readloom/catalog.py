@@ -22,7 +22,9 @@ from .operators import hits as H
 from .operators import reads as R
 from .operators import summits as M
 from .operators import tracks as K
-from .params import TrimParams
+from .params import PeakParams, TrimParams
+from .plans import peaks as PP
+from .plans import preprocess as PR
 
 #: The queries' parameters: pair distances, strand shifts, genome size.
 Q_MIN, Q_MAX, STEPS = 50, 150, 300
@@ -33,6 +35,8 @@ ORACLES: dict[str, str] = {}
 
 #: Named pieces of SQL that oracles are put together from, in order of dependence.
 CTE = dict(views.SQL)
+#: Those that are used several times and are costly: computed once.
+ONCE = {"fx_reads", "places", "sites", "site_scores", "site_windows", "opens", "opens_next", "peaks1", "peaks2", "peaks3"}
 
 
 def query(sql: str | None = None, uses: str = ""):
@@ -56,8 +60,8 @@ def with_ctes(uses: str, sql: str) -> str:
         if n not in need:
             need.add(n)
             todo += [m for m in CTE if m != n and re.search(rf"\b{m}\b", CTE[n])]
-    body = ", ".join(f"{n} AS ({CTE[n]})" for n in CTE if n in need)
-    return f"WITH {body} {sql}" if body else sql
+    body = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({CTE[n]})" for n in CTE if n in need)
+    return f"WITH RECURSIVE {body} {sql}" if body else sql
 
 
 def chip(spark, sf_dir):
@@ -328,9 +332,9 @@ def top_n(spark, sf_dir):
     return E.top_n(scored(spark, sf_dir), 100).select("chrom", "pos", "rn")
 
 
-@query("SELECT chrom, pos, rn FROM qv WHERE rn < coalesce((SELECT min(rn) FROM qv WHERE -log10(q_value) <= 0.5), 1000000000)", "qv")
+@query("SELECT chrom, pos, rn FROM qv WHERE rn < coalesce((SELECT min(rn) FROM qv WHERE -log10(q_value) <= -1.6), 1000000000)", "qv")
 def q_cutoff_takewhile(spark, sf_dir):
-    return E.take_while(scored(spark, sf_dir), 0.5).select("chrom", "pos", "rn")
+    return E.take_while(scored(spark, sf_dir), -1.6).select("chrom", "pos", "rn")
 
 
 # outputs
@@ -503,9 +507,7 @@ CTE |= {
 @query("SELECT read_no, adapter_id, CAST(s AS INTEGER) AS shift, CAST(o AS INTEGER) AS overlap, CAST(good AS INTEGER) AS matches, CAST(amb AS INTEGER) AS ambiguous FROM best", "best")
 def adapter_align(spark, sf_dir):
     """The best ungapped alignment of every read with every adapter."""
-    d = views.reads(spark, sf_dir).join(F.broadcast(adapters(spark)))
-    lo, hi = S.shift_bounds(F.col("seq"), F.col("adapter"), F.col("three"), F.col("anchored"), F.col("overhang"), 4)
-    return d.withColumn("x", S.best_alignment(F.col("seq"), F.col("adapter"), lo, hi)).where("x is not null").select("read_no", "adapter_id", "x.shift", "x.overlap", "x.matches", "x.ambiguous")
+    return A.align_all(views.reads(spark, sf_dir), adapters(spark), TrimParams())
 
 
 @query("SELECT r.read_no, CASE WHEN c.s IS NULL THEN r.seq WHEN c.three THEN substr(r.seq, 1, greatest(c.s, 0)) ELSE substr(r.seq, least(c.n, c.s + c.m) + 1) END AS seq, CASE WHEN c.s IS NULL THEN 0 WHEN c.three THEN c.n - greatest(c.s, 0) ELSE least(c.n, c.s + c.m) END AS removed FROM fx_reads r LEFT JOIN chosen c USING (read_no)", "fx_reads chosen")
@@ -513,22 +515,100 @@ def adapter_strip_best(spark, sf_dir):
     return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams()).select("read_no", "seq", F.col("removed").cast("long").alias("removed"))
 
 
-@query()
+def strip_ctes(name: str, source: str, adapters: str = "fx_adapters", extra: str = "") -> str:
+    """Registers SQL of one round over ``source`` (read_no, seq, live), and returns the name of its result (read_no, seq, removed, cut as of the quality, adapter_id, overlap, wrong, live).
+
+    No adapter has an N, and a dot in its place keeps a read's N from matching.
+    """
+    CTE[f"{name}_s"] = f"SELECT *, unnest(range(CASE WHEN three THEN CASE WHEN anchored THEN n - m ELSE 0 END ELSE CASE WHEN anchored THEN 0 ELSE 4 - m END END, CASE WHEN three THEN CASE WHEN anchored THEN n - m ELSE n - 4 END ELSE CASE WHEN anchored THEN 0 ELSE n - m END END + 1)) AS s FROM (SELECT r.read_no, r.seq, length(r.seq) AS n, a.adapter_id, a.adapter, length(a.adapter) AS m, a.three, a.anchored FROM {source} r, {adapters} a WHERE r.live{extra})"
+    CTE[f"{name}_o"] = f"SELECT *, substr(seq, CAST(greatest(s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS x, substr(adapter, CAST(greatest(-s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS y FROM (SELECT *, least(n - greatest(s, 0), m - greatest(-s, 0)) AS o FROM {name}_s) WHERE o > 0"
+    CTE[f"{name}_c"] = f"SELECT * EXCLUDE (x, y), o - hamming(replace(x, 'N', '.'), y) AS good, o - length(replace(x, 'N', '')) AS amb FROM {name}_o"
+    CTE[f"{name}_b"] = f"SELECT *, 2 * good - o + amb AS score, o - good - amb AS wrong FROM (SELECT *, row_number() OVER (PARTITION BY read_no, adapter_id ORDER BY (o - good - amb) / o::DOUBLE, o DESC, s) AS rn FROM {name}_c) WHERE rn = 1 AND o >= 4 AND good > 0 AND o - good - amb <= floor(0.2::DOUBLE * o)"
+    CTE[f"{name}_w"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_no ORDER BY score DESC, adapter_id) AS rk FROM {name}_b) WHERE rk = 1"
+    keep = "CASE WHEN c.s IS NULL THEN {0} WHEN c.three THEN substr({0}, 1, CAST(greatest(c.s, 0) AS INTEGER)) ELSE substr({0}, CAST(least(c.n, c.s + c.m) + 1 AS INTEGER)) END"
+    CTE[name] = f"SELECT *, length(was) - length(seq) AS removed, live0 AND length(seq) < length(was) AND length(seq) >= 4 AS live FROM (SELECT r.read_no, r.seq AS was, r.live AS live0, {keep.format('r.seq')} AS seq, {keep.format('r.qual')} AS qual, c.adapter_id, c.o AS overlap, c.wrong FROM {source} r LEFT JOIN {name}_w c USING (read_no))"
+    ONCE.update((name, source, f"{name}_w"))
+    return name
+
+
+def tagged(id_: str, removed: str) -> str:
+    return f"CASE WHEN {removed} > 0 THEN split_part({id_}, ' ', 1) || ':AdapterRemoved' || substr({id_}, length(split_part({id_}, ' ', 1)) + 1) ELSE {id_} END"
+
+
+CTE["strip0"] = "SELECT *, length(seq) > 0 AS live FROM fx_reads"
+for _i in (1, 2, 3):
+    strip_ctes(f"round{_i}", "strip0" if _i == 1 else f"round{_i - 1}")
+    # adapters in turn, each over what the last one left, reads being live as they were at first
+    CTE[f"down{_i}_in"] = "SELECT read_no, seq, qual, length(seq) > 0 AS live FROM " + ("strip0" if _i == 1 else f"down{_i - 1}")
+    strip_ctes(f"down{_i}", f"down{_i}_in", extra=f" AND a.adapter_id = {_i}")
+
+
+def stripped_sql(last: str) -> str:
+    return f"SELECT r.read_no, {tagged('r.id', 'length(r.seq) - length(x.seq)')} AS id, x.seq, length(r.seq) - length(x.seq) AS removed FROM fx_reads r JOIN {last} x USING (read_no)"
+
+
+@query(stripped_sql("round3"), "fx_reads round3")
 def adapter_strip_rounds(spark, sf_dir):
     """Three rounds, each on what the one before left."""
-    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(times=3)).select("read_no", "id", "seq", "removed")
+    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(times=3)).select("read_no", "id", "seq", F.col("removed").cast("long").alias("removed"))
 
 
-@query()
+@query(stripped_sql("down3"), "fx_reads down3")
 def adapter_strip_topdown(spark, sf_dir):
-    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(top_down=True)).select("read_no", "id", "seq", "removed")
+    """All adapters in turn."""
+    return A.strip(views.reads(spark, sf_dir), adapters(spark), TrimParams(top_down=True)).select("read_no", "id", "seq", F.col("removed").cast("long").alias("removed"))
 
 
-@query()
+CTE["pair_shifts"] = "SELECT *, least(n - greatest(s, 0), m - greatest(-s, 0)) AS o FROM (SELECT read_no, seq, reverse(translate(seq_rev, 'ACGT', 'TGCA')) AS rc, length(seq) AS n, length(seq_rev) AS m, unnest(range(1 - length(seq_rev), length(seq))) AS s FROM fx_pairs)"
+CTE["pair_cut"] = "SELECT *, substr(seq, CAST(greatest(s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS x, substr(rc, CAST(greatest(-s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS y FROM pair_shifts WHERE o > 0"
+# score: matches less mismatches; an N on either side counts for neither
+CTE["pair_scored"] = "SELECT read_no, n, s, o, o - hamming(replace(x, 'N', '.'), replace(y, 'N', ',')) AS good, hamming(replace(x, 'N', '.'), y) - hamming(replace(x, 'N', '.'), replace(y, 'N', '.')) AS two, 2 * o - length(replace(x, 'N', '')) - length(replace(y, 'N', '')) AS ns FROM pair_cut"
+CTE["pair_best"] = "SELECT * FROM (SELECT *, 2 * good - o + ns - two AS score, row_number() OVER (PARTITION BY read_no ORDER BY 2 * good - o + ns - two DESC, o DESC, s) AS rk FROM pair_scored) WHERE rk = 1"
+CTE["pair_insert"] = "SELECT read_no, CASE WHEN o > 5 AND (o - score) // 2 <= o * 0.15::DOUBLE THEN CAST(2 * n - o AS INTEGER) END AS ins FROM pair_best"
+
+
+@query('SELECT r.read_no, CASE WHEN ins IS NULL THEN seq ELSE substr(seq, 1, ins) END AS seq, CASE WHEN ins IS NULL THEN seq_rev ELSE substr(seq_rev, 1, ins) END AS seq_rev, ins AS "insert" FROM fx_pairs r LEFT JOIN pair_insert USING (read_no)', "fx_pairs pair_insert")
 def adapter_strip_paired(spark, sf_dir):
-    """A read's mate is the reverse complement of what follows its first five bases."""
-    r = views.reads(spark, sf_dir)
-    return A.strip_pair(r.withColumns({"seq_rev": F.concat(S.reverse_complement(F.substring("seq", 1, 40)), F.lit("ACGTTTGA")), "qual_rev": F.col("qual"), "id_rev": F.col("id")})).select("read_no", "seq", "seq_rev", "insert")
+    """Mates cut to the insert that their overlap shows."""
+    return A.strip_pair(views.read_pairs(spark, sf_dir)).select("read_no", "seq", "seq_rev", "insert")
+
+
+# pairs of reads
+
+
+@query("SELECT read_no, id, id_rev, seq, seq_rev FROM (SELECT read_no, CASE WHEN k THEN split_part(id, ' ', 1) || ':TR:' || substr(seq, length(seq) - 2) || ':TL:' || substr(seq, 1, 4) || substr(id, length(split_part(id, ' ', 1)) + 1) ELSE id END AS id, CASE WHEN k THEN split_part(id_rev, ' ', 1) || ':TR:' || substr(seq_rev, length(seq_rev) - 2) || ':TL:' || substr(seq_rev, 1, 4) || substr(id_rev, length(split_part(id_rev, ' ', 1)) + 1) ELSE id_rev END AS id_rev, CASE WHEN k THEN substr(seq, 5, length(seq) - 7) ELSE '' END AS seq, CASE WHEN k THEN substr(seq_rev, 5, length(seq_rev) - 7) ELSE '' END AS seq_rev FROM (SELECT *, least(length(seq), length(seq_rev)) > 7 AS k FROM fx_pairs)) WHERE least(length(seq), length(seq_rev)) >= 10", "fx_pairs")
+def paired_pretrim(spark, sf_dir):
+    return R.pre_trim(views.read_pairs(spark, sf_dir), 4, 3, 10, True).select("read_no", "id", "id_rev", "seq", "seq_rev")
+
+
+@query("SELECT read_no, seq, seq_rev FROM fx_pairs WHERE least(length(seq), length(seq_rev)) >= 30", "fx_pairs")
+def paired_min_length(spark, sf_dir):
+    return R.min_length(views.read_pairs(spark, sf_dir), 30).select("read_no", "seq", "seq_rev")
+
+
+@query("SELECT read_no, replace(seq, 'N', 'A') AS seq, replace(seq_rev, 'N', 'A') AS seq_rev, a + b AS n_uncalled FROM (SELECT *, length(seq) - length(replace(seq, 'N', '')) AS a, length(seq_rev) - length(replace(seq_rev, 'N', '')) AS b FROM fx_pairs) WHERE a <= 1 AND b <= 1", "fx_pairs")
+def paired_n_filter(spark, sf_dir):
+    return R.uncalled_filter(views.read_pairs(spark, sf_dir), 1, "A").select("read_no", "seq", "seq_rev", F.col("n_uncalled").cast("long").alias("n_uncalled"))
+
+
+@query("SELECT r.read_no, CAST(coalesce(b, 0) AS INTEGER) AS demux FROM fx_reads r LEFT JOIN (SELECT barcode, min(barcode_id) AS b FROM fx_barcodes GROUP BY 1) k ON k.barcode = substr(seq, length(seq) - 2)", "fx_reads fx_barcodes")
+def mux_demux(spark, sf_dir):
+    """Barcodes in reads of their own (here a read's last three bases)."""
+    r = views.reads(spark, sf_dir).withColumn("mux", F.expr("substring(seq, length(seq) - 2, 3)"))
+    return R.demultiplex(r, barcodes(spark), 3).select("read_no", "demux")
+
+
+# quality-aware alignment: error probabilities of mismatches, summed, count as ambiguous by their whole part
+
+CTE["qa_o"] = "SELECT *, substr(seq, CAST(greatest(s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS x, substr(adapter, CAST(greatest(-s, 0) + 1 AS INTEGER), CAST(o AS INTEGER)) AS y, q[greatest(s, 0) + 1 : greatest(s, 0) + o] AS qs FROM (SELECT *, least(n - greatest(s, 0), m - greatest(-s, 0)) AS o FROM (SELECT *, unnest(range(0, n - 3)) AS s FROM (SELECT read_no, seq, q, length(seq) AS n, adapter_id, adapter, length(adapter) AS m FROM fx_reads, fx_adapters WHERE three))) WHERE o > 0"
+CTE["qa_c"] = "SELECT read_no, adapter_id, s, o, good, amb0 + CAST(floor(coalesce(list_sum(list_transform(range(0, o), lambda i: CASE WHEN x[i + 1] <> 'N' AND x[i + 1] <> y[i + 1] THEN pow(10.0::DOUBLE, -qs[i + 1] / 10.0::DOUBLE) ELSE 0.0::DOUBLE END)), 0)) AS BIGINT) AS amb FROM (SELECT *, o - hamming(replace(x, 'N', '.'), y) AS good, o - length(replace(x, 'N', '')) AS amb0 FROM qa_o)"
+CTE["qa_b"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_no, adapter_id ORDER BY (o - good - amb) / o::DOUBLE, o DESC, s) AS rn FROM qa_c) WHERE rn = 1"
+
+
+@query("SELECT read_no, adapter_id, CAST(s AS INTEGER) AS shift, CAST(o AS INTEGER) AS overlap, CAST(good AS INTEGER) AS matches, CAST(amb AS INTEGER) AS ambiguous FROM qa_b", "qa_b")
+def adapter_align_quality(spark, sf_dir):
+    """As adapter_align, for the 3' adapters, with mismatches of likely wrong bases as ambiguous."""
+    return A.align_all(views.reads(spark, sf_dir), adapters(spark).where("three"), TrimParams(by_quality=True))
 
 
 @query("SELECT adapter_id, count(*) AS n_removed, CAST(min(o) AS INTEGER) AS min_overlap, CAST(floor(avg(o)) AS BIGINT) AS mean_overlap, CAST(max(o) AS INTEGER) AS max_overlap FROM chosen GROUP BY adapter_id", "chosen")
@@ -611,18 +691,32 @@ def sites(spark, sf_dir):
     return D.occurrences(views.barcoded(spark, sf_dir)).select("chrom", F.col("pos5").alias("pos"), "strand", F.col("n_unique").alias("n"))
 
 
-@query()
+CTE |= {
+    "site_scores": "SELECT s.chrom, s.pos, s.strand, s.rn - 1 AS i, s.c, CASE WHEN s.rn = 1 OR s.rn = s.c THEN 0 ELSE coalesce((SELECT sum(v) FROM sites l WHERE l.chrom = s.chrom AND l.rn BETWEEN greatest(2, s.rn - 21) AND s.rn AND l.pos >= s.pos - 10), 0) - coalesce((SELECT sum(v) FROM sites r WHERE r.chrom = s.chrom AND r.rn BETWEEN s.rn + 1 AND s.rn + 21 AND r.pos <= s.pos + 10), 0) END AS score FROM sites s",
+    "site_windows": "SELECT *, least(greatest(min(i) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 10 PRECEDING AND CURRENT ROW), 1), i) AS lo, max(i) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 10 FOLLOWING) AS hi, max(score * 1000000000 + 999999999 - i) OVER (PARTITION BY chrom ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM site_scores",
+    "opens": "SELECT w.chrom, w.i, w.c, p.score AS top, p.i AS at, p.lo, p.hi FROM site_windows w JOIN site_windows p ON p.chrom = w.chrom AND p.i = 999999999 - w.m % 1000000000 WHERE w.score >= 3",
+    "opens_next": "SELECT *, min(i) OVER (PARTITION BY chrom ORDER BY i RANGE BETWEEN (hi - i + 1) FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM opens",
+    "chain": "SELECT chrom, min(i) AS i FROM opens GROUP BY chrom UNION ALL SELECT o.chrom, o.following FROM chain JOIN opens_next o USING (chrom, i) WHERE o.following IS NOT NULL",
+    "peaks1": "SELECT o.*, coalesce((SELECT min(i) FROM site_windows k WHERE k.chrom = o.chrom AND k.i >= o.lo AND k.i < o.hi AND k.score > 0.9::DOUBLE * o.top), -1) AS above FROM chain JOIN opens o USING (chrom, i) WHERE o.i + 10 < o.c",
+    "peaks2": "SELECT *, CASE WHEN above < 0 THEN lo ELSE above END AS first, CASE WHEN above < 0 THEN hi ELSE coalesce((SELECT min(i) - 1 FROM site_windows k WHERE k.chrom = p.chrom AND k.i > p.above AND k.i < p.hi AND k.score < 0.9::DOUBLE * p.top), hi) END AS last FROM peaks1 p",
+    "peaks3": "SELECT *, (p0 + p1) // 2 AS mid FROM (SELECT *, (SELECT pos FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.first) AS p0, (SELECT pos FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.last) AS p1 FROM peaks2 p)",
+    "peaks4": "SELECT *, coalesce((SELECT max(i) FROM site_windows k WHERE k.chrom = p.chrom AND k.i >= p.first AND k.i < p.last AND abs(p.mid - k.pos) < p.mid - p.p0), first) AS centre FROM peaks3 p",
+    "candidates": "SELECT chrom, (SELECT pos FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.centre) AS pos, (SELECT strand FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.centre) AS strand, CAST(top AS BIGINT) AS score, (SELECT pos FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.lo) AS start, (SELECT pos FROM site_windows k WHERE k.chrom = p.chrom AND k.i = p.hi) AS \"end\", p1 - p0 AS width FROM peaks4 p",
+}
+
+
+@query("SELECT * FROM candidates", "candidates")
 def forward_candidates(spark, sf_dir):
-    """A scan with a state; the tests hold it against literal loops."""
+    """Peaks along a chain of opening sites; the SQL walks it recursively."""
     return C.forward_candidates(sites(spark, sf_dir), 10, 3)
 
 
-@query()
+@query("SELECT width, count(*) AS n FROM candidates GROUP BY width", "candidates")
 def candidate_widths(spark, sf_dir):
     return C.width_histogram(C.forward_candidates(sites(spark, sf_dir), 10, 3))
 
 
-@query()
+@query('SELECT k.pos - p.pos AS "offset", CAST(sum(k.score) AS BIGINT) AS score FROM candidates p JOIN site_scores k ON k.chrom = p.chrom AND k.pos BETWEEN greatest(p.start, p.pos - 10) AND least(p."end", p.pos + 10) GROUP BY 1', "candidates site_scores")
 def candidate_profile(spark, sf_dir):
     return C.score_profile(C.forward_candidates(sites(spark, sf_dir), 10, 3), sites(spark, sf_dir), 10, 10)
 
@@ -649,29 +743,75 @@ def reads_per_output(spark, sf_dir):
     return d.join(F.broadcast(names), "demux", "left").groupBy(F.coalesce("sample", F.lit("unidentified")).alias("sample")).agg(F.count("*").alias("n_reads"))
 
 
-@query()
+CTE |= {
+    "pc1": "SELECT * FROM (SELECT read_no, id, CASE WHEN length(seq) > 1 THEN substr(seq, 2) ELSE '' END AS seq, CASE WHEN length(seq) > 1 THEN substr(qual, 2) ELSE '' END AS qual FROM fx_reads) WHERE length(seq) >= 5",
+    "pc2": "SELECT * FROM pc1 WHERE length(seq) - length(replace(seq, 'N', '')) <= 3",
+    "pc3": "SELECT read_no, id, CASE WHEN demux > 0 THEN substr(seq, 4) ELSE seq END AS seq, CASE WHEN demux > 0 THEN substr(qual, 4) ELSE qual END AS qual, demux FROM (SELECT r.*, CAST(coalesce(b, 0) AS INTEGER) AS demux FROM pc2 r LEFT JOIN (SELECT barcode, min(barcode_id) AS b FROM fx_barcodes GROUP BY 1) k ON k.barcode = substr(seq, 1, 3) WHERE length(seq) > 3)",
+    # what follows the last quality of at least 20 goes
+    "pc4": "SELECT * FROM (SELECT read_no, CASE WHEN k < length(seq) THEN id || ':QT' ELSE id END AS id, substr(seq, 1, k) AS seq, substr(qual, 1, k) AS qual, demux FROM (SELECT *, length(regexp_replace(qual, '[!-4]*$', '')) AS k FROM pc3)) WHERE length(seq) >= 5",
+    "pc5": "SELECT *, length(seq) > 0 AS live FROM pc4",
+}
+strip_ctes("pc6", "pc5")
+CHAIN = TrimParams(trim_left=1, min_length=5, uncalled=3, quality=20, quality_min_length=5)
+
+
+@query(f"SELECT r.read_no, {tagged('r.id', 'x.removed')} AS id, x.seq, x.qual, r.demux, CAST(x.removed AS BIGINT) AS removed FROM pc5 r JOIN pc6 x USING (read_no)", "pc5 pc6")
 def preprocess_chain(spark, sf_dir):
     """All stages over all reads."""
-    from .plans.preprocess import preprocess
+    return PR.preprocess(views.reads(spark, sf_dir), CHAIN, barcodes(spark), adapters(spark)).select("read_no", "id", "seq", "qual", "demux", F.col("removed").cast("long").alias("removed"))
+
 
-    p = TrimParams(trim_left=1, min_length=5, uncalled=3, quality=20, quality_min_length=5)
-    return preprocess(views.reads(spark, sf_dir), p, barcodes(spark), adapters(spark)).select("read_no", "id", "seq", "qual", "demux", "removed")
+@query("SELECT * FROM (VALUES ('pre_trim', (SELECT count(*) FROM fx_reads) - (SELECT count(*) FROM pc1)), ('uncalled', (SELECT count(*) FROM pc1) - (SELECT count(*) FROM pc2)), ('demultiplex', (SELECT count(*) FROM pc2) - (SELECT count(*) FROM pc3)), ('quality', (SELECT count(*) FROM pc3) - (SELECT count(*) FROM pc4)), ('adapters', 0), ('kept', (SELECT count(*) FROM pc4))) t(reason, n_reads)", "fx_reads pc1 pc2 pc3 pc4")
+def drop_statistics(spark, sf_dir):
+    return PR.drop_statistics(views.reads(spark, sf_dir), CHAIN, barcodes(spark), adapters(spark))
 
 
 @query(ORACLES["narrowpeak"])
 def peak_caller(spark, sf_dir):
     """The whole caller with a control, the fragment length given."""
-    from .params import PeakParams
-    from .plans.peaks import call_peaks
-
-    run = call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=(Q_MIN + Q_MAX) // 2), views.control(spark, sf_dir))
+    run = PP.call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=(Q_MIN + Q_MAX) // 2), views.control(spark, sf_dir))
     return run.narrow_peak().withColumns({"log_p": log_p(), "log_q": log_p("q_value")}).drop("p_value", "q_value")
 
 
-@query()
+def _nexus_ctes(lo: int, hi: int) -> None:
+    """The pieces from pairs to counts for hits with their repeats and other distances, under names that begin with nx_."""
+    import re
+
+    names = ("pairs", "deltas", "cov", "raws", "refs", "runs", "folded", "allmerged", "merged", "c3")
+    to = {"hits": "fx_hits", **{n: f"nx_{n}" for n in names}}
+    numbers = {str(Q_MIN): str(lo), str(Q_MAX): str(hi), str(Q_MAX - 1): str(hi - 1)}
+    for n in names:
+        text = re.sub(rf"\b({'|'.join(to)})\b", lambda m: to[m[0]], CTE[n])
+        CTE[f"nx_{n}"] = re.sub(rf"\b({'|'.join(numbers)})\b", lambda m: numbers[m[0]], text)
+    CTE["nx_c1"] = f"SELECT DISTINCT s.chrom, s.pos AS s FROM nx_merged s JOIN nx_pairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {hi} AND p.f_pos < s.pos AND p.r_pos >= s.pos"
+    CTE["nx_c2"] = f"SELECT s.chrom, s.pos AS s, count(DISTINCT f_pos) + count(DISTINCT r_pos) AS taken FROM nx_merged s JOIN nx_pairs p ON s.chrom = p.chrom AND p.f_pos > s.pos - {hi} AND p.f_pos < s.pos AND p.r_pos > s.pos AND p.r_pos < p.f_pos + {hi} GROUP BY 1, 2"
+    CTE["nx_ev"] = f"SELECT m.chrom, m.s AS pos, coalesce(kfu_chip + kfd_chip + kru_chip + krd_chip, 0) AS k, coalesce(taken, 0) / {2 * hi}.0::DOUBLE AS saturation FROM nx_c1 m LEFT JOIN nx_c2 USING (chrom, s) LEFT JOIN nx_c3 USING (chrom, s)"
+    CTE["nx_lam"] = f"SELECT chrom, 4.0::DOUBLE * count(*) * {hi} / 200000 AS rate FROM fx_hits GROUP BY chrom"
+    CTE["nx_tail"] = "SELECT chrom, k, coalesce(sum(exp(l)) OVER (PARTITION BY chrom ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p_value FROM (SELECT chrom, k, sum(r) OVER (PARTITION BY chrom ORDER BY k) AS l FROM (SELECT chrom, k, CASE WHEN k = 0 THEN -rate ELSE ln(rate / k) END AS r FROM nx_lam, range(0, (SELECT max(k) FROM nx_ev) + 201) t(k)))"
+    CTE["nx_qv"] = "SELECT *, p_value * n / rn AS q_value FROM (SELECT e.*, p_value, row_number() OVER (ORDER BY p_value, e.chrom, e.pos) AS rn, count(*) OVER () AS n FROM nx_ev e JOIN nx_tail t ON t.chrom = e.chrom AND t.k = e.k)"
+
+
+_nexus_ctes(15, 25)
+
+
+@query(f"SELECT chrom, greatest(0, pos - 15) AS start, least(200000, pos + 15) AS \"end\", '.' AS name, CAST(round(saturation * 1000) AS BIGINT) AS score, '.' AS strand, round(k, 6) AS signal, {log_p_sql('p_value')} AS log_p, {log_p_sql('q_value')} AS log_q, 15 AS peak FROM nx_qv", "nx_qv")
 def peak_caller_nexus(spark, sf_dir):
-    from .params import PeakParams
-    from .plans.peaks import call_peaks
+    """The whole caller without a control, hits with their repeats, probabilities of each chromosome's Poisson."""
+    run = PP.call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=20, nexus=True))
+    return run.narrow_peak().withColumns({"log_p": log_p(), "log_q": log_p("q_value"), "signal": F.col("signal").cast("double")}).drop("p_value", "q_value")
+
+
+CTE["chance"] = f"SELECT chrom, CAST(round({2 * Q_MAX} * (1 - exp(-2 * (count(*) FILTER (strand = 0) / 200000.0::DOUBLE * (1 - exp(-{Q_MAX - Q_MIN}.0::DOUBLE * count(*) FILTER (strand = 1) / 200000.0::DOUBLE)))))) AS BIGINT) AS least FROM hits GROUP BY chrom"
+
+
+@query("SELECT ev.chrom, ev.pos, least AS n_expected FROM ev JOIN chance USING (chrom) WHERE q_beg_chip > 0 AND q_end_chip > 0 AND least <= q_beg_chip + q_end_chip", "ev chance")
+def expected_saturation(spark, sf_dir):
+    """Summits with as many taken positions as chance would give, by the counts of their chromosome."""
+    kept = E.expected_saturation(evaluated(spark, sf_dir), chip(spark, sf_dir), views.chroms(spark), Q_MIN, Q_MAX)
+    return kept.select("chrom", "pos", "n_expected")
+
 
-    run = call_peaks(views.hits(spark, sf_dir), views.chroms(spark), PeakParams(fragment_length=20, nexus=True))
-    return run.narrow_peak()
+@query('SELECT rate, CAST("unique" AS BIGINT) + CAST(non_unique AS BIGINT) AS n_places, round(non_unique / ("unique" + non_unique)::DOUBLE, 9) AS artifact_ratio FROM (' + ORACLES["dup_histogram"] + ') WHERE rate <= 50 AND "unique" + non_unique > 0')
+def artifact_ratio(spark, sf_dir):
+    """The share of artefacts at each duplication rate up to 50."""
+    return D.artifact_ratio(D.duplication_histogram(D.occurrences(views.barcoded(spark, sf_dir)))).withColumn("artifact_ratio", F.round("artifact_ratio", 9))

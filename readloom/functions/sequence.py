@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: inside higher-order functions Spark evaluates each mention of an expression anew."""
-    return F.transform(F.array(value), body)[0]
-
-
 def insert_after_first_token(id_: Column, token: Column) -> Column:
     """``token`` before the first space of ``id_``, or at its end."""
     head = F.substring_index(id_, " ", 1)
@@ -72,52 +67,3 @@ def kept(q: Column, cutoff: int, mode: str = "TAIL") -> Column:
 
 def uncalled(seq: Column) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit("N"), F.lit("")))
-
-
-def alignments(read: Column, adapter: Column, lo: Column, hi: Column) -> Column:
-    """For every shift of ``adapter`` against ``read`` from lo to hi: array<struct<err, neg_overlap, shift, overlap, matches, ambiguous>>.
-
-    A base matches if it is equal and no N; N on either side is ambiguous, not an error. Shifts without overlap are left out.
-    """
-    n, m = F.length(read), F.length(adapter)
-
-    def at(a: Column, b: Column, s: Column, start: Column, first: Column, overlap: Column) -> Column:
-        pair = F.zip_with(F.slice(a, start + 1, overlap), F.slice(b, first + 1, overlap), lambda x, y: F.when((x == "N") | (y == "N"), 1).when(x == y, 1000).otherwise(0))
-        counts = F.aggregate(pair, F.lit(0), lambda t, v: t + v)
-
-        def entry(code: Column) -> Column:
-            matches, ambiguous = F.floor(code / 1000).cast("int"), (code % 1000).cast("int")
-            err = (overlap - F.floor(code / 1000) - code % 1000).cast("double") / overlap
-            return F.struct(err.alias("err"), (-overlap).alias("neg_overlap"), s.alias("shift"), overlap.alias("overlap"), matches.alias("matches"), ambiguous.alias("ambiguous"))
-
-        return let(counts, entry)
-
-    def one(a: Column, b: Column, s: Column) -> Column:
-        start, first = F.greatest(s, F.lit(0)), F.greatest(-s, F.lit(0))
-        overlap = F.greatest(F.least(n - start, m - first), F.lit(0))
-        return let(F.struct(start.alias("start"), first.alias("first"), overlap.alias("overlap")), lambda p: F.when(p["overlap"] > 0, at(a, b, s, p["start"], p["first"], p["overlap"])))
-
-    shifts = F.when((hi < lo) | (n == 0) | (m == 0), F.array().cast("array<int>")).otherwise(F.sequence(lo, hi))
-    letters = F.struct(F.split(read, "").alias("a"), F.split(adapter, "").alias("b"))
-    return let(letters, lambda w: F.filter(F.transform(shifts, lambda s: one(w["a"], w["b"], s)), lambda x: x.isNotNull()))
-
-
-def best_alignment(read: Column, adapter: Column, lo: Column, hi: Column) -> Column:
-    """The shift with the least error rate; of equals the longest overlap, then the first shift. Null if there is none."""
-    return F.array_min(alignments(read, adapter, lo, hi))
-
-
-def shift_bounds(read: Column, adapter: Column, three: Column, anchored: Column, overhang: Column, min_overlap: int) -> tuple[Column, Column]:
-    """First and last shift to try for an adapter at the 3' (or 5') end."""
-    n, m = F.length(read), F.length(adapter)
-    opposite = F.when(anchored, m - n).otherwise(overhang)
-    same = F.when(anchored, 0).otherwise(m - min_overlap)
-    left, right = F.when(three, opposite).otherwise(same), F.when(three, same).otherwise(opposite)
-    return (-left).cast("int"), (n - m + right).cast("int")
-
-
-def allowed_errors(overlap: Column, rate: float, errors: int | None, non_linear: bool) -> Column:
-    if errors is not None or not rate:
-        return F.lit(errors or 0)
-    n = F.floor(F.lit(rate) * overlap)
-    return F.when(overlap < 6, 0).when(overlap < 10, F.least(n, F.lit(1))).otherwise(n) if non_linear else n

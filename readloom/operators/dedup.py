@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,15 +46,21 @@ def occurrences(records: DataFrame) -> DataFrame:
 
 
 def duplication_histogram(places: DataFrame) -> DataFrame:
-    """(rate, unique, non_unique, unique_reads, non_unique_reads) for rates from 1 to the largest."""
-    u = places.groupBy(F.col("n_unique").alias("rate")).agg(F.count("*").alias("unique"))
-    v = places.where("n_total > n_unique").groupBy((F.col("n_total") - F.col("n_unique")).alias("rate")).agg(F.count("*").alias("non_unique"))
-    both = u.join(v, "rate", "full")
-    every = both.agg(F.max("rate").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("rate"))
-    d = every.join(both, "rate", "left").na.fill(0)
+    """(rate, unique, non_unique, unique_reads, non_unique_reads) for rates from 1 to the largest. Places are read once: each adds to one rate of either kind."""
+    kinds = F.array(F.struct(F.col("n_unique").alias("rate"), F.lit(1).alias("u"), F.lit(0).alias("v")), F.struct((F.col("n_total") - F.col("n_unique")).alias("rate"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+    both = places.select(F.explode(kinds).alias("k")).where("k.rate > 0").groupBy("k.rate").agg(F.sum("k.u").alias("unique"), F.sum("k.v").alias("non_unique"))
+    # a row for every rate: those up to the next one that occurs follow it
+    gap = F.coalesce(F.lag("rate").over(Window.orderBy("rate")), F.lit(0)) + 1
+    d = both.withColumn("from", gap).withColumn("at", F.explode(F.sequence("from", "rate"))).select(F.col("at").alias("rate"), *(F.when(F.col("at") == F.col("rate"), F.col(c)).otherwise(0).alias(c) for c in ("unique", "non_unique")))
     return d.withColumns({"unique_reads": F.col("rate") * F.col("unique"), "non_unique_reads": F.col("rate") * F.col("non_unique")})
 
 
+def artifact_ratio(histogram: DataFrame, most: int = 50) -> DataFrame:
+    """(rate, n_places, artifact_ratio) for the first ``most`` rates that occur: places of that rate, and the share of them that counts later copies."""
+    n = F.col("unique") + F.col("non_unique")
+    return histogram.where((F.col("rate") <= most) & (n > 0)).select("rate", n.alias("n_places"), (F.col("non_unique") / n).alias("artifact_ratio"))
+
+
 def cluster_filter(records: DataFrame, least: int) -> DataFrame:
     """First copies at places with at least ``least`` barcodes."""
     big = occurrences(records).where(F.col("n_unique") >= least).select("chrom", "pos5", "strand")

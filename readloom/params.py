@@ -63,6 +63,7 @@ class TrimParams:
     overhang: int = 0
     times: int = 1
     top_down: bool = False
+    by_quality: bool = False
     final_length: int = 0
     tag: bool = True
 

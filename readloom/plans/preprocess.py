@@ -44,3 +44,12 @@ def preprocess(reads: DataFrame, p: TrimParams, barcodes: DataFrame | None = Non
     if p.final_length:
         d = count(R.trim_to(d, p.final_length), "final_length")
     return d
+
+
+def drop_statistics(reads: DataFrame, p: TrimParams, barcodes: DataFrame | None = None, adapters: DataFrame | None = None) -> DataFrame:
+    """(reason, n_reads): how many reads each stage dropped, and ``kept`` for those left. Runs the chain once; one number a stage comes to the driver."""
+    seen: dict[str, Observation] = {}
+    preprocess(reads, p, barcodes, adapters, observed=seen).write.format("noop").mode("overwrite").save()
+    left = [(k, o.get["reads"]) for k, o in seen.items()]
+    rows = [(k, before - after) for (_, before), (k, after) in zip(left, left[1:])] + [("kept", left[-1][1])]
+    return reads.sparkSession.createDataFrame(rows, "reason string, n_reads long")

@@ -36,23 +36,34 @@ def chroms(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return spark.range(1, CHROMS + 1).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.lit(LENGTH).cast("long").alias("length"))
 
 
+#: Letters of a read, and what a document's number is multiplied by to number its reads.
+READ, PER_DOCUMENT = 60, 1 << 24
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads made of the letters of documents: read_no, id, seq, qual (Phred + 33)."""
-    seq = F.translate(F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 60)), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN")
-    score = lambda i: ((F.col("read_no") * 7 + i * i * 3) % 41 + 33).cast("int")
-    qual = F.when(F.length("seq") == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.char(score(i))), ""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_no"), F.concat(F.lit("read"), F.col("doc_id").cast("string"), F.lit(" x")).alias("id"), seq.alias("seq")).select("read_no", "id", "seq", qual.alias("qual"))
+    """Reads made of the letters of documents, each whole text cut into successive reads of up to 60 letters (a text without letters is one empty read): read_no, id, seq, qual (Phred + 33)."""
+    letters = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN")
+    # base i scores (read_no * 7 + i * i * 3) % 41, so there are 41 kinds of qualities
+    kinds = F.array(*(F.lit("".join(chr((k + i * i * 3) % 41 + 33) for i in range(READ))) for k in range(41)))
+    d = table(spark, sf_dir, "documents").select("doc_id", letters.alias("letters"))
+    d = d.select("doc_id", "letters", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("letters") - 1) / READ), F.lit(0)).cast("int"))).alias("k"))
+    d = d.select((F.col("doc_id") * PER_DOCUMENT + F.col("k")).alias("read_no"), F.concat(F.lit("read"), F.col("doc_id").cast("string"), F.lit("."), F.col("k").cast("string"), F.lit(" x")).alias("id"), F.substring(F.col("letters"), F.col("k") * READ + 1, F.lit(READ)).alias("seq"))
+    return d.withColumn("qual", F.substring(F.get(kinds, (F.col("read_no") * 7 % 41).cast("int")), F.lit(1), F.length("seq")))
 
 
-def barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mapped reads with a random barcode in their name: rec_no, qname, chrom, pos0, flag, seq_len, xm. rec_no is the rank by row content; the ranking is part of the view."""
-    from pyspark.sql import Window
+def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads with mates: the reverse complement of a read's first 40 bases and ACGTTTGA."""
+    mate = F.concat(F.reverse(F.translate(F.substring("seq", 1, 40), "ACGT", "TGCA")), F.lit("ACGTTTGA"))
+    return reads(spark, sf_dir).withColumns({"seq_rev": mate, "qual_rev": F.substring(F.concat("qual", F.lit("I" * 48)), F.lit(1), F.length(mate)), "id_rev": F.concat(F.lit("mate "), "id")})
 
-    order = Window.orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+
+def barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped reads with a random barcode in their name: rec_no, qname, chrom, pos0, flag, seq_len, xm. rec_no is made of the columns that tell rows apart."""
     letter = lambda k: F.substring(F.lit("ACGT"), (F.floor(F.col("l_partkey") / k) % 4 + 1).cast("int"), F.lit(1))
+    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("long")
     return (
         table(spark, sf_dir, "lineitem")
-        .select((F.row_number().over(order) - 1).cast("long").alias("rec_no"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+        .select(number.alias("rec_no"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
         .select(
             "rec_no",
             F.concat(F.lit("r"), F.col("rec_no").cast("string"), F.lit(":TL:"), letter(16), letter(4), letter(1)).alias("qname"),
@@ -72,7 +83,8 @@ SQL = {
     "fx_chrom": "SELECT 'chr' || i AS chrom, CAST(200000 AS BIGINT) AS length FROM range(1, 8) t(i)",
     "hits": "SELECT DISTINCT chrom, pos, strand, read_len FROM fx_hits",
     "ctrl": "SELECT DISTINCT chrom, pos, strand, read_len FROM fx_ctrl",
-    "fx_reads0": "SELECT doc_id AS read_no, 'read' || doc_id || ' x' AS id, translate(lower(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 60)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') AS seq FROM documents",
+    "fx_reads0": "SELECT doc_id * 16777216 + k AS read_no, 'read' || doc_id || '.' || k || ' x' AS id, substr(letters, CAST(k * 60 + 1 AS INTEGER), 60) AS seq FROM (SELECT doc_id, letters, unnest(range(0, greatest(1, (length(letters) + 59) // 60))) AS k FROM (SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') AS letters FROM documents))",
     "fx_reads": "SELECT read_no, id, seq, coalesce(array_to_string(list_transform(range(0, length(seq)), lambda i: chr(CAST((read_no*7 + i*i*3) % 41 + 33 AS INTEGER))), ''), '') AS qual, list_transform(range(0, length(seq)), lambda i: CAST((read_no*7 + i*i*3) % 41 AS INTEGER)) AS q FROM fx_reads0",
-    "fx_barcoded": "SELECT rec_no, 'r' || rec_no || ':TL:' || substr('ACGT', CAST(l_partkey // 16 % 4 + 1 AS INTEGER), 1) || substr('ACGT', CAST(l_partkey // 4 % 4 + 1 AS INTEGER), 1) || substr('ACGT', CAST(l_partkey % 4 + 1 AS INTEGER), 1) AS qname, 'chr' || l_linenumber AS chrom, (l_orderkey*7919 + l_partkey*104729 + l_suppkey*31) % 20000 AS pos0, CAST(CASE WHEN l_quantity = 7 THEN 4 ELSE (l_partkey + l_suppkey) % 2 * 16 END AS INTEGER) AS flag, 36 AS seq_len, CASE WHEN l_quantity = 7 THEN CAST(l_orderkey % 2 AS INTEGER) END AS xm FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS rec_no FROM lineitem)",
+    "fx_pairs": "SELECT *, 'mate ' || id AS id_rev, reverse(translate(substr(seq, 1, 40), 'ACGT', 'TGCA')) || 'ACGTTTGA' AS seq_rev, substr(qual || repeat('I', 48), 1, least(length(seq), 40) + 8) AS qual_rev FROM fx_reads",
+    "fx_barcoded": "SELECT rec_no, 'r' || rec_no || ':TL:' || substr('ACGT', CAST(l_partkey // 16 % 4 + 1 AS INTEGER), 1) || substr('ACGT', CAST(l_partkey // 4 % 4 + 1 AS INTEGER), 1) || substr('ACGT', CAST(l_partkey % 4 + 1 AS INTEGER), 1) AS qname, 'chr' || l_linenumber AS chrom, (l_orderkey*7919 + l_partkey*104729 + l_suppkey*31) % 20000 AS pos0, CAST(CASE WHEN l_quantity = 7 THEN 4 ELSE (l_partkey + l_suppkey) % 2 * 16 END AS INTEGER) AS flag, 36 AS seq_len, CASE WHEN l_quantity = 7 THEN CAST(l_orderkey % 2 AS INTEGER) END AS xm FROM (SELECT *, ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 64 + CAST(l_quantity AS BIGINT) AS rec_no FROM lineitem)",
 }
