@@ -2,19 +2,20 @@
 
 1. Confirm recurring phrases. Of every window of ``window`` words, the phrase of six words with the least hash is its
    mark; equal windows have equal marks. Marks are counted in shards of their value; those met twice recur.
-2. Compile and stream. Documents stand in blocks; each block gets an Aho-Corasick automaton (pyahocorasick) of the
-   recurring phrases marked in it, over an alphabet of word symbols, and its documents are streamed through it, which
+2. Compile and stream. Documents are dealt into blocks; each block gets an Aho-Corasick automaton (pyahocorasick) of the
+   recurring phrases marked in it, over an alphabet of word symbols, and its documents are streamed through it one by one, which
    finds every occurrence. Only windows around an occurrence can repeat; they are hashed.
-3. Decide. A window repeats if it starts earlier in its own document, or its least doc_id is smaller than its document's. Their words go.
+3. Decide. A window repeats if it starts earlier in its own document, or in a document of smaller id. Their words go.
 
 Word symbols have 10 bits, so a phrase is one 64-bit number and its own pattern; that two words may share a symbol only
-adds candidates. Windows are compared by 64-bit hashes: among 10^9 distinct windows a wrong match has a chance of 3 in 100.
+adds candidates. Windows are compared by 96 bits of hash: among 10^13 distinct ones a wrong match has a chance below 1 in 1000.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .shingles import grams, mix, word_memo, words
 from .workspace import Workspace, portions
 
-#: Documents of a block, marks of a shard on average.
-BLOCK, SHARD = 1000, 400_000
+#: Documents of a block, marks of a shard on average; documents beyond which a mark's occurrences are combined by block in several tasks first.
+BLOCK, SHARD, COMBINED = 1000, 400_000, 2_000_000
 _BASE = 0x10000  # symbols as characters, beyond the surrogates
 
 
@@ -92,8 +93,28 @@ def candidates(h: np.ndarray, a: ahocorasick.Automaton, window: int) -> np.ndarr
     return np.flatnonzero(_slide(met, width, np.minimum) == _slide(m, width, np.minimum))
 
 
-def _marked(window: int, blocks: int, shards: int):
-    """Per batch and shard, its marks with their blocks; a mark that a block has twice comes twice."""
+_MARKS = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("blocks", pa.binary())])
+
+
+def _packed(k: np.ndarray, o: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """Marks with their blocks, a row a shard."""
+    order = np.argsort(shard, kind="stable")
+    k, o, shard = k[order], o[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int64()), pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([o[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], schema=_MARKS)
+
+
+def _twice(k: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks by block, at most two of a kind: more tell no more."""
+    order = np.lexsort((o, k))
+    k, o = k[order], o[order]
+    third = np.zeros(len(k), bool)
+    third[2:] = (k[2:] == k[:-2]) & (o[2:] == o[:-2])
+    return k[~third], o[~third]
+
+
+def _marked(window: int, blocks: int, shards: int, parts: int):
+    """Per portion and shard (numbered with its part), its marks with their blocks; a mark that a block has twice or more comes twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -110,36 +131,51 @@ def _marked(window: int, blocks: int, shards: int):
                 m = np.concatenate([m, again[0][again[1] > 1]])  # met twice in one document
                 keys.append(m)
                 of.append(np.full(len(m), block, np.uint32))
-            if not keys:
-                continue
-            k, o = np.concatenate(keys), np.concatenate(of)
-            shard = (mix(k, 1) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            k, o, shard = k[order], o[order], shard[order]
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(k) else [0]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([o[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["shard", "keys", "blocks"])
+            if keys:
+                k, o = _twice(np.concatenate(keys), np.concatenate(of))
+                yield _packed(k, o, (mix(k, 1) % np.uint64(shards)).astype(np.int64) * parts + o % parts)
 
     return run
 
 
-def _recurring(t: pa.Table) -> pa.Table:
+def _unpacked(groups: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """All marks of a group with their blocks, combined as they come."""
+    k, o = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for b in groups:
+        k = np.concatenate([k, *(np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist())])
+        o = np.concatenate([o, *(np.frombuffer(x, np.uint32) for x in b.column("blocks").to_pylist())])
+        k, o = _twice(k, o)
+    return k, o
+
+
+def _combined(parts: int):
+    """A part of a shard, combined by mark and block; numbered as its shard."""
+
+    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(groups)
+        shard = first.column("shard")[0].as_py() // parts
+        k, o = _unpacked(chain([first], groups))
+        yield _packed(k, o, np.full(len(k), shard, np.int64))
+
+    return run
+
+
+def _recurring(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's marks that occur twice, by block."""
-    k = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()])
-    o = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("blocks").to_pylist()])
-    order = np.argsort(k, kind="stable")
-    k, o = k[order], o[order]
+    k, o = _unpacked(groups)
     same = k[1:] == k[:-1]
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(k) else np.zeros(0, bool)
     k, o = k[twice], o[twice]
     order = np.lexsort((k, o))
     k, o = k[order], o[order]
     first = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])]) if len(k) else np.zeros(0, bool)
     k, o = k[first], o[first]
     cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
-    return pa.table({"block": pa.array(o[cuts[:-1]].astype(np.int32), pa.int32()), "keys": pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), "doc_id": pa.nulls(len(cuts) - 1, pa.int64()), "row": pa.nulls(len(cuts) - 1, pa.int64())})
+    yield pa.RecordBatch.from_arrays([pa.array(o[cuts[:-1]].astype(np.int32), pa.int32()), pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["block", "keys"])
 
 
-STREAMED = "doc_id long, row long, n_words long, kept string, starts array<int>, hashes array<long>, again array<int>, text string"
+STREAMED = "doc_id long, row long, n_words long, kept string, starts array<int>, hashes array<long>, more array<int>, again array<int>, text string, n_removed long"
+_STREAMED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("more", pa.list_(pa.int32())), ("again", pa.list_(pa.int32())), ("text", pa.string()), ("n_removed", pa.int64())])
 
 
 def _kept(w: list[bytes], starts: np.ndarray, window: int, digest: bool) -> tuple[int, str]:
@@ -158,33 +194,47 @@ def _kept(w: list[bytes], starts: np.ndarray, window: int, digest: bool) -> tupl
 
 
 def _streamed(window: int, digest: bool):
-    """A block's documents through its automaton. Documents without candidates are done; of the others come their distinct windows, the starts of those met earlier in the document itself, and the text."""
-
-    def run(docs: pa.Table, given: pa.Table) -> pa.Table:
-        memo, rows = word_memo(), []
-        keys = [np.frombuffer(x, np.uint64) for x in given.column("keys").to_pylist() if x is not None]
-        copies = {(i, r) for i, r, x in zip(given.column("doc_id").to_pylist(), given.column("row").to_pylist(), given.column("keys").to_pylist()) if x is None}
-        a = automaton(np.unique(np.concatenate(keys)), window) if keys else None
-        for i, r, t in zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), docs.column("text").to_pylist()):
-            w = words(t, False) if t else []
-            n = len(w)
-            if n >= window and (i, r) in copies:  # an earlier document has the same text
-                rows.append((i, r, n, _kept([], np.zeros(0, np.int64), window, digest)[1], None, None, None, None, n))
-                continue
-            starts = np.zeros(0, np.int64)
-            if n >= window and a is not None:
-                h = np.fromiter(map(memo.__getitem__, w), np.uint64, n)
-                starts = candidates(h, a, window)
-            if not len(starts):
-                rows.append((i, r, n, _kept(w, starts, window, digest)[1], None, None, None, None, 0))
-                continue
-            hashed = grams(h, window)[starts]
-            _, first = np.unique(hashed, return_index=True)
-            again = np.ones(len(starts), bool)
-            again[first] = False
-            rows.append((i, r, n, None, starts[~again].astype(np.int32), hashed[~again].view(np.int64), starts[again].astype(np.int32), t, None))
-        c = list(zip(*rows))
-        return pa.table({"doc_id": pa.array(c[0], pa.int64()), "row": pa.array(c[1], pa.int64()), "n_words": pa.array(c[2], pa.int64()), "kept": pa.array(c[3], pa.string()), "starts": pa.array(c[4], pa.list_(pa.int32())), "hashes": pa.array(c[5], pa.list_(pa.int64())), "again": pa.array(c[6], pa.list_(pa.int32())), "text": pa.array(c[7], pa.string()), "n_removed": pa.array(c[8], pa.int64())})
+    """Documents through the automaton of their block, which comes before them. Documents without candidates are done; of the others come their
+    distinct windows, the starts of those met earlier in the document itself, and the text."""
+
+    def done(i, r, w, gone) -> tuple:
+        return i, r, len(w), _kept([] if gone else w, np.zeros(0, np.int64), window, digest)[1], None, None, None, None, None, len(w) if gone else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, block, keys, copies, a = word_memo(), None, [], set(), None
+        for b in portions(batches, 512, 4 << 20):
+            rows = []
+            for at, kind, i, r, t, k in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "doc_id", "row", "text", "keys"))):
+                if at != block:
+                    block, keys, copies, a = at, [], set(), None
+                if kind == 0:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    continue
+                if kind == 1:
+                    copies.add((i, r))
+                    continue
+                if keys:
+                    a, keys = automaton(np.unique(np.concatenate(keys)), window), []
+                w = words(t, False) if t else []
+                starts = np.zeros(0, np.int64)
+                if len(w) >= window and (i, r) in copies:  # an earlier document has the same text
+                    rows.append(done(i, r, w, True))
+                    continue
+                if len(w) >= window and a is not None:
+                    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+                    starts = candidates(h, a, window)
+                if not len(starts):
+                    rows.append(done(i, r, w, False))
+                    continue
+                hashed = grams(h, window)[starts]
+                more = (grams(mix(h, 5), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                pair = np.stack([hashed.view(np.int64), more.astype(np.int64)], axis=1)
+                _, first = np.unique(pair, axis=0, return_index=True)
+                again = np.ones(len(starts), bool)
+                again[first] = False
+                rows.append((i, r, len(w), None, starts[~again].astype(np.int32), hashed[~again].view(np.int64), more[~again], starts[again].astype(np.int32), t, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STREAMED)], schema=_STREAMED)
 
     return run
 
@@ -199,30 +249,33 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "passages")
-    least = F.lit(-(2**63))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("text"))
     n = docs.select("doc_id").count()
     if not n:
         return spark.createDataFrame([], "doc_id long, n_words long, n_removed long, kept string")
     blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("int").alias("block")
-    shards = max(16, -(-n * 60 // SHARD))
-    found = ws.write(docs.select("text", block).mapInArrow(_marked(window, blocks, shards), "shard int, keys binary, blocks binary").groupBy("shard").applyInArrow(_recurring, "block int, keys binary, doc_id long, row long"), "marks", "none")
-    # later documents with the text of an earlier one: all their windows repeat
+    shards, parts = max(16, -(-n * 60 // SHARD)), -(-n // COMBINED)
+    marked = docs.select("text", block).mapInArrow(_marked(window, blocks, shards, parts), "shard long, keys binary, blocks binary")
+    if parts > 1:  # a mark of very many documents is combined by block in several tasks
+        marked = marked.groupBy("shard").applyInArrow(_combined(parts), "shard long, keys binary, blocks binary")
+    found = ws.write(marked.groupBy("shard").applyInArrow(_recurring, "block int, keys binary"), "marks", "none")
+    # later documents with the text of an earlier one: all their windows repeat. A null id is smaller than any other
     texts = docs.where("text is not null").select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("other"))
-    firsts = texts.groupBy("row", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = ws.write(texts.join(firsts, ["row", "other"]).where("doc_id > first").select(block, F.lit(None).cast("binary").alias("keys"), "doc_id", "row").distinct(), "copies")
-
-    given = found.unionByName(copies)
-    left = docs.select("doc_id", "row", "text", block).groupBy("block")
-    streamed = left.cogroup(given.groupBy("block")).applyInArrow(_streamed(window, digest), f"{STREAMED}, n_removed long")
-    streamed = ws.write(streamed, "streamed")
+    firsts = _firsts(texts, "row", "other")
+    copies = ws.write(texts.join(firsts, ["row", "other"]).where("unnamed or doc_id > first").select(block, "doc_id", "row").where("doc_id is not null").distinct(), "copies")
+
+    none = lambda t: F.lit(None).cast(t)
+    given = found.select("block", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("row"), none("string").alias("text"), "keys")
+    given = given.unionAll(copies.select("block", F.lit(1), "doc_id", "row", none("string"), none("binary")))
+    left = docs.select(block, F.lit(2), "doc_id", "row", "text", none("binary"))
+    dealt = given.unionAll(left).repartition("block").sortWithinPartitions("block", "kind")
+    streamed = ws.write(dealt.mapInArrow(_streamed(window, digest), STREAMED), "streamed")
     ws.drop("marks", "copies")
 
-    seen = streamed.where("starts is not null").select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "row", F.col("w.starts").alias("start"), F.col("w.hashes").alias("h"))
-    first = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    gone = seen.join(first, "h").where("doc_id > first").groupBy("doc_id", "row").agg(F.collect_list("start").alias("gone"))
+    seen = streamed.where("starts is not null").select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes", "more")).alias("w")).select("doc_id", "row", F.col("w.starts").alias("start"), F.col("w.hashes").alias("h"), F.col("w.more").alias("g"))
+    gone = seen.join(_firsts(seen, "h", "g"), ["h", "g"]).where("doc_id is not null and (unnamed or doc_id > first)").groupBy("doc_id", "row").agg(F.collect_set("start").alias("gone"))
     gone = ws.write(gone, "gone")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,5 +287,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", digest
 
     rest = streamed.where("starts is not null").select("doc_id", "row", "n_words", "text", "again")
     ends = rest.join(gone, ["doc_id", "row"], "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
-    done = streamed.where("starts is null").select("doc_id", "n_words", "n_removed", "kept")
-    return done.unionByName(ends).withColumn("doc_id", F.nullif("doc_id", least))
+    return streamed.where("starts is null").select("doc_id", "n_words", "n_removed", "kept").unionByName(ends)
+
+
+def _firsts(of: DataFrame, *key: str) -> DataFrame:
+    """Keys of several documents' values: the smallest id that has it, and whether a document without an id (which precedes all others) does."""
+    k = of.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    return k.where("first < last or (unnamed and last is not null)").select(*key, "first", "unnamed")

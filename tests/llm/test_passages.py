@@ -12,7 +12,7 @@ from readloom.llm.workspace import table
 
 
 def brute(rows, window=20):
-    docs = [(-(2**63) if d is None else d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
+    docs = [(-(2**63) - 1 if d is None else d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
     first = {}
     for d, w in docs:
         for s in range(len(w) - window + 1):
@@ -42,6 +42,7 @@ def test_op6_against_brute_force(spark):
 @pytest.mark.parametrize("window,block", [(20, 7), (5, 1000), (6, 50), (1, 30)])
 def test_op6_odd_inputs(spark, monkeypatch, window, block):
     monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "COMBINED", 20 if block < 20 else 10**6)
     rng = random.Random(9)
     common = [f"c{i}" for i in range(8)]
     passage = [rng.choice(common) if i % 3 else f"p{i}" for i in range(70)]
@@ -52,7 +53,7 @@ def test_op6_odd_inputs(spark, monkeypatch, window, block):
         j = rng.randrange(40)
         texts.append(" ".join(w[:i] + passage[j : j + rng.randint(0, 45)] + w[i:]))
     texts += ["a b " * 40, "a b " * 40, "x " * 100, None, "", " \t\n", "same " * 19, " ".join(passage), " ".join(passage), "  ".join(passage), "é ü\x1c ñ " * 30, "Word word " * 3000]
-    rows = [(i // 1, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[40]), (None, texts[5]), (None, " ".join(passage)), (None, None)]
+    rows = [(i // 1, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[40]), (None, texts[5]), (None, " ".join(passage)), (None, None), (-(2**63), " ".join(passage)), (2**63 - 1, texts[5])]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as row", "'x' as kept", "2 as block")
     got = sorted((tuple(r) for r in passages.remove_repeats(df, window).collect()), key=str)
