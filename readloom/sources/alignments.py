@@ -1,42 +1,29 @@
-"""SAM text and BAM files as DataFrames of alignments (``schemas.ALIGNMENTS``), and SAM text out."""
+"""SAM text and BAM files as DataFrames of alignments (``schemas.ALIGNMENTS``), and SAM text and BAM out."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ALIGNMENTS, CHROM_SIZES
+from .lines import numbered_lines
 
 _NAMES = [x.split()[0] for x in ALIGNMENTS.split(", ")]
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) in file order, over all files of the path.
-
-    Lines are counted per task, and each task's count is added up on the driver: one number a task, no sort of the lines.
-    """
-    lines = spark.read.text(path).select(F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i"), "value")
-    counts = {r["__p"]: r["n"] for r in lines.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    base, at = [], 0
-    for p in sorted(counts):
-        base.append((p, at))
-        at += counts[p]
-    if not base:
-        return lines.select(F.col("__i").alias("line_no"), "value")
-    starts = F.create_map(*[F.lit(x) for pair in base for x in pair])
-    return lines.select((F.col("__i") + starts[F.col("__p")]).alias("line_no"), "value")
-
-
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text; rec_no counts records in file order, pos0 is 0-based, ``*`` references and missing positions are null."""
+    """Alignments of SAM text, split over tasks; rec_no grows in file order, over all files of the path, pos0 is 0-based, ``*`` references and missing positions are null."""
     body = numbered_lines(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0))
     f = F.split("value", "\t")
-    tag = lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1 << 20).alias("v"))
+    tag = lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))
     ref, pos = f[2], f[3].cast("bigint") - 1
     return body.select(
         F.col("line_no").alias("rec_no"),
@@ -62,35 +49,50 @@ def read_sam_chroms(spark: SparkSession, path: str) -> DataFrame:
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
 
-def inflate(raw: bytes) -> bytes:
-    """All members of a blocked gzip file."""
-    out, at = [], 0
+def inflate(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The members of a blocked gzip file, unpacked a step at a time."""
+    view, at = memoryview(raw), 0
+    d = zlib.decompressobj(31)
     while at < len(raw):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw[at:]) + d.flush())
-        used = len(raw) - at - len(d.unused_data)
-        if not used:
-            break
-        at += used
-    return b"".join(out)
-
-
-def bam_header(data: bytes) -> tuple[list[tuple[str, int]], int]:
-    """References with their lengths, and where records begin."""
-    if data[:4] != b"BAM\1":
+        part = bytes(view[at : at + step])
+        out = d.decompress(part)
+        at += len(part) - len(d.unused_data)
+        if out:
+            yield out
+        if d.eof:
+            d = zlib.decompressobj(31)
+        elif at >= len(raw) and (out := d.flush()):
+            yield out
+
+
+class Stream:
+    """Bytes that come in steps, taken in any amounts; what was taken is not kept."""
+
+    def __init__(self, steps: Iterator[bytes]):
+        self.steps, self.held = steps, b""
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or fewer at the end."""
+        parts, got = [self.held], len(self.held)
+        while got < n and (x := next(self.steps, None)) is not None:
+            parts.append(x)
+            got += len(x)
+        held = b"".join(parts)
+        self.held = held[n:]
+        return held[:n]
+
+
+def bam_header(stream: Stream) -> list[tuple[str, int]]:
+    """References with their lengths; the stream goes on with the records."""
+    if stream.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    (n,) = struct.unpack_from("<i", data, 4)
-    at = 8 + n
-    (n_ref,) = struct.unpack_from("<i", data, at)
-    at += 4
+    number = lambda: struct.unpack("<i", stream.take(4))[0]
+    stream.take(number())
     refs = []
-    for _ in range(n_ref):
-        (k,) = struct.unpack_from("<i", data, at)
-        name = data[at + 4 : at + 3 + k].decode()
-        (length,) = struct.unpack_from("<i", data, at + 4 + k)
-        refs.append((name, length))
-        at += 8 + k
-    return refs, at
+    for _ in range(number()):
+        name = stream.take(number())[:-1].decode()
+        refs.append((name, number()))
+    return refs
 
 
 _SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -117,14 +119,13 @@ def _tags(data: bytes, at: int, end: int) -> list[tuple[str, str]]:
     return out
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
+def bam_records(stream: Stream) -> Iterator[tuple]:
     """Records in file order, as tuples of ``schemas.ALIGNMENTS``."""
-    refs, at = bam_header(data)
-    n = 0
-    while at + 4 <= len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        rid, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data, at + 4)
-        p = at + 36
+    refs, n = bam_header(stream), 0
+    while len(head := stream.take(4)) == 4:
+        data = stream.take(struct.unpack("<i", head)[0])
+        rid, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
+        p = 32
         name = data[p : p + l_name - 1].decode()
         p += l_name
         cigar = "".join(f"{c >> 4}{_OPS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", data, p)) or "*"
@@ -134,8 +135,7 @@ def bam_records(data: bytes) -> Iterator[tuple]:
         p += half
         qual = "" if l_seq and data[p] == 255 else "".join(chr(q + 33) for q in data[p : p + l_seq])
         p += l_seq
-        yield n, name, flag, refs[rid][0] if rid >= 0 else None, pos if pos >= 0 else None, mapq, cigar, seq, qual, _tags(data, p, at + 4 + size)
-        at += 4 + size
+        yield n, name, flag, refs[rid][0] if rid >= 0 else None, pos if pos >= 0 else None, mapq, cigar, seq, qual, _tags(data, p, len(data))
         n += 1
 
 
@@ -144,32 +144,97 @@ def _typed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_NAMES)
 
 
+#: Records of a file at most, which keeps numbers of several files apart.
+FILE = 1 << 40
+
+
+def _bam_files(spark: SparkSession, path: str) -> DataFrame:
+    """(number, content) of the files, numbered in order of their paths."""
+    files = spark.read.format("binaryFile").load(path)
+    order = files.select("path").withColumn("number", F.row_number().over(Window.orderBy("path")) - 1)
+    return files.select("path", "content").join(F.broadcast(order), "path").select("number", "content")
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files: one task a file, since blocks carry no record borders; rec_no counts within its file."""
+    """Alignments of BAM files, each unpacked and parsed a step at a time; rec_no grows in file order, over all files of the path.
+
+    One task reads one file, packed as it is (up to 2 GB, what a value may have): larger ones are to be split by chromosome or read as SAM text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column("content").to_pylist():
-                rows = []
-                for r in bam_records(inflate(raw)):
-                    rows.append(r)
+            for i in range(b.num_rows):
+                base, rows = b.column("number")[i].as_py() * FILE, []
+                for n, *r in bam_records(Stream(inflate(b.column("content")[i].as_py()))):
+                    rows.append((base + n, *r))
                     if len(rows) == 10_000:
                         yield _typed(rows)
                         rows = []
                 if rows:
                     yield _typed(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ALIGNMENTS)
+    return _bam_files(spark, path).mapInArrow(run, ALIGNMENTS)
 
 
 def read_bam_chroms(spark: SparkSession, path: str) -> DataFrame:
+    """Chromosomes of the headers; files of one path are taken to have the same ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("content").to_pylist():
-                refs = bam_header(inflate(raw))[0]
+                refs = bam_header(Stream(inflate(raw)))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(refs)), pa.int32()), pa.array([r for r, _ in refs], pa.string()), pa.array([n for _, n in refs], pa.int64())], names=["chrom_id", "chrom", "length"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CHROM_SIZES)
+    return _bam_files(spark, path).where("number = 0").mapInArrow(run, CHROM_SIZES)
+
+
+def bam_bytes(rows: Iterator[tuple], refs: list[tuple[str, int]]) -> Iterator[bytes]:
+    """A BAM file's blocks: header, records (as tuples of ``schemas.ALIGNMENTS``) and the empty last block. Tags of whole numbers are written as such, others as text."""
+    text = "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs).encode()
+    names = {n: i for i, (n, _) in enumerate(refs)}
+    out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(refs))]
+    out += [struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs]
+    held = b"".join(out)
+    for _, name, flag, chrom, pos, mapq, cigar, seq, qual, tags in rows:
+        ops = [(int(n) << 4) | _OPS.index(c) for n, c in re.findall(rf"(\d+)([{_OPS}])", cigar or "")]
+        packed = bytes(_BASES.index(seq[i]) << 4 | (_BASES.index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
+        scores = bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
+        extra = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if re.fullmatch(r"-?\d{1,9}", v) else b"Z" + v.encode() + b"\0") for k, v in sorted(dict(tags or ()).items()))
+        body = struct.pack("<iiBBHHHiiii", names.get(chrom, -1), -1 if pos is None else pos, len(name.encode()) + 1, mapq or 0, 4680, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + scores + extra
+        held += struct.pack("<i", len(body)) + body
+        while len(held) >= 0xFF00:
+            yield _block(held[:0xFF00])
+            held = held[0xFF00:]
+    if held:
+        yield _block(held)
+    yield _block(b"")
+
+
+def _block(data: bytes) -> bytes:
+    """One member of a blocked gzip file: its size stands in its header."""
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = c.compress(data) + c.flush()
+    return struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def write_bam(alignments: DataFrame, chroms: DataFrame, path: str, ordered: bool = True) -> DataFrame:
+    """A table (part, content) in Parquet, one BAM file a row: by place (references in header order, unplaced records last) over all parts if ``ordered``, else as the rows stand.
+
+    Each part is a whole file with header and end; parts hold what a task does. Returns the table as read again.
+    """
+    refs = [(r["chrom"], r["length"]) for r in chroms.orderBy("chrom_id").select("chrom", "length").collect()]
+    d = alignments
+    if ordered:
+        d = d.join(chroms.select("chrom", "chrom_id"), "chrom", "left").sort(F.col("chrom_id").asc_nulls_last(), F.col("pos0").asc_nulls_last(), "rec_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        first = next(rows, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b"".join(bam_bytes(chain([first], rows), refs))], pa.binary())], names=["part", "content"])
+
+    d.select(*_NAMES).mapInArrow(run, "part int, content binary").write.mode("overwrite").parquet(path)
+    return alignments.sparkSession.read.parquet(path)
 
 
 def for_hits(alignments: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import READS
+from .lines import pieces, starts
 
 _TYPES = (pa.int64(), pa.string(), pa.string(), pa.string())
 
@@ -48,24 +49,116 @@ def parse(data: bytes) -> Iterator[tuple[str, str, str]]:
             raise ValueError(f"neither FASTQ nor FASTA at line {at + 1}")
 
 
-def read_reads(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """(read_no, id, seq, qual) of a FASTQ or FASTA file, packed or not; one task a file, since packed files can't be split. read_no counts in file order; ``first`` keeps that many."""
+def read_reads(spark: SparkSession, path: str, first: int | None = None, wrapped: bool = False) -> DataFrame:
+    """(read_no, id, seq, qual) of FASTQ or FASTA files, packed or not; plain text is split over tasks, a packed file is one task's stream. read_no counts over all files, in order of their paths; ``first`` keeps that many.
+
+    FASTQ has four lines a read; files whose sequences go over several lines need ``wrapped``, which reads a whole file at once.
+    """
+    if wrapped:
+        return _whole(spark, path, first)
+    head = spark.read.text(path).where("length(trim(value)) > 0").first()
+    if head is None:
+        return spark.createDataFrame([], READS)
+    out = _fasta(spark, path) if head["value"].startswith(">") else _fastq(spark, path)
+    return out if first is None else out.where(F.col("read_no") < first)
+
+
+def _clean(seq):
+    return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
+
+
+def _fasta(spark: SparkSession, path: str) -> DataFrame:
+    """Records lie between line ends that a > follows."""
+    p = pieces(spark, path, "\n>").withColumn("value", F.regexp_replace(F.regexp_replace("value", "^\\s*>", ""), "\r", "")).where("length(trim(value)) > 0")
+    p = p.withColumn("at", F.monotonically_increasing_id())
+    splits = starts(p.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least")))
+    name = F.substring_index("value", "\n", 1)
+    return p.join(splits, ["file", "block"]).select((F.col("start") + F.col("at") - F.col("least")).alias("read_no"), name.alias("id"), _clean(F.regexp_replace(F.substring(F.col("value"), F.length(name) + 2, F.length("value")), "\\s", "")).alias("seq"), F.lit("").alias("qual"))
+
+
+_FASTQ = "file string, block long, kind int, at long, id string, seq string, qual string"
+
+
+def _fastq_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads of the pieces between line ends that an @ follows.
+
+    Such an @ may also begin a line of qualities: then a piece ends behind its + line, and the next one is the rest of its qualities. ``at`` counts reads
+    within a split. Kinds: 0 a read, 1 one whose qualities begin the next split, 2 the rest of such qualities.
+    """
+    names = ["file", "block", "kind", "at", "id", "seq", "qual"]
+    types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string())
+    where, at, open_ = None, 0, None
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for b in batches:
+        rows = []
+        for file, block, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value"))):
+            if (file, block) != where:
+                if open_:
+                    rows.append((*where, 1, *open_, ""))
+                where, at, open_ = (file, block), 0, None
+                fresh = True
+            lines = value.replace("\r", "").split("\n")
+            if len(lines) >= 3 and lines[2].startswith("+"):
+                if open_:
+                    raise ValueError(f"read {open_[1]} of {file} has no qualities; are its lines wrapped?")
+                name = lines[0][1:] if block == 0 and fresh and lines[0].startswith("@") else lines[0]
+                read = (at, name, lines[1])
+                at += 1
+                if len(lines) == 3:
+                    open_ = read
+                else:
+                    rows.append((*where, 0, *read, lines[3]))
+            elif open_:
+                rows.append((*where, 0, *open_, "@" + lines[0]))
+                open_ = None
+            elif fresh and block > 0:
+                rows.append((*where, 2, 0, "", "", "@" + lines[0]))
+            elif any(lines):
+                raise ValueError(f"not four lines a read: {lines[0][:50]!r} in {file}")
+            fresh = False
+        if rows:
+            yield pack(rows)
+    if open_:
+        yield pack([(*where, 1, *open_, "")])
+
+
+def _fastq(spark: SparkSession, path: str) -> DataFrame:
+    d = pieces(spark, path, "\n@").select("file", "block", "value").mapInArrow(_fastq_rows, _FASTQ)
+    splits = starts(d.groupBy("file", "block").agg(F.count_if(F.col("kind") < 2).alias("n")))
+    d = d.join(splits, ["file", "block"])
+    whole = d.where("kind = 0")
+    # a read at a split's end and the rest of its qualities: one pair a split at most
+    follows = splits.select("file", "block", F.lead("block").over(Window.partitionBy("file").orderBy("block")).alias("after"))
+    rest = d.where("kind = 2").select("file", F.col("block").alias("after"), F.col("qual").alias("more"))
+    cut = d.where("kind = 1").join(follows, ["file", "block"]).join(rest, ["file", "after"], "left").withColumn("qual", F.coalesce("more", F.lit("")))
+    cols = ["start", "at", "id", "seq", "qual"]
+    out = whole.select(cols).unionAll(cut.select(cols))
+    return out.select((F.col("start") + F.col("at")).alias("read_no"), "id", _clean("seq").alias("seq"), F.substring(F.col("qual"), F.lit(1), F.length("seq")).alias("qual"))
+
+
+def _whole(spark: SparkSession, path: str, first: int | None) -> DataFrame:
+    """One task a file, each file read at once; read_no counts within it, files being numbered apart."""
+    files = spark.read.format("binaryFile").load(path)
+    order = files.select("path").withColumn("number", F.row_number().over(Window.orderBy("path")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for where, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            for number, where, raw in zip(*(b.column(c).to_pylist() for c in ("number", "path", "content"))):
                 rows = []
                 for i, r in enumerate(parse(plain(where, raw))):
                     if first is not None and i >= first:
                         break
-                    rows.append((i, *r))
+                    rows.append(((number << 40) + i, *r))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=["read_no", "id", "seq", "qual"])
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=["read_no", "id", "seq", "qual"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READS)
+    return files.select("path", "content").join(F.broadcast(order), "path").mapInArrow(run, READS)
 
 
 def read_pairs(spark: SparkSession, path: str, mates: str, first: int | None = None) -> DataFrame:

@@ -140,6 +140,63 @@ def test_fastq_in_and_out(spark, tmp_path, pack):
     assert {(x["id"], x["seq"]) for x in back.collect()} == {("a x", "ACGTN"), ("b", "AC"), ("c", "")}
 
 
+def test_files_split_over_tasks_and_several_files(spark, tmp_path):
+    """Splits of a few bytes, qualities that begin with @, and numbers that run on over files."""
+    import random
+
+    rng = random.Random(6)
+    want, old = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "fq").mkdir()
+    (tmp_path / "sam").mkdir()
+    names = []
+    for f in range(3):
+        out = []
+        for i in range(150):
+            n = rng.randint(0, 9)
+            seq, qual = "".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("@@+>I!") for _ in range(n))
+            want.append((len(want), f"f{f} r{i}", seq, qual))
+            out.append(f"@f{f} r{i}\n{seq}\n+\n{qual}\n")
+        data = "".join(out).encode()
+        (tmp_path / "fq" / f"{f}.fq{'.gz' if f == 1 else ''}").write_bytes(gzip.compress(data) if f == 1 else data)
+        recs = [f"q{f}.{i}\t0\tchr1\t{i + 1}\t30\t5M\t*\t0\t0\tACGTA\tIIIII" for i in range(40 + 30 * f)]
+        names += [r.split("\t")[0] for r in recs]
+        (tmp_path / "sam" / f"{f}.sam").write_text("@SQ\tSN:chr1\tLN:1000\n" + "\n".join(recs) + "\n")
+    try:
+        for size in ("64b", "1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            d = SR.read_reads(spark, str(tmp_path / "fq"))
+            assert sorted(map(tuple, d.collect())) == want
+            got = AL.read_sam(spark, str(tmp_path / "sam")).orderBy("rec_no").collect()
+            assert [r["qname"] for r in got] == names and len({r["rec_no"] for r in got}) == len(names)
+        assert SR.read_reads(spark, str(tmp_path / "fq"), 200).count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_bam_out_and_two_files(spark, tmp_path):
+    from readloom.operators import dedup as D
+
+    (tmp_path / "x.sam").write_text(SAM)
+    s, chroms = AL.read_sam(spark, str(tmp_path / "x.sam")), AL.read_sam_chroms(spark, str(tmp_path / "x.sam"))
+    many = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3000)))).withColumns({"qname": F.concat("qname", F.lit("k"), "k"), "pos0": F.col("pos0") + F.lit(4000) - F.col("k"), "rec_no": F.col("rec_no") * 10000 + F.col("k")}).drop("k")
+    parts = AL.write_bam(many, chroms, str(tmp_path / "bam")).orderBy("part").collect()
+    (tmp_path / "files").mkdir()
+    for r in parts:
+        assert gzip.decompress(bytes(r["content"]))[:4] == b"BAM\1"
+        (tmp_path / "files" / f"{r['part']:04d}.bam").write_bytes(bytes(r["content"]))
+    back = AL.read_bam(spark, str(tmp_path / "files"))
+    key = ["qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq", "qual"]
+    rows = back.orderBy("rec_no").select("rec_no", *key).collect()
+    assert sorted(map(str, (tuple(r)[1:] for r in rows))) == sorted(map(str, map(tuple, many.select(key).collect())))
+    places = [(r["chrom"] or "~", r["pos0"] or 0) for r in rows]
+    assert places[:6000] == sorted(places[:6000]) and len({r["rec_no"] for r in rows}) == 9000
+    (tmp_path / "two").mkdir()
+    for n in ("a", "b"):  # the same reads in two files: one of each place and barcode stays
+        (tmp_path / "two" / f"{n}.bam").write_bytes(bam_bytes())
+    two = AL.for_dedup(AL.read_bam(spark, str(tmp_path / "two")))
+    assert two.count() == 6 and D.deduplicated(two).count() == 2 and D.artifacts(two).count() == 2
+
+
 def test_fasta_dimensions(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x:3':\nACGT\nAC\n>y:5':anchored:\nGG\n>none\nTT\n>z:3'::reverse:\nCC\n")
     a = SR.read_adapters(spark, str(tmp_path / "a.fa")).orderBy("adapter_id").collect()
