@@ -174,6 +174,22 @@ def _recurring(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(o[cuts[:-1]].astype(np.int32), pa.int32()), pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["block", "keys"])
 
 
+_ODD = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
+
+
+def second(h: np.ndarray, width: int) -> np.ndarray:
+    """32 more bits of all runs of ``width`` words, by differences of running sums."""
+    n = len(h)
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        _powers.clear()
+        _powers.extend(np.cumprod(np.full(size, x, np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    up, down = _powers
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h, 5) * up[:n])])
+    return (mix((total[width:] - total[:-width]) * down[: n - width + 1], 6) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 STREAMED = "doc_id long, row long, n_words long, kept string, starts array<int>, hashes array<long>, more array<int>, again array<int>, text string, n_removed long"
 _STREAMED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("more", pa.list_(pa.int32())), ("again", pa.list_(pa.int32())), ("text", pa.string()), ("n_removed", pa.int64())])
 
@@ -227,11 +243,10 @@ def _streamed(window: int, digest: bool):
                     rows.append(done(i, r, w, False))
                     continue
                 hashed = grams(h, window)[starts]
-                more = (grams(mix(h, 5), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                pair = np.stack([hashed.view(np.int64), more.astype(np.int64)], axis=1)
-                _, first = np.unique(pair, axis=0, return_index=True)
-                again = np.ones(len(starts), bool)
-                again[first] = False
+                more = second(h, window)[starts]
+                order = np.argsort(hashed, kind="stable")
+                again = np.zeros(len(starts), bool)
+                again[order[1:]] = (hashed[order[1:]] == hashed[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
                 rows.append((i, r, len(w), None, starts[~again].astype(np.int32), hashed[~again].view(np.int64), more[~again], starts[again].astype(np.int32), t, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STREAMED)], schema=_STREAMED)

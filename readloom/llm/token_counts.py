@@ -6,6 +6,8 @@ block where it starts, cuts and encodes again from the last pre-token border
 that the edit can't move (one that lies two characters before it) until a new
 border falls on an old one, and updates the sums above the blocks it touched.
 All other pre-tokens keep their counts.
+
+Trees can be stored (``count_trees``) and later edits applied to the stored ones (``edit_trees``), so that texts are encoded as a whole only once.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,28 @@ class CountTree:
             for k in range(self.leaves - 1, 0, -1):
                 sums[k] = sums[2 * k] + sums[2 * k + 1]
 
+    def pack(self) -> bytes:
+        """The tree as bytes: the number of pre-tokens, their lengths and counts, and the text."""
+        lens, counts = ([x for b in self.blocks for x in b[k]] for k in (1, 2))
+        return b"".join((len(lens).to_bytes(8, "little"), np.array([*lens, *counts], "<u4").tobytes(), self.text().encode("utf-8", "surrogatepass")))
+
+    @classmethod
+    def unpack(cls, raw: bytes, pattern, count) -> CountTree:
+        """The tree that ``pack`` stored; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.pattern, tree.count, tree.reencoded = pattern, count, 0
+        n = int.from_bytes(raw[:8], "little")
+        lens, counts = np.frombuffer(raw, "<u4", 2 * n, 8).reshape(2, n).tolist()
+        tree._build(lens, counts, raw[8 + 8 * n :].decode("utf-8", "surrogatepass"))
+        return tree
+
+    def apply(self, edits) -> None:
+        """A list of (start, end, new), each applied to the result of those before it; null ones mean nothing, a null ``new`` deletes."""
+        for e in edits or ():
+            if e is not None:
+                at = e["start"] or 0
+                self.edit(at, at if e["end"] is None else e["end"], e["new"] or "")
+
     @property
     def n_chars(self) -> int:
         return self.chars[1]
@@ -199,12 +224,46 @@ def edit_token_counts(docs: DataFrame, rank_file: str, pattern: str, text: str =
             for t, todo in zip(b.column("__text"), b.column("__edits")):
                 tree = CountTree(t.as_py() or "", split_by, count)
                 row = [tree.n_tokens, tree.n_pieces]
-                for e in todo.as_py() or ():
-                    if e is not None:
-                        at = e["start"] or 0
-                        tree.edit(at, at if e["end"] is None else e["end"], e["new"] or "")
+                tree.apply(todo.as_py())
                 out.append((*row, tree.n_tokens, tree.reencoded))
             cols = zip(*out) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(c, pa.int64()) for c in cols], names=[n for n, _ in fields])
 
     return docs.select(*keep, F.col(text).alias("__text"), F.col(edits).cast(EDITS).alias("__edits")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
+
+
+def _keep(docs: DataFrame, keep: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [(c, docs.schema[c].dataType.simpleString()) for c in keep]
+
+
+def count_trees(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens long and tree binary: each whole text's tree, to be written and edited later. A null text counts as empty; one row per input row."""
+    fields = [*_keep(docs, keep), ("n_tokens", "long"), ("tree", "binary")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split_by, count = counter(rank_file, pattern)
+        for b in portions(batches):
+            trees = [CountTree(t or "", split_by, count) for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([t.n_tokens for t in trees], pa.int64()), pa.array([t.pack() for t in trees], pa.binary())], names=[n for n, _ in fields])
+
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
+
+
+def edit_trees(trees: DataFrame, rank_file: str, pattern: str, edits: str = "edits", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Stored trees (``tree`` of ``count_trees`` or of this function) after ``edits``: ``keep`` columns, n_tokens, n_reencoded long and the new tree.
+
+    Only pre-tokens that edits touch are encoded. A null tree counts as that of an empty text; one row per input row.
+    """
+    fields = [*_keep(trees, keep), ("n_tokens", "long"), ("n_reencoded", "long"), ("tree", "binary")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split_by, count = counter(rank_file, pattern)
+        for b in portions(batches):
+            done = []
+            for raw, todo in zip(b.column("__tree").to_pylist(), b.column("__edits").to_pylist()):
+                tree = CountTree.unpack(raw, split_by, count) if raw else CountTree("", split_by, count)
+                tree.apply(todo)
+                done.append(tree)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([t.n_tokens for t in done], pa.int64()), pa.array([t.reencoded for t in done], pa.int64()), pa.array([t.pack() for t in done], pa.binary())], names=[n for n, _ in fields])
+
+    return trees.select(*keep, F.col("tree").alias("__tree"), F.col(edits).cast(EDITS).alias("__edits")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))

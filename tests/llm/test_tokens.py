@@ -103,6 +103,27 @@ def test_op1_random_edits(tk, monkeypatch):
             assert tree.text() == s and tree.n_tokens == len(tk.encode_ordinary(s)) and tree.n_pieces == len(pattern.findall(s))
 
 
+def test_op1_stored_trees_take_later_edits(spark, tk, tmp_path):
+    """Two runs of edits over trees that were written; no text is encoded as a whole again."""
+    rows = [(i, t) for i, t in enumerate([*ODD, "some words " * 4000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_counts.count_trees(docs, registry.RANKS, registry.PATTERN).write.parquet(f"{tmp_path}/0")
+    first = {r["doc_id"]: r["n_tokens"] for r in spark.read.parquet(f"{tmp_path}/0").collect()}
+    assert first == {i: len(tk.encode_ordinary(t or "")) for i, t in rows}
+    texts = {i: t or "" for i, t in rows}
+    for k in range(2):
+        todo = {i: [(len(t) // 3, len(t) // 3 + 4, f" new{k}"), (0, 0, "é"), (10**6, 10**6, "end")] for i, t in texts.items()}
+        edits = spark.createDataFrame([(i, [dict(zip(("start", "end", "new"), e)) for e in x]) for i, x in todo.items()], f"doc_id long, edits {token_counts.EDITS}")
+        token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/{k}").join(edits, "doc_id"), registry.RANKS, registry.PATTERN).write.parquet(f"{tmp_path}/{k + 1}")
+        for i, x in todo.items():
+            for a, b, new in x:
+                t = texts[i]
+                texts[i] = t[: min(a, len(t))] + new + t[min(b, len(t)) :]
+        got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/{k + 1}").collect()}
+        assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(tk.encode_ordinary(t)) for i, t in texts.items()}
+        assert got[len(ODD)]["n_reencoded"] <= 40
+
+
 def test_op1_odd_inputs(spark, tk):
     docs = odd_docs(spark).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then array(named_struct('start', 1, 'end', 1, 'new', 'x y'), null, named_struct('start', -4, 'end', 999999999, 'new', null)) end as edits")
     got = token_counts.edit_token_counts(docs, registry.RANKS, registry.PATTERN, keep=("doc_id", "text")).collect()
