@@ -271,8 +271,8 @@ def _closer(left: DataFrame, going: DataFrame, sets: DataFrame, ws: Workspace, p
     return pairs.distinct(), open_.select(F.xxhash64(*keys).alias("bucket"), "node", "root")
 
 
-def small_side(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
-    """Marked for broadcast if its counted rows are few enough; else left to a shuffle."""
+def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """Marked for broadcast if its counted rows, ``width`` bytes each once they are hashed, are few enough; else left to a shuffle."""
     return F.broadcast(df) if rows * width <= BROADCAST else df
 
 

@@ -25,10 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component's smallest id."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -43,6 +45,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with counts and a digest of its base spans, and all its spans as text."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in secrets.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
@@ -51,26 +54,31 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, those removed as repeats of 20-word windows, and a digest of the others."""
     return passages.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they hold, verbatim or rephrased."""
     return decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum as read back from the token files."""
     path = Workspace(spark, "op8").root
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return token_files.document_digests(spark, path)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and prediction by a model that never saw held-out labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out")
     return toxicity.predict(docs, table(spark, sf_dir, "labels")).select("doc_id", held, "score", "predicted")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every row whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 

@@ -24,8 +24,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .boosting import Boosted
 from .workspace import Workspace, portions
 
-#: Labelled rows that a model is fitted on, and entries of a learnt lexicon, at most.
-SAMPLE, ENTRIES = 24_000, 4096
+#: Labelled documents that a model is fitted on, at most.
+SAMPLE = 24_000
 
 #: Insults, and words for the second person, in four languages.
 INSULTS = frozenset("idiot stupid moron loser pathetic worthless disgusting scum trash clown dumb fool hate ugly liar jerk bastard crap idiota estúpido imbécil basura asqueroso inútil tonto mierda idiote stupide imbécile nul ordure dégoûtant connard débile dumm blöd trottel abschaum ekelhaft wertlos versager arschloch".split())
@@ -156,13 +156,13 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def learn_lexicon(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Words and beginnings at least eight times likelier in toxic texts, with their log ratio; at most ENTRIES, the most frequent. Equal texts count once."""
+    """Words and beginnings at least eight times likelier in toxic texts, with their log ratio. Equal texts count once; there are no more of them than words in the sample."""
     docs = docs.groupBy(text).agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}
     ratio = F.log(((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("plain") + 0.5) / (n[0] + 1)))
-    best = _counts(docs, text).where(F.col("toxic") >= 6).withColumn("w", ratio).where(F.col("w") >= math.log(8)).orderBy(F.desc("toxic"), F.desc("w"), "key").limit(ENTRIES)
+    best = _counts(docs, text).where(F.col("toxic") >= 6).withColumn("w", ratio).where(F.col("w") >= math.log(8))
     return {r["key"]: float(r["w"]) for r in best.select("key", "w").collect()}
 
 
@@ -178,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int |
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
     ws = Workspace(docs.sparkSession, "toxicity")
     known = ws.write(known, "labels")
-    # at most SAMPLE rows of ids and labels
-    seen = ws.write(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id").withColumn("part", F.pmod(F.col("h"), F.lit(8))), "seen")
+    # at most SAMPLE rows of ids and labels; of rows that repeat an id, one text counts
+    labelled = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    seen = ws.write(labelled.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).withColumn("part", F.pmod(F.col("h"), F.lit(8))), "seen")
     lexicon = learn_lexicon(seen.where("part < 3").select("text", "toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
