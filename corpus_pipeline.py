@@ -26,12 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id."""
+    """Of each group of linked documents, the one with the smallest doc_id; of rows that repeat an id, one. Null and empty texts link with nothing and stay, and so do rows without an id."""
     return jaccard.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Null and empty texts hold none and stay; all rows of an id go if one of them holds a passage; an empty benchmark drops nothing."""
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))  # rows without an id are told apart by their text
     found = decontaminate.find_benchmark(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     ids = found.select(F.col("doc_id").alias("__key")).distinct()
@@ -39,13 +39,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark, n_chars as it is then."""
+    """All documents, repeated rows too, secrets in their texts replaced by a mark, n_chars as it is then. A null text stays null and keeps its n_chars."""
     done = beside(docs, ("spans",), secrets.redact)
     return done.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in done.columns else done
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids in place of the text, which the ids decode to: each text is decoded again and compared, and the stage fails where it differs."""
+    """All documents, repeated rows too, with their token ids in place of the text, which the ids decode to: each text is decoded again and compared, and the stage fails where it differs. Null and empty texts have no ids; columns named as the new ones are replaced."""
     keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "token_ids"))
     return bpe.encode_decode(docs, registry.RANKS, registry.PATTERN, keep=keep, decoded=False, verify=True)
 
