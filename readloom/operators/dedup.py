@@ -17,6 +17,12 @@ def keyed(records: DataFrame) -> DataFrame:
     return records.where(F.col("flag").isin(0, 16)).withColumns({"strand": rev.cast("int"), "pos5": F.when(rev, F.col("pos0") + F.col("seq_len")).otherwise(F.col("pos0")), "barcode": barcode_of(F.col("qname"))})
 
 
+def without_last(records: DataFrame) -> DataFrame:
+    """All records but the one with the largest number."""
+    last = records.agg(F.max("rec_no").alias("__last"))
+    return records.join(F.broadcast(last)).where("rec_no < __last").drop("__last")
+
+
 KEY = ["chrom", "pos5", "strand", "barcode"]
 
 

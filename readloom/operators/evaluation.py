@@ -103,7 +103,7 @@ def poisson_tail(rates: DataFrame, most: int) -> DataFrame:
 def rank_by(summits: DataFrame, key: Column) -> DataFrame:
     """``rn``: the rank by ``key`` ascending, then chrom and pos, and ``n``, the number of rows.
 
-    The key takes few values, so ranks come from counts by (key, chrom) and a numbering within each: no task sorts all rows.
+    The key takes few values, so ranks come from counts by (key, chrom) and a numbering within each: one task sorts the groups, none sorts all rows.
     """
     s = summits.withColumn("__key", key)
     per = s.groupBy("__key", "chrom").agg(F.count("*").alias("__c"))
@@ -132,8 +132,10 @@ def top_n(scored: DataFrame, n: int) -> DataFrame:
 
 def hit_distribution(summits: DataFrame, chroms: DataFrame, chip: DataFrame, ctrl: DataFrame, radius: int) -> DataFrame:
     """(offset, four counts) from -radius to radius: hits around summits by strand and sample. Each chromosome's first two summits, and those beyond its end, do not count."""
-    rn = F.row_number().over(Window.partitionBy("chrom").orderBy("pos"))
-    s = summits.join(F.broadcast(chroms), "chrom").withColumn("rn", rn).where("rn > 2 and pos < length").select("chrom", F.col("pos").alias("s"))
+    s = summits.select("chrom", "pos")
+    for _ in range(2):
+        s = s.join(s.groupBy("chrom").agg(F.min("pos").alias("__least")), "chrom").where("pos > __least").drop("__least")
+    s = s.join(chroms, "chrom").where("pos < length").select("chrom", F.col("pos").alias("s"))
     both = chip.select("chrom", "pos", "strand", F.lit("chip").alias("sample")).unionByName(ctrl.select("chrom", "pos", "strand", F.lit("ctrl").alias("sample")))
     near = range_join(s, both, "pos", F.col("s") - radius, F.col("s") + radius, width=max(radius, 64))
     n = lambda st, sample: F.count_if((F.col("strand") == st) & (F.col("sample") == sample)).alias(f"{'fr'[st]}_{sample}")

@@ -38,7 +38,10 @@ def distinct_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("chrom", "pos", "strand").agg(F.max("read_len").alias("read_len"))
 
 
-def strand_counts(hits: DataFrame) -> DataFrame:
+def strand_counts(hits: DataFrame, swapped: bool = False) -> DataFrame:
+    """Per chromosome: hits, those of either strand and the read length. ``swapped`` gives either strand's count under the other's name, as older tools do after deduplication."""
+    if swapped:
+        return strand_counts(hits).select("chrom", "n_hits", F.col("n_reverse").alias("n_forward"), F.col("n_forward").alias("n_reverse"), "read_len")
     return hits.groupBy("chrom").agg(F.count("*").alias("n_hits"), F.count_if(F.col("strand") == 0).alias("n_forward"), F.count_if(F.col("strand") == 1).alias("n_reverse"), F.max("read_len").alias("read_len"))
 
 

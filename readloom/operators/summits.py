@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +60,39 @@ def refined_summits(summits: DataFrame, reach: int) -> DataFrame:
     return seen.where("__t = __own and q_cov >= l and q_cov >= r").select("chrom", "pos", "q_cov")
 
 
+def runs(summits: DataFrame, reach: int) -> DataFrame:
+    """``run``: where the run begins that a summit belongs to; gaps of at least ``reach`` part runs. Tiles hand on their last summits and run beginnings through tables of one row a tile."""
+    s = summits.withColumn("__t", F.floor(F.col("pos") / TILE))
+    along = Window.partitionBy("chrom").orderBy("__t")
+    own = Window.partitionBy("chrom", "__t").orderBy("pos")
+    last = s.groupBy("chrom", "__t").agg(F.max("pos").alias("__m")).select("chrom", "__t", F.lag("__m").over(along).alias("__before"))
+    s = s.join(last, ["chrom", "__t"]).withColumn("__prev", F.coalesce(F.lag("pos").over(own), F.col("__before")))
+    s = s.withColumn("__head", F.when(F.col("__prev").isNull() | (F.col("pos") - F.col("__prev") >= reach), F.col("pos"))).drop("__before", "__prev")
+    heads = s.groupBy("chrom", "__t").agg(F.max("__head").alias("__h")).select("chrom", "__t", F.max("__h").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__run"))
+    run = F.coalesce(F.max("__head").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("__run"))
+    return s.join(heads, ["chrom", "__t"]).withColumn("run", run).drop("__t", "__head", "__run")
+
+
 def merged_summits(summits: DataFrame, reach: int, drop_last: bool = True) -> DataFrame:
     """Neighbours nearer than ``reach`` to the current summit move it half way and give it their place; its height stays. With ``drop_last``, a chromosome's last one is not given.
 
-    Runs of summits with smaller gaps are independent of each other, so the fold is over one run at a time.
+    Runs of summits with smaller gaps are independent of each other, so the fold is over one run at a time, in linear time; a run's places and heights are all that a task holds.
     """
-    w = Window.partitionBy("chrom").orderBy("pos")
-    gap = F.when(F.col("pos") - F.lag("pos").over(w) >= reach, 1).otherwise(0)
-    runs = summits.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = runs.groupBy("chrom", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "q_cov"))).alias("s"))
-    one = lambda p, q: F.struct(p.cast("long").alias("pos"), q.cast("long").alias("q_cov"))
-    start = F.struct(F.array().cast("array<struct<pos:bigint,q_cov:bigint>>").alias("done"), one(F.col("s")[0]["pos"], F.col("s")[0]["q_cov"]).alias("now"))
-
-    def step(a, x):
-        near = x["pos"] - a["now"]["pos"] < reach
-        moved = one(a["now"]["pos"] + F.floor((x["pos"] - a["now"]["pos"]) / 2), a["now"]["q_cov"])
-        return F.struct(F.when(near, a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))).alias("done"), F.when(near, moved).otherwise(one(x["pos"], x["q_cov"])).alias("now"))
-
-    folded = lists.select("chrom", F.aggregate(F.slice("s", F.lit(2), F.size("s")), start, step, lambda a: F.concat(a["done"], F.array(a["now"]))).alias("m"))
-    out = folded.select("chrom", F.explode("m").alias("m")).select("chrom", "m.pos", "m.q_cov")
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        place, height = t.column("pos").to_pylist(), t.column("q_cov").to_pylist()
+        at, top = [place[0]], [height[0]]
+        for x, q in zip(place[1:], height[1:]):
+            if x - at[-1] < reach:
+                at[-1] += (x - at[-1]) // 2
+            else:
+                at.append(x)
+                top.append(q)
+        return pa.table({"chrom": [t.column("chrom")[0].as_py()] * len(at), "pos": pa.array(at, pa.int64()), "q_cov": pa.array(top, pa.int64())})
+
+    parted = runs(summits, reach).select("chrom", "run", F.col("pos").cast("long").alias("pos"), F.col("q_cov").cast("long").alias("q_cov"))
+    out = parted.groupBy("chrom", "run").applyInArrow(fold, "chrom string, pos long, q_cov long")
     if not drop_last:
         return out
     last = out.groupBy("chrom").agg(F.max("pos").alias("last"))

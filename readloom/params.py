@@ -75,3 +75,4 @@ class DedupParams:
     min_unique: int = 0
     chrom_filter: str | None = None
     split: bool = False
+    drop_last: bool = False  # as older tools do: the last record of the file is not read

@@ -27,6 +27,7 @@ class Deduplicated:
 
 def deduplicate(records: DataFrame, p: DedupParams = DedupParams()) -> Deduplicated:
     """Records as ``sources.alignments.for_dedup`` makes them."""
+    records = D.without_last(records) if p.drop_last else records
     used = H.chrom_filter(records, p.chrom_filter) if p.chrom_filter else records
     kept = D.deduplicated(used)
     places = D.occurrences(used)

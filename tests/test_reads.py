@@ -252,6 +252,17 @@ def test_dedup_job(spark, sf):
     assert sum(h.count() for h in d.halves) == kept and d.clusters.count() <= kept and d.track.count() == d.places.count()
 
 
+def test_compatible_options(spark, sf):
+    from readloom.operators import hits as H
+
+    r = views.barcoded(spark, sf)
+    last = r.agg(F.max("rec_no")).first()[0]
+    assert D.without_last(r).count() == r.count() - 1 and D.without_last(r).where(F.col("rec_no") == last).isEmpty()
+    a, b = (sorted(map(tuple, H.strand_counts(views.hits(spark, sf), s).select("chrom", "n_forward", "n_reverse").collect())) for s in (False, True))
+    assert a != b and [(c, f, r) for c, f, r in a] == [(c, f, r) for c, r, f in b]
+    assert deduplicate(r, DedupParams(drop_last=True)).statistics.first()["n_total"] == r.count() - 1
+
+
 @pytest.mark.parametrize("kind", ["control", "alone", "pseudo", "nexus", "estimated"])
 def test_peak_caller(spark, sf, kind):
     h, c, chroms = views.hits(spark, sf), views.control(spark, sf), views.chroms(spark)
