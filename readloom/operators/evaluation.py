@@ -32,17 +32,28 @@ def side_counts(summits: DataFrame, hits: DataFrame, radius: int, sample: str) -
     return near.groupBy("chrom", "s").agg(n(0, True, "kfu"), n(0, False, "kfd"), n(1, True, "kru"), n(1, False, "krd"))
 
 
+def pair_counts(summits: DataFrame, pairs: DataFrame, reach: int, sample: str, name: str, control: bool = False) -> DataFrame:
+    """(chrom, s, name, q_beg_*, q_end_*): ``pair_coverage`` and ``saturated_positions`` of one sample in one join. The sets of positions are no larger than a summit's reach."""
+    near = range_join(_at(summits), pairs, "f_pos", F.col("s") - reach + 1, F.col("s") - 1, width=reach)
+    inside = (F.col("r_pos") > F.col("s")) & (F.col("r_pos") < F.col("f_pos") + reach)
+    taken = lambda c, n: F.size(F.collect_set(F.when(inside, F.col(c)))).cast("long").alias(f"{n}_{sample}")
+    across = F.col("r_pos") > F.col("s") if control else F.col("r_pos") >= F.col("s")
+    return near.groupBy("chrom", "s").agg(F.count_if(across).alias(name), taken("f_pos", "q_beg"), taken("r_pos", "q_end"))
+
+
+def both_side_counts(summits: DataFrame, chip: DataFrame, ctrl: DataFrame, radius: int) -> DataFrame:
+    """``side_counts`` of both samples in one join."""
+    h = chip.select("chrom", "pos", "strand", F.lit("chip").alias("sample")).unionByName(ctrl.select("chrom", "pos", "strand", F.lit("ctrl").alias("sample")))
+    near = range_join(_at(summits), h, "pos", F.col("s") - radius + 1, F.col("s") + radius - 1, width=max(radius, 64))
+    before = F.col("pos") < F.col("s")
+    n = lambda st, up, name, sample: F.count_if((F.col("sample") == sample) & (F.col("strand") == st) & (before if up else ~before)).alias(f"{name}_{sample}")
+    return near.groupBy("chrom", "s").agg(*(n(st, up, name, sample) for sample in ("chip", "ctrl") for st, up, name in ((0, True, "kfu"), (0, False, "kfd"), (1, True, "kru"), (1, False, "krd"))))
+
+
 def evaluate(summits: DataFrame, chip_pairs: DataFrame, ctrl_pairs: DataFrame, chip: DataFrame, ctrl: DataFrame, q_max: int) -> DataFrame:
-    """All counts of each summit with some treatment pair across it, its saturation score, and q_cov_chip as the hits around it."""
-    s = summits.select("chrom", F.col("pos").alias("s"), "q_cov")
-    out = s.join(pair_coverage(summits, chip_pairs, q_max, "pairs_chip"), ["chrom", "s"])
-    for part in (
-        pair_coverage(summits, ctrl_pairs, q_max, "q_cov_ctrl", True),
-        saturated_positions(summits, chip_pairs, q_max, "chip"),
-        saturated_positions(summits, ctrl_pairs, q_max, "ctrl"),
-        side_counts(summits, chip, q_max, "chip"),
-        side_counts(summits, ctrl, q_max, "ctrl"),
-    ):
+    """All counts of each summit with some treatment pair across it, its saturation score, and q_cov_chip as the hits around it. Three range joins: pairs of either sample, and hits of both."""
+    out = summits.select("chrom", F.col("pos").alias("s"), "q_cov").join(pair_counts(summits, chip_pairs, q_max, "chip", "pairs_chip").where("pairs_chip > 0"), ["chrom", "s"])
+    for part in (pair_counts(summits, ctrl_pairs, q_max, "ctrl", "q_cov_ctrl", True), both_side_counts(summits, chip, ctrl, q_max)):
         out = out.join(part, ["chrom", "s"], "left")
     out = out.na.fill(0)
     return (
@@ -52,6 +63,13 @@ def evaluate(summits: DataFrame, chip_pairs: DataFrame, ctrl_pairs: DataFrame, c
     )
 
 
+def most_around(hits: DataFrame, radius: int) -> int:
+    """No position has more hits nearer than ``radius`` than this: the largest sum of two neighbouring bins of twice that width. One number to the driver."""
+    b = F.floor(F.col("pos") / (2 * radius))
+    two = hits.groupBy("chrom", b.alias("b")).agg(F.count("*").alias("n")).select("chrom", F.explode(F.array("b", F.col("b") - 1)).alias("b"), "n")
+    return two.groupBy("chrom", "b").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def success(hits: DataFrame, genome: int, q_min: int, q_max: int) -> Column | DataFrame:
     """One row, p: the chance that a position of a summit's window is taken by a pair, from genome-wide strand counts."""
     n = hits.agg(F.count_if(F.col("strand") == 0).alias("t_f"), F.count_if(F.col("strand") == 1).alias("t_r"))
