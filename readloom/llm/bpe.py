@@ -199,8 +199,9 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     decoded binary (each of the two if asked for), one row per input row. A null text counts as empty,
     an empty text has no tokens, repeated rows give repeated results, other columns are not read.
     With ``verify``, all ids are decoded and compared with the text, and the job fails where they differ.
-    ``rank_file`` must be readable under that path on every executor.
+    ``rank_file`` must be readable under that path on every executor. A kept column named as a new one is replaced.
     """
+    keep = tuple(c for c in keep if c not in ("n_tokens", *["token_ids"] * ids, *["decoded"] * decoded))
     fields = [(c, docs.schema[c].dataType.simpleString()) for c in keep] + [("n_tokens", "long")] + [("token_ids", "array<int>")] * ids + [("decoded", "binary")] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str, text: str = "t
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded bytes.
     """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256"))
     fields = [(c, docs.schema[c].dataType.simpleString()) for c in keep] + [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -213,8 +213,9 @@ def edit_token_counts(docs: DataFrame, rank_file: str, pattern: str, text: str =
     another, each to the result of those before it; positions outside the text
     are clipped to it, a null array or edit means none, a null ``new`` deletes.
     A null text counts as empty. Returns ``keep`` columns, n_tokens, n_pieces,
-    n_tokens_edited and n_reencoded (pre-tokens encoded again), all long, one row per input row.
+    n_tokens_edited and n_reencoded (pre-tokens encoded again), all long, one row per input row. A kept column named as a new one is replaced.
     """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "n_pieces", "n_tokens_edited", "n_reencoded"))
     fields = [(c, docs.schema[c].dataType.simpleString()) for c in keep] + [(c, "long") for c in ("n_tokens", "n_pieces", "n_tokens_edited", "n_reencoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

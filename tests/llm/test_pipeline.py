@@ -82,6 +82,25 @@ def test_pipeline_against_plain_stages(spark):
     assert set(source.columns) - {"text"} <= set(next(iter(out.values())).asDict())
 
 
+def test_pipeline_long_texts_repeats_and_ties(spark, tmp_path):
+    """Very long texts, repeated rows, equal texts and rows without an id or a text, with the tables' own labels and benchmark."""
+    sf = "/root/testdata/sf0.001"
+    for t in ("labels", "benchmark"):
+        table(spark, sf, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    tie, long, leak = text(60), text(200_000), table(spark, sf, "benchmark").first()["text"]
+    rows = [(1, tie), (2, tie), (2, tie), (3, tie), (4, long), (5, long + " more"), (6, text(80)), (6, text(90)), (7, "token=abcdef123456 " * 3000), (8, long + " " + leak), (9, ""), (9, ""), (10, None), (None, "only one of its kind"), (None, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in got]
+    # of equal and nearly equal texts the first stays; 8 is near 4; of the rows of 6 at least one
+    assert set(ids) == {1, 4, 6, 7, 9, 10, None} and ids.count(1) == ids.count(4) == ids.count(7) == 1 and ids.count(None) == 2
+    tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(registry.RANKS), special_tokens={})
+    by = {r["doc_id"]: tk.decode(r["token_ids"]) for r in got}
+    assert by[4] == long and by[7] == "[SECRET] " * 3000 and by[1] == tie
+
+
 def test_pipeline_empty_tables_and_extra_columns(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     for t in ("labels", "benchmark"):

@@ -51,6 +51,9 @@ def test_op2_odd_inputs(spark, tk):
     for (_, text), r in got.items():
         assert r["token_ids"] == tk.encode_ordinary(text or "") and bytes(r["decoded"]).decode() == (text or "")
     assert bpe.encode_digests(docs, registry.RANKS, registry.PATTERN).count() == len(ODD) + 3
+    for clash in (bpe.encode_digests, bpe.encode_decode):  # n_tokens is a column of the table too
+        d = clash(docs, registry.RANKS, registry.PATTERN, keep=("doc_id", "n_tokens"))
+        assert d.columns.count("n_tokens") == 1 and {type(r["n_tokens"]) for r in d.select("n_tokens").collect()} == {int}
     assert bpe.encode_digests(docs.limit(0), registry.RANKS, registry.PATTERN).count() == 0
 
 
