@@ -8,8 +8,8 @@ share a token of its prefixes under each of them too before it is verified exact
 
 Documents with equal sets are one node from the start. Tokens with the same nodes are one bucket. Small buckets give
 their pairs; in large ones every node meets a pivot, links are joined into components, and new pivots meet only nodes of
-other components. What two rounds leave is dealt into buckets anew, by tokens of the second order, the large ones of them by
-the third as well and then by size, as long as they span components; only what is large even then is compared block by block.
+other components. What two rounds leave is dealt into buckets anew, by tokens of the second order, and the large ones of them by
+size as well, as long as they span components; only nodes that are in large ones even then are compared block by block.
 So no bucket gives all its pairs, and no link between components is lost. Hashes have 64 bits: two distinct sets among 10^9 coincide with a chance of 3 in 100.
 """
 
@@ -257,18 +257,18 @@ def _narrowed(members: DataFrame, keys: list[str], ws: Workspace, name: str) ->
 
 
 def _closer(left: DataFrame, going: DataFrame, sets: DataFrame, ws: Workspace, percent: int, fits: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes left open, from small buckets by the second order, then the third, then size; and the buckets (bucket, node, root) that are large even so."""
+    """Pairs (a, b) of nodes left open, from small buckets by the second order, then by size too; and the nodes (node) that are in large ones even so."""
     nodes = left.select("node", "root").distinct().join(going.select("node", "n", "held"), "node")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))  # linked sets lie in the same step or in neighbours
     pairs, open_, keys = None, nodes, []
-    for key in ("second", "third", "step"):
+    for key in ("second", "step"):
         keys = [*keys, key]
         more = open_.withColumn(key, F.explode(F.array(step, step + 1))) if key == "step" else open_.join(sets.select("node", F.explode(key).alias(key)), "node")
         small, open_ = _narrowed(more, keys, ws, f"by-{key}")
         one, two = small.toDF(*[c if c in keys else {"node": "a", "root": "ra", "n": "na", "held": "ha"}[c] for c in small.columns]), small.toDF(*[c if c in keys else {"node": "b", "root": "rb", "n": "nb", "held": "hb"}[c] for c in small.columns])
         some = one.join(two, keys).where(f"a < b and ra <> rb and {fits}").select("a", "b")
         pairs = some if pairs is None else pairs.union(some)
-    return pairs.distinct(), open_.select(F.xxhash64(*keys).alias("bucket"), "node", "root")
+    return pairs.distinct(), open_.select("node").distinct()
 
 
 def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
         near, open_ = _closer(left, going, sets, ws, percent, fits("a", "b"))
         found = ws.write(found.union(links(ws.write(near, "pairs-closer"), "links-closer")), "found-closer")
         comp = ws.write(components(found, ws, "star-closer"), "comp-closer")
-        rest = open_.drop("root").join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        rest = left.drop("root").join(open_, "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         spans = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         large = ws.write(rest.join(spans.select("bucket"), "bucket"), "left-large")
         if not large.isEmpty():
