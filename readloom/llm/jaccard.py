@@ -9,7 +9,9 @@ share a token of its prefixes under each of them too before it is verified exact
 Documents with equal sets are one node from the start. Tokens with the same nodes are one bucket. Small buckets give
 their pairs; in large ones every node meets a pivot, links are joined into components, and new pivots meet only nodes of
 other components. What two rounds leave is dealt into buckets anew, by tokens of the second order, and the large ones of them by
-size as well, as long as they span components; only nodes that are in large ones even then are compared block by block.
+size as well, as long as they span components; only nodes that are in large ones even then are compared block by block,
+blocks of sizes that allow links alone. What shuffles whole sets, prefixes or pairs goes portion by portion, each bounded by a
+share of the input, and its shuffle files go before the next; so disk does not depend on how many sets go on or pairs there are.
 So no bucket gives all its pairs, and no link between components is lost. Hashes have 64 bits: two distinct sets among 10^9 coincide with a chance of 3 in 100.
 """
 
@@ -39,6 +41,8 @@ TOGETHER = 256
 PER_SHARD = 2_000_000
 #: Bytes up to which a side is broadcast after it was counted; beyond, the join shuffles.
 BROADCAST = 32 << 20
+#: Bytes that one step shuffles, about: this many, or this share of all texts if that is more. What takes more goes in portions.
+PORTION, SHARE = 1 << 30, 0.25
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -196,18 +200,29 @@ def _arrays(width: int, percent: int, text: str):
     return run
 
 
-def _across(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+def _step(percent: int):
+    """The size step of a set of n: linked sets lie in the same step or in neighbours."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))
+
+
+def _across(left: DataFrame, going: DataFrame, sets: DataFrame, ws: Workspace, percent: int, portion: int) -> DataFrame:
     """Links (a, b) that join components among the nodes of buckets still open (bucket, node, root).
 
     Buckets that share nodes form one group, so that nodes that meet in many buckets are compared once. A group is cut into
-    blocks, and every two blocks are compared in one call, by counting the tokens they share; pairs are never rows.
+    blocks by steps of size, and every two blocks of the same step or of neighbours are compared in one call, by counting the
+    tokens they share; pairs are never rows. The sets go to their calls portion by portion.
     """
     groups = components(left.select(F.col("bucket").alias("a"), F.col("node").alias("b")), ws, "groups").toDF("node", "group")
-    nodes = left.select("node", "root").distinct().join(groups, "node")
-    size = nodes.groupBy("group").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
-    dealt = nodes.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
-    dealt = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "tokens")
+    nodes = left.select("node", "root").distinct().join(groups, "node").join(going.select("node", "n"), "node").withColumn("step", _step(percent))
+    nodes = ws.write(nodes, "open")
+    size = nodes.groupBy("group", "step").agg(F.ceil(F.count("*") / TOGETHER).alias("blocks"))
+    block = lambda step, k: (F.col(step) * F.lit(1 << 32) + k).cast("long")
+    dealt = nodes.join(size, ["group", "step"]).withColumn("block", block("step", F.pmod(F.xxhash64("node", F.lit(5)), "blocks"))).drop("blocks")
+    dealt = dealt.withColumn("near", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).join(size.withColumnRenamed("step", "near"), ["group", "near"])
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("other", block("near", F.col("k")))
+    dealt = ws.write(dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n"), "cells")
+    few = sets.join(small_side(nodes.select("node"), nodes.count()), "node", "left_semi").select("node", "tokens")
+    parts = -(-8 * (dealt.agg(F.sum("n")).first()[0] or 0) // portion) or 1
 
     def compare(t: pa.Table) -> pa.Table:
         node, root, block = (t.column(c).to_numpy() for c in ("node", "root", "block"))
@@ -245,7 +260,11 @@ def _across(left: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> Da
                 b.append(int(node[cols[c]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+    def part(k: int) -> DataFrame:
+        some = dealt.where(F.pmod(F.xxhash64("group", "i", "j"), F.lit(parts)) == k).drop("n").join(few, "node")
+        return some.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+
+    return ws.write_parts(part, parts, "links-left")
 
 
 def _narrowed(members: DataFrame, keys: list[str], ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
@@ -257,16 +276,16 @@ def _narrowed(members: DataFrame, keys: list[str], ws: Workspace, name: str) ->
 
 
 def _closer(left: DataFrame, going: DataFrame, sets: DataFrame, ws: Workspace, percent: int, fits: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes left open, from small buckets by the second order, then by size too; and the nodes (node) that are in large ones even so."""
+    """Pairs (a, b, w: both sizes) of nodes left open, from small buckets by the second order, then by size too; and the nodes (node) that are in large ones even so."""
     nodes = left.select("node", "root").distinct().join(going.select("node", "n", "held"), "node")
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))  # linked sets lie in the same step or in neighbours
+    step = _step(percent)
     pairs, open_, keys = None, nodes, []
     for key in ("second", "step"):
         keys = [*keys, key]
         more = open_.withColumn(key, F.explode(F.array(step, step + 1))) if key == "step" else open_.join(sets.select("node", F.explode(key).alias(key)), "node")
         small, open_ = _narrowed(more, keys, ws, f"by-{key}")
         one, two = small.toDF(*[c if c in keys else {"node": "a", "root": "ra", "n": "na", "held": "ha"}[c] for c in small.columns]), small.toDF(*[c if c in keys else {"node": "b", "root": "rb", "n": "nb", "held": "hb"}[c] for c in small.columns])
-        some = one.join(two, keys).where(f"a < b and ra <> rb and {fits}").select("a", "b")
+        some = one.join(two, keys).where(f"a < b and ra <> rb and {fits}").selectExpr("a", "b", "na + nb as w")
         pairs = some if pairs is None else pairs.union(some)
     return pairs.distinct(), open_.select("node").distinct()
 
@@ -295,22 +314,44 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
     held = counted.where("held is not null").select("block", F.explode(F.arrays_zip("at", "held")).alias("r")).groupBy("block", F.col("r.at").alias("at")).agg(F.sum("r.held").alias("held"))
     going = rows.where("n > 0").join(held, ["block", "at"]).where(f"100 * held >= {percent} * n").groupBy("node").agg(F.max("n").alias("n"), F.max("held").alias("held"))
     going = ws.write(going, "going")
-    ids = ws.write(going.select("node").join(classes, "node").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), "ids")
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    picked = keyed.join(small_side(ids, ids.count()), "k", "left_semi").select("text")
-    sets = ws.write(picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>").dropDuplicates(["node"]), "arrays", "lz4")
+    portion = max(PORTION, int(SHARE * size))
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("k")
+    ids = going.select("node").join(classes, "node").select("node", key)
+    times = rows.select(key).join(ids.select("k").distinct(), "k", "left_semi").groupBy("k").agg((F.count("*") == 1).alias("once"))
+    ids = ws.write(ids.join(times, "k"), "ids")
+    some = {r["once"]: r["count"] for r in ids.groupBy("once").count().collect()}
+
+    def arrays(once: bool) -> DataFrame:
+        """The sets of documents by whose ids they go on."""
+        own = ids.where("once" if once else "not once")
+        picked = docs.withColumn("k", key).join(small_side(own.select("k").distinct(), some.get(once, 0)), "k", "left_semi").select("text")
+        return picked.mapInArrow(_arrays(width, percent, "text"), "node long, tokens array<long>, second array<int>, third array<int>")
+
+    sets = arrays(True)
+    if some.get(False):  # other rows have these ids too: of each set that goes on by them, one
+        repeated = arrays(False).join(ids.where("not once").select("node"), "node", "left_semi").dropDuplicates(["node"])
+        sets = sets.unionByName(repeated) if some.get(True) else repeated
+    sets = ws.write(sets, "arrays", "lz4")
     rare = spark.sparkContext.broadcast(zlib.compress(rarity(sets.select("tokens").mapInArrow(_sketched, "slice int, part int, counts binary")), 1))
     prefixes = ws.write(sets.select("node", "tokens").mapInArrow(_prefixes(percent, rare), "node long, tokens array<long>"), "prefixes", "lz4")
     tokens = prefixes.select("node", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    met = ws.write(tokens.join(shared, "token").distinct(), "met", "lz4")
-    ws.drop("prefixes")
+    longest = going.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    parts = -(-72 * int(longest) // portion) or 1
+
+    def one_bucket_each(of: DataFrame) -> DataFrame:
+        """Of tokens with the same nodes, one."""
+        return of.groupBy("size", "x", "y").agg(F.min("token").alias("token"))
 
-    # buckets: tokens with the same nodes count once
-    of = met.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    buckets = of.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
-    members = met.join(buckets, "token").join(going, "node")
-    members = ws.write(members.select(F.col("token").alias("bucket"), "size", "node", "n", F.col("held").alias("h")), "members", "lz4")
+    def bucketed(k: int) -> DataFrame:
+        some = tokens if parts == 1 else tokens.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == k)
+        of = some.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
+        return some.join(one_bucket_each(of), "token")
+
+    met = ws.write_parts(bucketed, parts, "met", "lz4")
+    ws.drop("prefixes")
+    if parts > 1:
+        met = met.join(one_bucket_each(met).select("token"), "token")
+    members = ws.write(met.join(going, "node").select(F.col("token").alias("bucket"), "size", "node", "n", F.col("held").alias("h")), "members", "lz4")
     ws.drop("met")
 
     def fits(a: str, b: str) -> str:
@@ -320,24 +361,48 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
         return f"100 * least({', '.join(n)}) >= {percent} * greatest({', '.join(n)}) and {100 + percent} * least({', '.join(h)}) >= {percent} * ({' + '.join(n)})"
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, of those whose prefixes meet under the other orders."""
-        few = sets.select("node", "second", "third")
-        left = pairs.join(few.toDF("a", "a2", "a3"), "a").join(few.toDF("b", "b2", "b3"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-        left = ws.write(left, f"{name}-left")
-        full = sets.select("node", "tokens")
-        both = F.size(F.array_intersect("ta", "tb"))
-        met = left.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-        out = ws.write(met, name)
+        """The pairs (a, b, w) that link, of those whose prefixes meet under the other orders. Only sets of the pairs are shuffled, and those in portions, by their nodes on either side."""
+
+        def both_sides(of: DataFrame, columns: list[str], share: float, on, to: str, codec: str = "zstd") -> DataFrame:
+            ends = of.selectExpr("stack(2, a, w, b, w) as (node, w)").groupBy("node").agg(F.sum("w").alias("w")).join(going.select("node", "n"), "node")
+            ends = ws.write(ends, f"{to}-ends")
+            rows, held, sent = ends.agg(F.count("*"), F.sum("n"), F.sum("w") / 2).first()
+            some = sets.join(small_side(ends.select("node"), rows), "node", "left_semi").select("node", *columns)
+            p = max(-(-int(16 * share * (held or 0)) // portion), int((4 * share * (sent or 0) / portion) ** 0.5) + 1)
+
+            def part(k: int) -> DataFrame:
+                def of_(df: DataFrame, node: str, at: int) -> DataFrame:
+                    return df if p == 1 else df.where(F.pmod(F.xxhash64(node, F.lit(9)), F.lit(p)) == at)
+
+                i, j = divmod(k, p)
+                left, right = (of_(some, "node", x).toDF(side, *[f"{side}_{c}" for c in columns]) for side, x in (("a", i), ("b", j)))
+                return of_(of_(of, "a", i), "b", j).join(left, "a").join(right, "b").where(on).select("a", "b", "w")
+
+            out = ws.write_parts(part, p * p, to, codec)
+            ws.drop(f"{to}-ends")
+            return out
+
+        meet = F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")
+        left = both_sides(pairs, ["second", "third"], 0.25, meet, f"{name}-left")
+        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        alike = 100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)
+        out = both_sides(left, ["tokens"], 1, alike, name)
         ws.drop(f"{name}-left")
-        return out
+        return out.select("a", "b")
 
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
     one, two = small.drop("size").toDF("bucket", "a", "na", "ha"), small.drop("size").toDF("bucket", "b", "nb", "hb")
-    close = one.join(two, "bucket").where(f"a < b and {fits('a', 'b')}").select("a", "b")
     pivots = large.groupBy("bucket").agg(F.min(F.struct("node", "n", "h")).alias("p"))
-    star = large.join(pivots.select("bucket", "p"), "bucket").where(f"node <> p.node and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-    pairs = close.union(star).distinct()
-    found = links(pairs, "links-0")
+    met_pairs = small.agg(F.sum(F.expr("(size - 1) / 2"))).first()[0] or 0
+    portions_of_pairs = -(-int(32 * met_pairs) // portion) or 1
+
+    def met_in(k: int) -> DataFrame:
+        of = lambda df, c: df if portions_of_pairs == 1 else df.where(F.pmod(F.xxhash64(c, F.lit(9)), F.lit(portions_of_pairs)) == k)
+        close = of(one, "a").join(two, "bucket").where(f"a < b and {fits('a', 'b')}").selectExpr("a", "b", "na + nb as w")
+        star = large.join(of(pivots, "p.node"), "bucket").where(f"node <> p.node and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"), (F.col("p.n") + F.col("n")).alias("w"))
+        return close.union(star).distinct()
+
+    found = links(ws.write_parts(met_in, portions_of_pairs, "pairs-0"), "links-0")
     comp = ws.write(components(found, ws, "star-0"), "comp-0")
     used = ws.write(pivots.select("bucket", F.col("p.node").alias("node")), "used-0")
     def rest_of(used: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -347,8 +412,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
 
     for i in range(1, ROUNDS + 1):
         rest, open_ = rest_of(used, comp)
-        new = rest.join(open_, "bucket").where(f"node <> p.node and root <> p.root and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        new = ws.write(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{i}")
+        new = rest.join(open_, "bucket").where(f"node <> p.node and root <> p.root and {fits('', 'p')}").select(F.col("p.node").alias("a"), F.col("node").alias("b"), (F.col("p.n") + F.col("n")).alias("w"))
+        new = ws.write(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct(), f"pairs-{i}")
         state = ws.write(open_.select("bucket", F.col("p.node").alias("node")), f"pivots-{i}")
         if state.isEmpty():
             break
@@ -367,7 +432,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, text:
         spans = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         large = ws.write(rest.join(spans.select("bucket"), "bucket"), "left-large")
         if not large.isEmpty():
-            more = ws.write(_across(large, sets.select("node", "tokens"), ws, percent), "links-left")
+            more = _across(large, going, sets, ws, percent, portion)
             found = ws.write(found.union(more), "found-left")
             comp = ws.write(components(found, ws, "star-left"), "comp-left")
 

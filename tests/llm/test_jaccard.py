@@ -86,3 +86,31 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "c").collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200))
+
+
+def test_op3_compares_open_blocks_in_portions(spark, monkeypatch):
+    """Near copies that stay open to the end, in many blocks: no one step shuffles them all to all blocks, and the result is the same."""
+    limit = 400_000
+    monkeypatch.setattr(jaccard, "PORTION", limit, raising=False)
+    monkeypatch.setattr(jaccard, "SHARE", 0, raising=False)
+    monkeypatch.setattr(jaccard, "TOGETHER", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    store, sent, write = spark.sparkContext._jsc.sc().statusStore(), [], Workspace.write
+
+    def spied(self, df, name, *args, **kw):
+        before = store.executorSummary("driver").totalShuffleWrite()
+        out = write(self, df, name, *args, **kw)
+        if name == "links-left":
+            sent.append(store.executorSummary("driver").totalShuffleWrite() - before)
+        return out
+
+    monkeypatch.setattr(Workspace, "write", spied)
+    rng, rows = random.Random(4), []
+    for i in range(160):
+        w = [f"w{j}" for j in range(100)]
+        for j in rng.sample(range(100), 5):
+            w[j] = f"x{rng.randrange(20)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert run(df) == brute(rows)
+    assert sent and max(sent) <= 1.5 * limit
