@@ -5,8 +5,8 @@
    the documents does not count, since an item that leaked widely makes its own words frequent.
 2. A distributed randomised SVD of the TF-IDF matrix (all passages and the benchmark's items as rows):
    each pass multiplies A^T A by a thin matrix, one batch of passages at a time; a Rayleigh-Ritz step gives the latent axes.
-3. Passages are folded onto the axes; those near an item by cosine are candidates, and so are those where an item's words
-   stand in sequence. A candidate is confirmed by the longest common
+3. Passages and items are folded onto the axes; passages near an item by cosine there are candidates, and so are those whose
+   latent product with an item is as large as wherever the whole item stands. A candidate is confirmed by the longest common
    subsequence with the item's words around the passage: most of the item, or, so that paraphrases are found, two fifths of it and of its telling words (and some more
    of these unless the item's answer, its last sentence or its last words, is there too).
 """
@@ -30,14 +30,12 @@ from .workspace import Workspace, portions
 WIDTH, COMMON = 64, 0.005
 #: Axes at most, for which a larger benchmark is searched in groups of items; and those of them that are latent in the passages.
 AXES, BEYOND = 512, 32
-#: Cosine of a candidate; share of the item's words in order that confirm it alone; share of its telling words in order that confirm it without its answer,
+#: Cosine of a candidate, by the length of its passage on the axes, or by the whole length; share of the item's words in order that confirm it alone; share of its telling words in order that confirm it without its answer,
 #: or with it; telling words at least. Telling are those in at most COMMON of all passages, or else the rarer half of the item's words.
-NEAR, MOST, HALF, SOME, TERMS = 0.3, 0.7, 0.45, 0.4, 3
+CLOSE, NEAR, MOST, HALF, SOME, TERMS = 0.45, 0.3, 0.7, 0.45, 0.4, 3
 #: Bytes of benchmark that one search holds; a larger benchmark is searched part by part.
 PART = 4 << 20
 SLICES = 8
-#: Words of an item that are looked up in sequence before the rest of it is compared; the base of their hash.
-ANCHOR, BASE = 8, np.uint64(0x9E3779B97F4A7C15)
 
 #: ASCII bytes that are no letters or digits end a word.
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -266,11 +264,11 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
         targets[ip[at] - lo, own[iw[at]]] = iv[at]
         targets /= np.linalg.norm(targets, axis=1)[:, None]
         axes = np.linalg.qr(np.hstack([targets.T, latent[words]]))[0]
-        # a word's share in the cosine with each item, folded: the same as folding passages first, in fewer products
-        onto = (axes @ (axes.T @ targets.T)).astype(np.float32)
+        fold, folded = axes.astype(np.float32), (axes.T @ targets.T).astype(np.float32)
         bars = np.array([bar(x) for x in items], np.float32)
-        least = min(TERMS, *map(len, telling_words))
-        anchors = Anchors(items)
+        products, distinct = zip(*(reach(own[x], heavy) for x in items))
+        whole = np.array(products, np.float32) * np.float32(0.999)
+        least = min(TERMS, *map(len, telling_words), *distinct)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in portions(batches):
@@ -288,14 +286,10 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
                 take = np.bincount(p, minlength=int(begin[-1]) + 1)[p] >= least
                 tp, tw, tv = p[take], w[take], v[take]
                 for s, e in _chunks(tp):
-                    at, near = cosines(tp[s:e], tw[s:e], tv[s:e], onto)
-                    for i, k in zip(*(x.tolist() for x in np.nonzero(near >= bars))):
-                        check(int(at[i]), int(np.searchsorted(begin, at[i], "right")) - 1, k, float(near[i, k]))
-                for d, k, start in anchors.find(seqs):
-                    if (d, k) not in found:
-                        at = min(int(begin[d]) + start // (WIDTH // 2), int(begin[d + 1]) - 1)
-                        s, e = np.searchsorted(p, [at, at + 1])
-                        check(at, d, k, float(cosines(p[s:e], w[s:e], v[s:e], onto[:, k : k + 1])[1][0, 0]))
+                    at, product, latent, length = cosines(tp[s:e], tw[s:e], tv[s:e], fold, folded)
+                    asked = np.minimum(CLOSE * latent, NEAR * length)[:, None] * bars
+                    for i, k in zip(*(x.tolist() for x in np.nonzero(product >= np.minimum(asked, whole)))):
+                        check(int(at[i]), int(np.searchsorted(begin, at[i], "right")) - 1, k, float(product[i, k] / latent[i]))
                 rows = [(ids[d], numbers_of[k], sim, n, len(items[k]), first, ok) for (d, k), (sim, n, ok, first) in found.items()]
                 c = list(zip(*rows)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], names=["doc_id", "item_id", "similarity", "lcs", "item_words", "start", "answered"])
@@ -330,50 +324,38 @@ def telling(item: np.ndarray, frequency: np.ndarray) -> frozenset:
     return frozenset(words[: max(few, -(-len(words) // 2))].tolist())
 
 
-def cosines(p: np.ndarray, w: np.ndarray, v: np.ndarray, onto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passage numbers and their cosines with the items. The length before folding counts, so what lies off the axes makes a passage less near."""
+def cosines(p: np.ndarray, w: np.ndarray, v: np.ndarray, fold: np.ndarray, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passage numbers, their products with the folded items when they are folded onto the axes as well, and by what these are divided for cosines: their lengths on the axes, and whole."""
     starts = _rows(p)
-    return p[starts], np.add.reduceat(v[:, None] * onto[w], starts, axis=0) / np.sqrt(np.add.reduceat(v * v, starts))[:, None]
-
-
-class Anchors:
-    """Finds items whose words all stand in sequence: by the hash of their first words, then word by word."""
-
-    def __init__(self, items: list[np.ndarray]):
-        self.items = items
-        self.at: dict[int, dict[int, list[int]]] = {}
-        for k, x in enumerate(items):
-            m = min(ANCHOR, len(x))
-            self.at.setdefault(m, {}).setdefault(int(self.hashes(x, m)[0]), []).append(k)
-
-    @staticmethod
-    def hashes(flat: np.ndarray, m: int) -> np.ndarray:
-        """Of each m numbers in sequence."""
-        x = flat.astype(np.uint64)
-        h = np.zeros(max(0, len(x) - m + 1), np.uint64)
-        for i in range(m):
-            h = h * BASE + x[i : i + len(h)]
-        return h
-
-    def find(self, seqs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(document, item, first word), once for each document and item."""
-        flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
-        ends = np.cumsum([len(x) for x in seqs])
-        seen = set()
-        for m, table in self.at.items():
-            h = self.hashes(flat, m)
-            for i in np.flatnonzero(np.isin(h, np.array(list(table), np.uint64))).tolist():
-                d = int(np.searchsorted(ends, i, "right"))
-                for k in table[int(h[i])]:
-                    n = len(self.items[k])
-                    if (d, k) not in seen and i + n <= ends[d] and np.array_equal(flat[i : i + n], self.items[k]):
-                        seen.add((d, k))
-                        yield d, k, i - int(ends[d]) + len(seqs[d])
+    on = np.add.reduceat(v[:, None] * fold[w], starts, axis=0)
+    latent = np.maximum(np.sqrt(np.einsum("ij,ij->i", on, on)), np.float32(1e-12))
+    return p[starts], on @ folded, latent, np.sqrt(np.add.reduceat(v * v, starts))
+
+
+def _windows(item: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """For each place of an item's first word in half a passage, the item's words in each passage that it meets."""
+    half = WIDTH // 2
+    for r in range(half):
+        yield [item[max(0, at - r) : at - r + WIDTH] for at in range(0, r + len(item), half)]
+
+
+def reach(item: np.ndarray, weight: np.ndarray) -> tuple[float, int]:
+    """What some passage has wherever the whole item stands: the inner product with the item, of length 1, and distinct words. Other words only add to them, and the axes hold the item."""
+
+    def of(some: np.ndarray) -> tuple[float, int]:
+        words, n = np.unique(some, return_counts=True)
+        return float((weight[words] * (1 + np.log(n)) * v[words]).sum()), len(words)
+
+    words, n = np.unique(item, return_counts=True)
+    v = np.zeros(len(weight))
+    v[words] = weight[words] * (1 + np.log(n))
+    best = [max(map(of, passages)) for passages in _windows(item)] if len(item) > WIDTH // 2 + 1 else [of(item)]
+    return min(x for x, _ in best) / float(np.linalg.norm(v)), min(n for _, n in best)
 
 
 def bar(item: np.ndarray) -> float:
-    """The cosine asked of a candidate: less for an item too long for a passage to hold."""
-    return NEAR * min(1.0, (WIDTH / 2 / len(item)) ** 0.5)
+    """The share of a cosine asked of a candidate: less for an item too long for a passage to hold."""
+    return min(1.0, (WIDTH / 2 / len(item)) ** 0.5)
 
 
 def confirm(item: np.ndarray, answer: int, rare: frozenset, seq: np.ndarray, first: int, cosine: float):

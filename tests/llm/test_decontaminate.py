@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from readloom.llm import decontaminate
@@ -79,3 +80,58 @@ def test_paraphrase_recall(spark, monkeypatch, part):
     assert sum((10**6 + i, i) in got for i, _ in items) >= 0.9 * len(items)
     assert not [(d, i) for d, i in got if d >= 10**6 and d - 10**6 != i]
     assert len({d for d, _ in got} & clean) <= 0.002 * len(clean)
+
+
+def leaks():
+    """Items, and documents that hold one of them each, verbatim and with words left out, among words of other items."""
+    rng = random.Random(8)
+    items = [words(rng, rng.randint(15, 59)) for _ in range(60)]
+    docs = []
+    for d in range(240):
+        x = items[d % 60] if d < 60 else [w for i, w in enumerate(items[d % 60]) if i % 6 != 2]
+        docs.append((d, " ".join([*rng.choices(items[(d + 7) % 60], k=rng.randint(10, 60)), *x, *rng.choices(items[(d + 9) % 60], k=rng.randint(10, 60))])))
+    return docs, [(i, " ".join(x)) for i, x in enumerate(items)]
+
+
+def found(spark, docs, items):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_benchmark(df, bench).collect()}
+
+
+def test_matches_come_by_latent_products_alone(spark, monkeypatch):
+    docs, items = leaks()
+    got = set(found(spark, docs, items))
+    assert {(d, d) for d in range(60)} <= got and len({(d, d % 60) for d in range(240)} - got) <= 1
+    monkeypatch.setattr(decontaminate, "bar", lambda item: 1e9)
+    assert {(d, d) for d in range(60)} <= set(found(spark, docs, items))  # whole items, by their products
+    monkeypatch.setattr(decontaminate, "reach", lambda item, weight: (1e9, 1), raising=False)
+    assert not found(spark, docs, items)
+
+
+def test_axes_of_the_decomposition_count(spark, monkeypatch):
+    docs, items = leaks()
+    docs, items = docs[:60], items[:20]
+    many = found(spark, docs, items)
+    monkeypatch.setattr(decontaminate, "BEYOND", 1)
+    few = found(spark, docs, items)
+    assert set(few) >= {(d, d) for d in range(20)}
+    differ = [few[k] - many[k] for k in set(few) & set(many)]
+    assert min(differ) > -1e-4 and max(differ) > 0.01  # fewer axes hold less of a passage
+
+
+def test_reach_holds_wherever_an_item_stands():
+    rng = np.random.default_rng(5)
+    weight = np.concatenate([[0], rng.uniform(0.7, 5, 80)])
+    for n in (1, 5, 33, 34, 50, 64, 65, 96, 150):
+        for _ in range(40):
+            item = rng.integers(1, rng.integers(2, 81), n).astype(np.int32)
+            seq = np.concatenate([rng.integers(0, 81, rng.integers(0, 120)), item, rng.integers(0, 81, rng.integers(0, 120))]).astype(np.int32)
+            p, w, c, _ = decontaminate.passages([seq])
+            at, m = np.unique(item, return_counts=True)
+            own = np.zeros(81)
+            own[at] = weight[at] * (1 + np.log(m))
+            own /= np.linalg.norm(own)
+            product, distinct = decontaminate.reach(item, weight)
+            got = [((weight[w[p == k]] * (1 + np.log(c[p == k])) * own[w[p == k]]).sum(), (p == k).sum()) for k in np.unique(p)]
+            assert any(x >= product * (1 - 1e-9) and k >= distinct for x, k in got)
