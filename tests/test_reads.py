@@ -252,6 +252,16 @@ def test_dedup_job(spark, sf):
     assert sum(h.count() for h in d.halves) == kept and d.clusters.count() <= kept and d.track.count() == d.places.count()
 
 
+def test_halves_of_large_and_negative_numbers(spark):
+    """Products beyond 64 bits, quotients that a double can't tell apart, and numbers below zero, whose remainders are negative too."""
+    numbers = [0, 1, 12, 13, 26, -1, -13, -14, -27, 2**53 + 1, 13 * (2**52 + 1) - 1, 8_999_999 * 2**29 + 77, 2**62 + 12345, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(n,) for n in numbers], "rec_no long")
+    quotient = lambda n: abs(n) // 13 * (1 if n >= 0 else -1)
+    for which in (0, 1):
+        want = sorted(n for n in numbers if (n * 7919 + quotient(n)) % 2 == which)
+        assert want and sorted(r[0] for r in D.half(df, which).collect()) == want
+
+
 def test_compatible_options(spark, sf):
     from readloom.operators import hits as H
 
