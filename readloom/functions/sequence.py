@@ -50,9 +50,18 @@ def kept_by_sum(q: Column, cutoff: int) -> Column:
 
 
 def kept_by_window(q: Column, cutoff: int, window: int = 5) -> Column:
-    """Bases before the first window whose sum is below window * cutoff; windows at the end are shorter, the sum asked for is not."""
-    at = F.transform(q, lambda v, i: F.when(F.aggregate(F.slice(q, i + 1, F.lit(window)), F.lit(0), lambda a, x: a + x) < window * cutoff, i))
-    return F.coalesce(F.array_min(F.filter(at, lambda x: x.isNotNull())), F.size(q))
+    """Bases before the first window whose sum is below window * cutoff; windows at the end are shorter, the sum asked for is not.
+
+    The scores come through a lambda's variable: a column that is named within a lambda is computed again for every element. Zeros behind them complete the last windows.
+    """
+
+    def first(p):
+        at = F.transform(p, lambda v, i: F.when(sum((F.get(p, i + k) for k in range(1, window)), v) < window * cutoff, i))
+        n = F.size(p) - (window - 1)
+        return F.least(F.coalesce(F.array_min(at), n), n)
+
+    padded = F.concat(q, F.array_repeat(F.lit(0), window - 1))
+    return F.get(F.transform(F.array(padded), first), F.lit(0))
 
 
 def kept(q: Column, cutoff: int, mode: str = "TAIL") -> Column:

@@ -59,6 +59,14 @@ def test_quality_modes(spark, mode):
         assert got[i] == want, (q, mode)
 
 
+def test_windows_split_a_quality_once(spark):
+    """Not once for every base, which takes the square of a read's length."""
+    q = [40] * 12_000 + [20, 20, 20, 19, 20] + [40] * 3
+    df = spark.createDataFrame([("".join(chr(33 + v) for v in q),)], "qual string").select(S.kept(S.scores(F.col("qual")), 20, "WIN").alias("k"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(qual") == 1
+    assert df.first()["k"] == literal_kept(q, 20, "WIN") == 12_000
+
+
 @pytest.mark.parametrize(
     "read,adapter,three,anchored,left",
     [
